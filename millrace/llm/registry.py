@@ -6,6 +6,7 @@ from importlib import import_module
 
 _MODULES = {
     "op8_minhash_near_dedup": "near_dedup",
+    "op9_run_length_repeats": "repeats",
 }
 
 
