@@ -247,7 +247,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
         .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
         .select("component", "rep", "block", "nb")
     )
-    texts = placed.join(docs, placed.rep == docs.doc_id).select("component", "rep", "block", "nb", "text")
+    # Merged at any size: the side without texts grows with the input.
+    texts = placed.hint("merge").join(docs, placed.rep == docs.doc_id).select("component", "rep", "block", "nb", "text")
     tasks = (
         texts.withColumn("other", F.explode(F.expr("sequence(0, nb - 1)")))
         .select(
@@ -286,7 +287,7 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group: the one with the smallest doc_id, and rows without doc_id."""
     gone = near_duplicates(docs).filter("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
 
 
 ORACLE = """
