@@ -40,8 +40,8 @@ from .scratch import Scratch, release, table
 LENGTH = 100
 GRAM = 32
 HOT = 20_000
-INDEX_BYTES = 3 << 20
-PIECE = 1 << 20
+INDEX_BYTES = 1 << 20
+PIECE = 1 << 18
 TIE = 40
 _LAST = 2**63 - 1
 
@@ -186,12 +186,12 @@ def suffix_order(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     packed = np.zeros(n, dtype=np.int64)
     for k in range(7):
         packed = (packed << 9) | wide[k : k + n]
-    sa = np.argsort(packed)
-    key, slots = packed[sa], np.arange(n)
+    sa = np.argsort(packed).astype(np.int32)
+    key, slots = packed[sa], np.arange(n, dtype=np.int32)
     new = np.ones(n, dtype=bool)
     new[1:] = key[1:] != key[:-1]
     start = np.maximum.accumulate(np.where(new, slots, 0))
-    rank = np.empty(n, dtype=np.int64)
+    rank = np.empty(n, dtype=np.int32)
     rank[sa] = start
     step = 7
     while True:
@@ -200,7 +200,7 @@ def suffix_order(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             return sa, packed
         at = sa[idx]
         then = at + step
-        key = start[idx] * (n + 1) + np.where(then < n, rank[np.minimum(then, n - 1)] + 1, 0)
+        key = start[idx].astype(np.int64) * (n + 1) + np.where(then < n, rank[np.minimum(then, n - 1)] + 1, 0)
         order = np.argsort(key)
         at, key = at[order], key[order]
         sa[idx] = at
@@ -319,7 +319,7 @@ def _fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(d, data, asked) to surroundings (h, d, start, window) of each asked (pos, h)."""
     reach = LENGTH - GRAM
     for batch in batches:
-        out_h, out_d, out_pos, out_w, hot = [], [], [], [], []
+        out_h, out_d, out_pos, out_w = [], [], [], []
         for k in range(batch.num_rows):
             d, data = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
             for one in batch.column(2)[k].as_py():
@@ -330,16 +330,14 @@ def _fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 out_d.append(d)
                 out_pos.append(pos - at + lo)
                 out_w.append(data[lo : at + LENGTH])
-                hot.append(one["hot"])
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(out_h, pa.int64()),
                 pa.array(out_d, pa.int64()),
                 pa.array(out_pos, pa.int64()),
                 pa.array(out_w, pa.binary()),
-                pa.array(hot, pa.bool_()),
             ],
-            names=["h", "d", "start", "w", "hot"],
+            names=["h", "d", "start", "w"],
         )
 
 
@@ -407,28 +405,24 @@ def covered_intervals(docs: DataFrame, scratch: Scratch, hot: int = HOT) -> Data
         .withColumn("covered", F.expr("later or nth > 1"))
         .filter("covered or kinds > 1")
     )
-    seen = scratch.keep(ranked.select("d", "pos", "h", "covered", F.expr(f"kinds > {hot}").alias("hot")), "anchors")
+    h = F.when(~F.col("covered"), F.col("h")).alias("h")
+    seen = scratch.keep(ranked.select("d", "pos", h, "covered", F.expr(f"kinds > {hot}").alias("hot")), "anchors")
     release(docs.sparkSession)
-    asked = (
-        seen.filter("not covered")
-        .select("d", F.shiftright("pos", TIE).alias("tie"), "h", "pos", "hot")
-        .groupBy("d", "tie")
-        .agg(F.collect_list(F.struct("pos", "h", "hot")).alias("asked"))
-    )
-    windows = scratch.keep(
-        docs.join(asked, ["d", "tie"])
-        .select("d", "data", "asked")
-        .mapInArrow(_fetched, "h long, d long, start long, w binary, hot boolean"),
-        "windows",
-    )
-    release(docs.sparkSession)
-    indexed = (
-        windows.filter("not hot")
-        .select("h", "d", "start", "w")
+
+    def fetched(which: str) -> DataFrame:
+        asked = seen.filter(which).select("d", F.shiftright("pos", TIE).alias("tie"), "h", "pos")
+        asked = asked.groupBy("d", "tie").agg(F.collect_list(F.struct("pos", "h")).alias("asked"))
+        joined = docs.join(asked.hint("merge"), ["d", "tie"]).select("d", "data", "asked")
+        return joined.mapInArrow(_fetched, "h long, d long, start long, w binary")
+
+    indexed = scratch.keep(
+        fetched("not covered and not hot")
         .repartition("h")
         .sortWithinPartitions("h", "d", "start")
-        .mapInArrow(_indexed, "d long, lo long, hi long")
+        .mapInArrow(_indexed, "d long, lo long, hi long"),
+        "indexed",
     )
+    release(docs.sparkSession)
     reach = LENGTH - GRAM
     whole = seen.filter("covered").select(
         "d",
@@ -436,8 +430,8 @@ def covered_intervals(docs: DataFrame, scratch: Scratch, hot: int = HOT) -> Data
         (F.col("pos") + LENGTH).alias("hi"),
     )
     out = whole.unionByName(indexed)
-    if not seen.filter("hot").isEmpty():
-        strings = windows.filter("hot").mapInArrow(_strings, "s1 long, s2 long, d long, start long")
+    if not seen.filter("not covered and hot").isEmpty():
+        strings = fetched("not covered and hot").mapInArrow(_strings, "s1 long, s2 long, d long, start long")
         first = (
             strings.groupBy("s1", "s2")
             .agg(F.min(F.struct("d", "start")).alias("first"), F.max(F.struct("d", "start")).alias("last"))
@@ -468,7 +462,7 @@ def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
         .agg(F.collect_list(F.struct("lo", "hi")).alias("covered"))
     )
     return (
-        rows.join(per_doc, ["d", "tie"], "left")
+        rows.join(per_doc.hint("merge"), ["d", "tie"], "left")
         .select("doc_id", "data", "covered")
         .mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     )
