@@ -5,6 +5,8 @@ from __future__ import annotations
 from importlib import import_module
 
 _MODULES = {
+    "op5_mix_to_weights": "mixing",
+    "op10_contained_benchmark_items": "decontam",
     "op1_bootstrapped_pii": "pii",
     "op8_minhash_near_dedup": "near_dedup",
     "op9_run_length_repeats": "repeats",
