@@ -17,7 +17,7 @@ Plan
    samples: inside a run the match with the preceding suffix loses one byte a step. Chains of matches of LENGTH or
    more lead to one root for each repeated string, whose earliest start is kept.
 4. An anchor with more different surroundings than fit one index (``HOT``) is settled by its strings' 128-bit
-   hashes: a map-side combined minimum per string, which no hot anchor can hold up.
+   hashes, in the same shuffle: a string's rows are made one per batch before it, and only the first stays.
 5. Covered intervals meet their documents; bytes are cut and hashed.
 
 Defined results: null and empty texts have no bytes. Rows without doc_id come last. Rows that share a doc_id are taken
@@ -32,6 +32,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -284,7 +286,14 @@ def _runs(marked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (h, d, start, window) to covered (d, lo, hi)."""
+    """Sorted (h, s, d, start, later, window) to covered (d, lo, hi).
+
+    Rows with a window go to an index, together with all of their anchor. Rows without are single strings known by
+    their hash (h, s): all but the first of a hash are covered.
+    """
+
+    def covered(d: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (d, lo, hi)], names=["d", "lo", "hi"])
 
     def flush(rows: list) -> pa.RecordBatch:
         d = np.array([r[1] for r in rows], dtype=np.int64)
@@ -299,13 +308,23 @@ def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = _runs(marked)
         k = np.searchsorted(begin, a, "right") - 1
         lo = pos[k] + a - begin[k]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(d[k], pa.int64()), pa.array(lo, pa.int64()), pa.array(lo + (b - a) + LENGTH - 1, pa.int64())], names=["d", "lo", "hi"]
-        )
+        return covered(d[k], lo, lo + (b - a) + LENGTH - 1)
 
-    rows, size = [], 0
+    rows, size, last = [], 0, (None, None, None, None)
     for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        single = batch.filter(pc.is_null(batch.column(5)))
+        if single.num_rows:
+            h, s, d, start, later = (single.column(k).to_numpy(zero_copy_only=False) for k in range(5))
+            same = np.zeros(len(h), dtype=bool)
+            same[1:] = (h[1:] == h[:-1]) & (s[1:] == s[:-1])
+            # The first start of a hash may come several times, from overlapping surroundings.
+            firsts = np.maximum.accumulate(np.where(same, 0, np.arange(len(h))))
+            known = firsts == 0 if (h[0], s[0]) == last[:2] else np.zeros(len(h), dtype=bool)
+            d1, s1 = np.where(known, last[2] or 0, d[firsts]), np.where(known, last[3] or 0, start[firsts])
+            again = ((d != d1) | (start != s1)) | later
+            last = (h[-1], s[-1], d1[-1], s1[-1])
+            yield covered(d[again], start[again], start[again] + LENGTH)
+        for row in zip(*(batch.filter(pc.is_valid(batch.column(5))).column(k).to_pylist() for k in (0, 2, 3, 5)), strict=True):
             if size >= INDEX_BYTES and row[0] != rows[-1][0]:
                 yield flush(rows)
                 rows, size = [], 0
@@ -316,54 +335,71 @@ def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(d, data, asked) to surroundings (h, d, start, window) of each asked (pos, h)."""
+    """(d, packed, asked) to surroundings (h, s, d, start, later, window) of each asked (pos, h, hot).
+
+    Surroundings of hot anchors are given as hashes of their strings, each once a batch: those that come later in the
+    batch are settled and need no company.
+    """
     reach = LENGTH - GRAM
+    unpack = zstandard.ZstdDecompressor().decompress
     for batch in batches:
-        out_h, out_d, out_pos, out_w = [], [], [], []
+        hs, ds, starts, windows, strings = [], [], [], [], []
         for k in range(batch.num_rows):
-            d, data = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
+            d, data = batch.column(0)[k].as_py(), unpack(batch.column(1)[k].as_py())
             for one in batch.column(2)[k].as_py():
                 pos = one["pos"]
                 at = pos & ((1 << TIE) - 1)
                 lo = max(0, at - reach)
-                out_h.append(one["h"])
-                out_d.append(d)
-                out_pos.append(pos - at + lo)
-                out_w.append(data[lo : at + LENGTH])
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(out_h, pa.int64()),
-                pa.array(out_d, pa.int64()),
-                pa.array(out_pos, pa.int64()),
-                pa.array(out_w, pa.binary()),
-            ],
-            names=["h", "d", "start", "w"],
-        )
+                if one["hot"]:
+                    text = np.frombuffer(data[lo : at + LENGTH], dtype=np.uint8)
+                    n = len(text) - LENGTH + 1
+                    s1, s2 = (Rolling(text, base).grams(LENGTH).view(np.int64) for base in (_BASE, _BASE2))
+                    strings.append((s1, s2, np.full(n, d, dtype=np.int64), pos - at + lo + np.arange(n)))
+                else:
+                    hs.append(one["h"])
+                    ds.append(d)
+                    starts.append(pos - at + lo)
+                    windows.append(data[lo : at + LENGTH])
+        n = len(hs)
+        yield _row_batch(pa.array(hs, pa.int64()), pa.array([0] * n, pa.int64()), ds, starts, np.zeros(n, dtype=bool), pa.array(windows, pa.binary()))
+        if strings:
+            s1, s2, d, start = (np.concatenate(x) for x in zip(*strings, strict=True))
+            order = np.lexsort((start, d, s2, s1))
+            s1, s2, d, start = s1[order], s2[order], d[order], start[order]
+            later = np.zeros(len(s1), dtype=bool)
+            later[1:] = (s1[1:] == s1[:-1]) & (s2[1:] == s2[:-1])
+            s1 = np.where(later, _mixed((d * 31 + start).view(np.uint64) + s1.view(np.uint64)).view(np.int64), s1)
+            # A string repeated at one place only because surroundings overlap is not a repeat.
+            same = np.zeros(len(d), dtype=bool)
+            same[1:] = later[1:] & (d[1:] == d[:-1]) & (start[1:] == start[:-1])
+            s1, s2, d, start, later = s1[~same], s2[~same], d[~same], start[~same], later[~same]
+            yield _row_batch(pa.array(s1), pa.array(s2), d, start, later, pa.nulls(len(d), pa.binary()))
+
+
+def _row_batch(h: pa.Array, s: pa.Array, d, start, later, window: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [h, s, pa.array(d, pa.int64()), pa.array(start, pa.int64()), pa.array(later, pa.bool_()), window], names=["h", "s", "d", "start", "later", "w"]
+    )
 
 
-def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Surroundings to their strings' 128-bit hashes (s1, s2, d, start)."""
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed for the shuffles."""
     for batch in batches:
-        s1, s2, ds, starts = [], [], [], []
-        for d, start, w in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
-            data = np.frombuffer(w, dtype=np.uint8)
-            for base, out in ((_BASE, s1), (_BASE2, s2)):
-                out.append(Rolling(data, base).grams(LENGTH).view(np.int64))
-            n = len(data) - LENGTH + 1
-            ds.append(np.full(n, d, dtype=np.int64))
-            starts.append(start + np.arange(n))
-        if ds:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (s1, s2, ds, starts)], names=["s1", "s2", "d", "start"])
+        pack = zstandard.ZstdCompressor(level=3).compress
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), batch.column(2), pa.array([pack(x.as_py()) for x in batch.column(3)], pa.binary())],
+            names=["doc_id", "d", "tie", "packed"],
+        )
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, data, covered) to the digest and the remaining bytes' hash."""
+    """(doc_id, packed, covered) to the digest and the remaining bytes' hash."""
+    unpack = zstandard.ZstdDecompressor().decompress
     for batch in batches:
         removed, spans, digests, sizes = [], [], [], []
-        data, offsets = _bytes(batch.column(1))
         covered = batch.column(2)
         for k in range(batch.num_rows):
-            text = data[offsets[k] : offsets[k + 1]]
+            text = np.frombuffer(unpack(batch.column(1)[k].as_py()), dtype=np.uint8)
             kept, n = cut(text, covered[k].values if covered[k].is_valid else None)
             sizes.append(len(text))
             removed.append(len(text) - sum(len(x) for x in kept))
@@ -373,7 +409,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 sha.update(x)
             digests.append(sha.hexdigest())
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests)],
+            [batch.column(0), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests, pa.string())],
             names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
         )
 
@@ -395,8 +431,11 @@ def cut(text: np.ndarray, covered) -> tuple[list[np.ndarray], int]:
     return [text[x:y] for x, y in edges], len(a)
 
 
-def covered_intervals(docs: DataFrame, scratch: Scratch, hot: int = HOT) -> DataFrame:
-    """``(d, lo, hi)``: repeated bytes of ``docs(d, tie, data)``; the tie is in the bits above TIE."""
+def covered_intervals(docs: DataFrame, packed: DataFrame, scratch: Scratch, hot: int = HOT) -> DataFrame:
+    """``(d, lo, hi)``: repeated bytes of ``docs(d, tie, data)``; the tie is in the bits above TIE.
+
+    ``packed(d, tie, packed)`` has the same texts compressed.
+    """
     ranked = (
         docs.mapInArrow(_scan, "h long, w long, d long, pos long, later boolean")
         .repartition("h")
@@ -407,39 +446,27 @@ def covered_intervals(docs: DataFrame, scratch: Scratch, hot: int = HOT) -> Data
     )
     h = F.when(~F.col("covered"), F.col("h")).alias("h")
     seen = scratch.keep(ranked.select("d", "pos", h, "covered", F.expr(f"kinds > {hot}").alias("hot")), "anchors")
+    del ranked
     release(docs.sparkSession)
-
-    def fetched(which: str) -> DataFrame:
-        asked = seen.filter(which).select("d", F.shiftright("pos", TIE).alias("tie"), "h", "pos")
-        asked = asked.groupBy("d", "tie").agg(F.collect_list(F.struct("pos", "h")).alias("asked"))
-        joined = docs.join(asked.hint("merge"), ["d", "tie"]).select("d", "data", "asked")
-        return joined.mapInArrow(_fetched, "h long, d long, start long, w binary")
-
+    asked = (
+        seen.filter("not covered")
+        .select("d", F.shiftright("pos", TIE).cast("int").alias("tie"), "h", "pos", "hot")
+        .groupBy("d", "tie")
+        .agg(F.collect_list(F.struct("pos", "h", "hot")).alias("asked"))
+    )
     indexed = scratch.keep(
-        fetched("not covered and not hot")
+        packed.join(asked.hint("merge"), ["d", "tie"])
+        .select("d", "packed", "asked")
+        .mapInArrow(_fetched, "h long, s long, d long, start long, later boolean, w binary")
         .repartition("h")
-        .sortWithinPartitions("h", "d", "start")
+        .sortWithinPartitions("h", "s", "d", "start")
         .mapInArrow(_indexed, "d long, lo long, hi long"),
         "indexed",
     )
     release(docs.sparkSession)
-    reach = LENGTH - GRAM
-    whole = seen.filter("covered").select(
-        "d",
-        (F.col("pos") - F.least(F.lit(reach), F.col("pos").bitwiseAND((1 << TIE) - 1))).alias("lo"),
-        (F.col("pos") + LENGTH).alias("hi"),
-    )
-    out = whole.unionByName(indexed)
-    if not seen.filter("not covered and hot").isEmpty():
-        strings = fetched("not covered and hot").mapInArrow(_strings, "s1 long, s2 long, d long, start long")
-        first = (
-            strings.groupBy("s1", "s2")
-            .agg(F.min(F.struct("d", "start")).alias("first"), F.max(F.struct("d", "start")).alias("last"))
-            .filter("first <> last")
-        )
-        again = strings.join(first, ["s1", "s2"]).filter(F.struct("d", "start") != F.col("first"))
-        out = out.unionByName(again.select("d", F.col("start").alias("lo"), (F.col("start") + LENGTH).alias("hi")))
-    return out
+    back = F.least(F.lit(LENGTH - GRAM), F.col("pos").bitwiseAND((1 << TIE) - 1))
+    whole = seen.filter("covered").select("d", (F.col("pos") - back).alias("lo"), (F.col("pos") + LENGTH).alias("hi"))
+    return whole.unionByName(indexed)
 
 
 def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
@@ -455,15 +482,16 @@ def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     else:
         rows = rows.withColumn("tie", F.row_number().over(Window.partitionBy("d").orderBy("data")) - 1)
         rows = scratch.keep(rows, "rows")
-    covered = covered_intervals(rows.select("d", "tie", "data"), scratch, hot)
+    packed = rows.select("doc_id", "d", "tie", "data").mapInArrow(_packed, "doc_id long, d long, tie int, packed binary")
+    covered = covered_intervals(rows.select("d", "tie", "data"), packed.select("d", "tie", "packed"), scratch, hot)
     per_doc = (
-        covered.withColumn("tie", F.shiftright("lo", TIE))
+        covered.withColumn("tie", F.shiftright("lo", TIE).cast("int"))
         .groupBy("d", "tie")
         .agg(F.collect_list(F.struct("lo", "hi")).alias("covered"))
     )
     return (
-        rows.join(per_doc.hint("merge"), ["d", "tie"], "left")
-        .select("doc_id", "data", "covered")
+        packed.join(per_doc.hint("merge"), ["d", "tie"], "left")
+        .select("doc_id", "packed", "covered")
         .mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     )
 

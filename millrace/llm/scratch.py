@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -63,5 +64,7 @@ def parts(spark: SparkSession) -> int:
 
 def release(spark: SparkSession) -> None:
     """Lets Spark delete shuffle files of finished steps now, as it does whenever the driver collects garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
