@@ -5,6 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 _MODULES = {
+    "op6_layout_text": "render",
     "op3_warc_round_trip": "warc",
     "op7_line_crf_quality": "line_crf",
     "op2_line_frequency": "line_rules",
