@@ -5,6 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 _MODULES = {
+    "op4_sentence_rule_licences": "licences",
     "op6_layout_text": "render",
     "op3_warc_round_trip": "warc",
     "op7_line_crf_quality": "line_crf",
