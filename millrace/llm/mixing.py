@@ -10,7 +10,8 @@ Plan
    totals: a free draw could not hold the totals near the targets or any document below ``cap`` times its size.
 4. Shard by shard, a source's slots have consecutive numbers; a pseudorandom permutation of the source (swap-or-not
    network, any length) maps the number to a block index. A short last block comes last in its epoch.
-5. Slots meet blocks by (source, index); a document's taken words are the overlaps of its pieces with taken slots.
+5. Slots meet blocks by (source, index), always in a shuffled join: both grow with the data, which sizes taken before
+   rows are exploded do not show. A document's taken words are the overlaps of its pieces with taken slots.
 
 All draws are hashes of seed, source and number, so reruns agree. Everything runs as built-in expressions.
 
@@ -23,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .scratch import Scratch, table
+from .scratch import Scratch, parts, table
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -76,7 +77,8 @@ def permuted(x: Column, n: Column, *salt: Column) -> Column:
 
 def _exploded(df: DataFrame, n: str, name: str) -> DataFrame:
     """A row for each of 0..n-1, in two steps so that no array grows with the data."""
-    chunks = df.withColumn("_c", F.explode(F.expr(f"sequence(0L, ({n} - 1) div {_CHUNK})"))).repartition("sid", "_c")
+    chunks = df.withColumn("_c", F.explode(F.expr(f"sequence(0L, ({n} - 1) div {_CHUNK})")))
+    chunks = chunks.repartition(parts(df.sparkSession), *df.columns, "_c")
     return chunks.withColumn(
         name, F.explode(F.expr(f"sequence(_c * {_CHUNK}, least({n}, (_c + 1) * {_CHUNK}) - 1)"))
     ).drop("_c")
@@ -157,7 +159,8 @@ def shards(docs: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS)
     pieces, taken = mix(docs, block, shard_slots)
     n = F.least("to", "take") - F.col("from")
     return (
-        taken.join(pieces, ["sid", "index"])
+        taken.hint("merge")
+        .join(pieces, ["sid", "index"])
         .withColumn("n_words", n)
         .filter("n_words > 0")
         .select("shard", "number", "source", "from", "doc_id", (F.col("index") * block + F.col("from") - F.col("off")).alias("first_word"), "n_words")
@@ -169,7 +172,7 @@ def taken_words(docs: DataFrame) -> DataFrame:
     pieces, taken = mix(docs)
     words = F.greatest(F.least("to", F.coalesce("take", F.lit(0))) - F.col("from"), F.lit(0))
     return (
-        pieces.join(taken.select("sid", "index", "take"), ["sid", "index"], "left")
+        pieces.join(taken.select("sid", "index", "take").hint("merge"), ["sid", "index"], "left")
         .groupBy("doc_id", "source", "sid", "off", "size", "source_size", "target")
         .agg(F.sum(words).cast("long").alias("taken"))
         .select("doc_id", "source", "size", "source_size", "target", "taken")
