@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import table
+from .scratch import small_batches, table
 
 SAMPLE = 4000
 SAMPLE_LINES = 40
@@ -223,6 +223,7 @@ def _remainder(doc_id: Column) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lines: int = SAMPLE_LINES) -> Model:
     """The model of a bounded sample of labelled documents that are not held out."""
+    small_batches(docs.sparkSession)
     chosen = (
         labels.select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("int").alias("quality"))
         .filter("id is not null and quality is not null")

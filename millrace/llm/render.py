@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import table
+from .scratch import small_batches, table
 
 MAX_PAD = 60
 MAX_SPAN = 1000
@@ -386,6 +386,7 @@ def render(source: str | None) -> tuple[str, int, int]:
 
 def rendered(pages: DataFrame) -> DataFrame:
     """``(page_id, text, n_lines, n_tables)`` per row of ``pages(page_id, html)``."""
+    small_batches(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -3,24 +3,25 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_OWN: dict[str, str] = {}
+from millrace.session import shared_dir
 
+BATCH_BYTES = 8 << 20
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="millrace-")
-    return _OWN[app]
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by bytes: long texts would else fill tens of megabytes, twice, in the JVM and in Python.
+
+    A smaller bound set by the user stays.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    bytes_now = int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)))
+    if bytes_now <= 0 or bytes_now > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 class Scratch:
@@ -30,6 +31,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, label: str):
+        small_batches(spark)
         self.spark = spark
         self.base = f"{shared_dir(spark)}/millrace-{label}-{uuid.uuid4().hex[:12]}"
         self.n = 0
