@@ -7,8 +7,10 @@ Plan
 2. A class has K min-hash symbols of b bits. Two sets of similarity J differ in Binomial(K, 1-J) symbols.
 3. Pigeonhole: K symbols in m chunks; signatures within distance t < 2m agree in some chunk up to one symbol.
    Each chunk is therefore indexed once per symbol left out (the allowed chunk error), which guarantees that
-   all pairs within distance t share a key.
-4. Under each key all classes are tied to the smallest one (a star: as many ties as members, never all pairs).
+   all pairs within distance t share a key. m is chosen so that a pair at the threshold is beyond t with a chance
+   below ``MISS``.
+4. Under each key all classes are tied to the smallest one (a star: as many ties as members, never all pairs), first
+   within a batch, so that a key which very many classes have is nearly settled before the shuffle, then over all.
    Components of these ties hold every pair that shares a key.
 5. A component is cut into blocks of bounded size; each pair of blocks is one task that compares
    signatures, confirms candidates on the full sets and returns the links of a spanning forest.
@@ -23,20 +25,20 @@ input columns are ignored, whatever their names. An empty table gives an empty r
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import components
 from .scratch import Scratch, table
 
 K = 64
-CHUNKS = 12
-MAX_DISTANCE = 2 * CHUNKS - 1
-BLOCK_SHINGLES = 1_500_000
+MISS = 1e-5
+BLOCK_SHINGLES = 1_000_000
 
 _U = np.uint64
 _MIX1, _MIX2, _MIX3 = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9)
@@ -52,7 +54,7 @@ class Words(dict):
     """Word bytes to 64-bit hash, kept for words seen lately."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 50_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h
@@ -86,16 +88,21 @@ def signature(s: np.ndarray) -> np.ndarray:
     return (_mixed(low) >> _U(48)).astype(np.uint16)
 
 
-def _bounds() -> list[tuple[int, int]]:
-    edges = np.linspace(0, K, CHUNKS + 1).round().astype(int)
-    return list(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
+def chunk_count(percent: int) -> int:
+    """Chunks needed so that pairs at the threshold exceed the guaranteed distance with a chance below ``MISS``."""
+    far = 1 - percent / 100
+    for m in range(1, K // 2):
+        if sum(comb(K, k) * far**k * (1 - far) ** (K - k) for k in range(2 * m, K + 1)) < MISS:
+            return m
+    return K // 2
 
 
-def chunk_keys(sig: np.ndarray) -> np.ndarray:
+def chunk_keys(sig: np.ndarray, chunks: int) -> np.ndarray:
     """(n, K) symbols to (n, K) keys: chunk by chunk, the chunk's other symbols when one is left out."""
     keys = np.empty(sig.shape, dtype=np.uint64)
     wide = sig.astype(np.uint64)
-    for lo, hi in _bounds():
+    edges = np.linspace(0, K, chunks + 1).round().astype(int).tolist()
+    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
         for out in range(lo, hi):
             h = np.full(len(sig), out + 1, dtype=np.uint64)
             for k in range(lo, hi):
@@ -123,13 +130,38 @@ def _described(size: int):
     return run
 
 
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
+def _keyed(chunks: int):
+    """Signatures to (key, rep, tie): under each key of a batch only the smallest rep goes on, others are tied to it.
+
+    Ties need no company, so they get a key that scatters them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
             sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint16).reshape(-1, K)
-            keys = chunk_keys(sig).view(np.int64)
             rep = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), K)
-            yield pa.RecordBatch.from_arrays([pa.array(rep, pa.int64()), pa.array(keys.ravel())], names=["rep", "key"])
+            key = chunk_keys(sig, chunks).ravel()
+            order = np.lexsort((rep, key))
+            key, rep = key[order], rep[order]
+            first = np.ones(len(key), dtype=bool)
+            first[1:] = key[1:] != key[:-1]
+            low = rep[np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))]
+            tied = np.unique(np.stack([low[~first], rep[~first]]), axis=1)
+            tied = tied[:, tied[0] != tied[1]]
+            some = _mixed(tied[0].astype(np.uint64) * _MIX1 + tied[1].astype(np.uint64))
+            none = np.zeros(int(first.sum()), dtype=np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate([key[first], some]).view(np.int64)),
+                    pa.array(np.concatenate([rep[first], tied[1]]), pa.int64()),
+                    pa.array(np.concatenate([none, tied[0]]), pa.int64(), mask=np.arange(len(none) + tied.shape[1]) < len(none)),
+                ],
+                names=["key", "rep", "tie"],
+            )
+
+    return run
 
 
 class Forest:
@@ -153,7 +185,7 @@ class Forest:
         return True
 
 
-def confirmed(sets: list[np.ndarray], left: int, percent: int, whole: bool) -> Iterator[tuple[int, int]]:
+def confirmed(sets: list[np.ndarray], left: int, percent: int, whole: bool, furthest: int) -> Iterator[tuple[int, int]]:
     """Links of a spanning forest of the pairs with 100 * intersection >= percent * union.
 
     ``whole``: all pairs of the list; else only pairs of one of the first ``left`` with one of the others.
@@ -171,7 +203,7 @@ def confirmed(sets: list[np.ndarray], left: int, percent: int, whole: bool) -> I
         if not len(near):
             continue
         far = (sig[near] != sig[i]).sum(axis=1)
-        near, far = near[far <= MAX_DISTANCE], far[far <= MAX_DISTANCE]
+        near, far = near[far <= furthest], far[far <= furthest]
         for j in near[np.argsort(far, kind="stable")].tolist():
             if root[j] == root[i]:
                 continue
@@ -192,12 +224,14 @@ def _shared(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def _linked(size: int, percent: int):
+    furthest = 2 * chunk_count(percent) - 1
+
     def flush(key, rows, words) -> pa.RecordBatch:
         _, bi, bj = key
         rows.sort(key=lambda r: (r[1] != bi, r[0]))
         left = sum(r[1] == bi for r in rows)
         sets = [shingles(r[2], size, words) for r in rows]
-        pairs = list(confirmed(sets, left, percent, bi == bj)) if len(sets) > 1 else []
+        pairs = list(confirmed(sets, left, percent, bi == bj, furthest)) if len(sets) > 1 else []
         return pa.RecordBatch.from_arrays(
             [pa.array([rows[a][0] for a, _ in pairs], pa.int64()), pa.array([rows[b][0] for _, b in pairs], pa.int64())],
             names=["u", "v"],
@@ -233,9 +267,9 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     )
     same_id = named.groupBy("doc_id").agg(F.count_distinct("print").alias("k")).filter("k > 1")
 
-    keys = classes.select("rep", "sig").mapInArrow(_keyed, "rep long, key long")
-    stars = keys.groupBy("key").agg(F.min("rep").alias("u"), F.count("*").alias("k")).filter("k > 1").select("key", "u")
-    ties = keys.join(stars, "key").select("u", F.col("rep").alias("v"))
+    keys = classes.select("rep", "sig").mapInArrow(_keyed(chunk_count(percent)), "key long, rep long, tie long")
+    low = F.min("rep").over(Window.partitionBy("key"))
+    ties = keys.select("rep", F.coalesce("tie", low).alias("u")).filter("u <> rep").select("u", F.col("rep").alias("v"))
     near = components(ties, scratch)
     sized = scratch.keep(
         near.join(classes.select("rep", "n", "print"), F.col("node") == F.col("rep")).select("component", "rep", "n", "print"),
