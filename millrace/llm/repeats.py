@@ -41,8 +41,8 @@ from .scratch import Scratch, release, table
 
 LENGTH = 100
 GRAM = 32
-HOT = 20_000
-INDEX_BYTES = 1 << 20
+HOT = 8_000
+INDEX_BYTES = 1 << 19
 PIECE = 1 << 18
 TIE = 40
 _LAST = 2**63 - 1
@@ -183,16 +183,18 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def suffix_order(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Suffix array by prefix doubling that only sorts what is still tied; and each position's next seven symbols."""
     n = len(text)
-    wide = np.zeros(n + 7, dtype=np.int64)
+    wide = np.zeros(n + 7, dtype=np.int16)
     wide[:n] = text
     packed = np.zeros(n, dtype=np.int64)
     for k in range(7):
-        packed = (packed << 9) | wide[k : k + n]
+        packed <<= 9
+        packed |= wide[k : k + n]
     sa = np.argsort(packed).astype(np.int32)
     key, slots = packed[sa], np.arange(n, dtype=np.int32)
     new = np.ones(n, dtype=bool)
     new[1:] = key[1:] != key[:-1]
-    start = np.maximum.accumulate(np.where(new, slots, 0))
+    start = np.maximum.accumulate(np.where(new, slots, np.int32(0)))
+    del key, slots
     rank = np.empty(n, dtype=np.int32)
     rank[sa] = start
     step = 7
@@ -247,8 +249,8 @@ class RunIndex:
     def statistics(self) -> tuple[np.ndarray, np.ndarray]:
         """For every position, the match with the preceding suffix: its length and where that suffix starts."""
         gone = np.diff(np.append(self.at, self.n))
-        since = np.arange(self.n) - np.repeat(self.at, gone)
-        return np.repeat(self.length, gone) - since, np.repeat(self.previous, gone) + since
+        since = np.arange(self.n, dtype=np.int32) - np.repeat(self.at.astype(np.int32), gone)
+        return np.repeat(self.length.astype(np.int32), gone) - since, np.repeat(self.previous.astype(np.int32), gone) + since
 
 
 def repeated_starts(windows: list[bytes], order: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -263,13 +265,14 @@ def repeated_starts(windows: list[bytes], order: np.ndarray, starts: np.ndarray)
     inside[ends] = False
     text[inside] = np.frombuffer(b"".join(windows), dtype=np.uint8).astype(np.int16) + 1
     length, previous = RunIndex(text).statistics()
-    which = np.repeat(np.arange(len(windows)), size + 1)
     begin = ends - size
-    key = (order[which] << 38) + starts[which] + np.arange(len(text)) - begin[which]
-    valid = np.arange(len(text)) + LENGTH <= ends[which]
+    places = np.arange(len(text), dtype=np.int32)
+    valid = places + LENGTH <= np.repeat(ends.astype(np.int32), size + 1)
+    key = np.repeat((order << 38) + starts - begin, size + 1) + places
     long = (length >= LENGTH) & valid
-    root = np.where(long, previous, np.arange(len(text)))
+    root = np.where(long, previous, places)
     live = np.flatnonzero(long)
+    del length, previous, places, text
     while True:
         further = root[root[live]]
         if (further == root[live]).all():
@@ -277,7 +280,10 @@ def repeated_starts(windows: list[bytes], order: np.ndarray, starts: np.ndarray)
         root[live] = further
     first = key.copy()
     np.minimum.at(first, root[live], key[live])
-    return valid & (key > first[root]), begin
+    again = np.zeros(len(key), dtype=bool)
+    again[live] = key[live] > first[root[live]]
+    again[root[live]] |= key[root[live]] > first[root[live]]
+    return again, begin
 
 
 def _runs(marked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
