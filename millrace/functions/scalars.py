@@ -64,7 +64,7 @@ def text_to_lsn(text: Column) -> Column:
 def lsn_order(lsn: Column) -> Column:
     """A key that orders 64-bit positions as unsigned."""
     d = lsn.cast("decimal(20,0)")
-    return F.when(lsn < 0, d + F.lit(1 << 64).cast("decimal(20,0)")).otherwise(d)
+    return F.when(lsn < 0, d + F.lit(str(1 << 64)).cast("decimal(20,0)")).otherwise(d)
 
 
 def step_key(saga_id: Column, step: Column, attempt: Column) -> Column:

@@ -61,11 +61,11 @@ def histogram_quantile(buckets: DataFrame, keys: list[str], q: float) -> DataFra
             "_rank": F.lit(q) * F.max("n").over(Window.partitionBy(*keys)),
         }
     )
-    inside = F.col("_from") + (F.col("le") - F.col("_from")) * (F.col("_rank") - F.col("_below")) / (F.col("n") - F.col("_below"))
+    inside = F.col("_from") + (F.col("le") - F.col("_from")) * (F.col("_rank") - F.col("_below")) / F.nullif(F.col("n") - F.col("_below"), F.lit(0))
     return (
         b.filter((F.col("n") >= F.col("_rank")) & (F.col("_rank") > 0))
         .groupBy(*keys)
-        .agg(F.min_by(F.when(F.col("le").isNull(), F.col("_from")).otherwise(inside), F.col("n")).alias("quantile"))
+        .agg(F.min_by(F.when(F.col("le").isNull(), F.col("_from")).otherwise(inside), F.coalesce("le", F.lit(float("inf")))).alias("quantile"))
     )
 
 

@@ -314,7 +314,7 @@ QUERIES = {
         histogram_quantile,
         f"""{_HIST}, q AS (SELECT *, coalesce(lag(le) OVER w, 0) AS f, coalesce(lag(n) OVER w, 0) AS b, 0.95::DOUBLE * max(n) OVER (PARTITION BY event_type) AS r FROM h
           WINDOW w AS (PARTITION BY event_type ORDER BY le NULLS LAST))
-        SELECT event_type, round(arg_min(CASE WHEN le IS NULL THEN f ELSE f + (le - f) * (r - b) / (n - b) END, n), 6) AS quantile FROM q WHERE n >= r AND r > 0 GROUP BY 1""",
+        SELECT event_type, round(arg_min(CASE WHEN le IS NULL THEN f ELSE f + (le - f) * (r - b) / nullif(n - b, 0) END, coalesce(le, 'Infinity'::DOUBLE)), 6) AS quantile FROM q WHERE n >= r AND r > 0 GROUP BY 1""",
     ),
     "counter_rate": (
         counter_rate,
