@@ -1,7 +1,7 @@
 """Licence scans by sentence rules: sentences become identifiers, identifier sequences are matched against ordered rules.
 
 A text is cut into sentences at sentence ends and line breaks; a line that goes on in lower case, or after a comma, is no
-break. Normalised sentences (lower case; other characters than letters and digits to one space) are looked up in ``SENTENCES``.
+break, except after an identifier tag. Normalised sentences (lower case; other characters than letters and digits to one space) are looked up in ``SENTENCES``.
 The known ones, in order, form a sequence; ``RULES`` are tried longest first, and a match uses its sentences up.
 
 All is built-in expressions on one row: nothing is shuffled. Texts with none of the words of ``HINT`` hold no known sentences (every
@@ -93,6 +93,8 @@ RULES = [
 ]
 #: In every rule, some sentence has one of these; without them, an identifier such as 'mit' is a common word.
 HINT = "(?i)licen|permission|copyright|software|redistribution"
+#: An identifier tag ends at its line's end, however the next line goes on.
+TAGGED = r"(SPDX-License-Identifier:[ \t]*[A-Za-z0-9.+-]+)[ \t]*\r?\n"
 
 
 def _pattern(ids: list[str]) -> str:
@@ -102,7 +104,8 @@ def _pattern(ids: list[str]) -> str:
 def scanned(docs: DataFrame) -> DataFrame:
     """``(doc_id, licences, n_known, n_unmatched)`` per row of ``docs(doc_id, text)``."""
     text = F.col("text").cast("string")
-    flowing = F.regexp_replace(F.regexp_replace(text, r"\r?\n[ \t]*([a-z(])", " $1"), r",[ \t]*\r?\n", ", ")
+    marked = F.regexp_replace(text, TAGGED, "$1.\n")
+    flowing = F.regexp_replace(F.regexp_replace(marked, r"\r?\n[ \t]*([a-z(])", " $1"), r",[ \t]*\r?\n", ", ")
     pieces = F.split(F.regexp_replace(flowing, r"([.!?;:])[ \t]+", "$1\n"), r"[\r\n]+")
     known = F.create_map(*(F.lit(x) for name, sentence in SENTENCES.items() for x in (sentence, name)))
     plain = lambda s: F.trim(F.regexp_replace(F.lower(s), r"[^\p{L}\p{N}]+", " "))
@@ -146,11 +149,11 @@ def _oracle() -> str:
         last = f"s{k}"
     return rf"""
 WITH known(sentence, name) AS (VALUES {known}), pieces AS (
-  SELECT doc_id, unnest(string_split(translate(regexp_replace(regexp_replace(regexp_replace(text, '\r?\n[ \t]*([a-z(])', ' \1', 'g'),
+  SELECT doc_id, unnest(string_split(translate(regexp_replace(regexp_replace(regexp_replace(marked, '\r?\n[ \t]*([a-z(])', ' \1', 'g'),
     ',[ \t]*\r?\n', ', ', 'g'), '([.!?;:])[ \t]+', '\1' || chr(10), 'g'), chr(13), chr(10)), chr(10))) AS piece,
-    generate_subscripts(string_split(translate(regexp_replace(regexp_replace(regexp_replace(text, '\r?\n[ \t]*([a-z(])', ' \1', 'g'),
+    generate_subscripts(string_split(translate(regexp_replace(regexp_replace(regexp_replace(marked, '\r?\n[ \t]*([a-z(])', ' \1', 'g'),
     ',[ \t]*\r?\n', ', ', 'g'), '([.!?;:])[ \t]+', '\1' || chr(10), 'g'), chr(13), chr(10)), chr(10)), 1) AS i
-  FROM documents WHERE regexp_matches(text, '{HINT}')
+  FROM (SELECT doc_id, regexp_replace(text, '{TAGGED}', '\1.' || chr(10), 'g') AS marked FROM documents WHERE regexp_matches(text, '{HINT}'))
 ), named AS (
   SELECT doc_id, string_agg('|' || name || '|', '' ORDER BY i) AS seq, count(*) AS n
   FROM pieces JOIN known ON sentence = trim(regexp_replace(lower(piece), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) GROUP BY doc_id
