@@ -4,7 +4,8 @@ Plan
 ----
 1. Documents are sized in words; sources get targets by weight, limited to ``cap`` times their size (water-filling).
 2. Each source's words are packed into blocks of ``block`` words: documents in the order of (bucket, doc_id), their
-   offsets from a two-level running sum, so that a source with a third of all rows is no single task.
+   offsets from a two-level running sum over the square root of all rows as buckets, so that a source with a third of
+   all rows is no single task.
 3. A source takes its blocks in epochs: whole ones, then a part, until the target is reached exactly. Each taken block is
    a slot. Slots draw output shards at random, which makes each shard's source counts multinomial given the sources'
    totals: a free draw could not hold the totals near the targets or any document below ``cap`` times its size.
@@ -21,6 +22,8 @@ doc_id and repeated rows are documents of their own; other columns are ignored;
 
 from __future__ import annotations
 
+from math import isqrt
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,7 +36,6 @@ BLOCK = 256
 SHARD_SLOTS = 4096
 SEED = 17
 ROUNDS = 12
-BUCKET_ROWS = 20_000
 _CHUNK = 4096
 
 
@@ -116,7 +118,7 @@ def slots(targets: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS
 
 def packed(sized: DataFrame, scratch: Scratch, block: int = BLOCK) -> DataFrame:
     """Pieces of documents in blocks: the input's columns, its offset ``off``, block ``index``, and from, to in the block."""
-    buckets = max(8, sized.count() // BUCKET_ROWS)
+    buckets = max(8, isqrt(sized.count()))
     rows = scratch.keep(
         sized.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets))).withColumn(
             "inner", F.sum("size").over(Window.partitionBy("sid", "bucket").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1))
