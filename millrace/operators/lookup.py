@@ -48,12 +48,12 @@ def feature_lookup(requests: DataFrame, online: DataFrame, offline: DataFrame, k
     )
 
 
-def flag_for_entity(flags: DataFrame, entities: DataFrame, entity: str) -> DataFrame:
-    """Every flag for every entity: rollout by md5 of flag:entity; no percentage means on.
+def flag_for_entity(requests: DataFrame, flags: DataFrame, entity: str) -> DataFrame:
+    """Decisions for requests of ``(name, entity)``: rollout by md5 of flag:entity; no percentage, or no entity, means on.
 
-    Flags are configuration, so the product with entities is the question asked, not a join of data with itself.
+    Requests for flags that do not exist are dropped.
     """
-    both = entities.crossJoin(F.broadcast(flags))
+    both = requests.join(flags.select("name", "enabled", "rollout"), "name")
     return both.withColumn("bucket", md5_bucket(F.concat_ws(":", "name", F.col(entity).cast("string")))).withColumn(
         "is_on", F.col("enabled") & (F.col("rollout").isNull() | F.col(entity).isNull() | (F.col("bucket") < F.col("rollout")))
     )

@@ -149,8 +149,9 @@ def stream_enrichment(spark, d):
 
 
 def flag_rollout_md5(spark, d):
-    users = X.table(spark, d, "events").select("user_id").distinct()
-    return lookup.flag_for_entity(X.flags(spark), users, "user_id").select("name", "user_id", "bucket", "is_on")
+    names = F.array(*(F.lit(name) for name, _, _ in X.FLAGS))
+    requests = X.table(spark, d, "events").select("user_id").distinct().withColumn("name", F.explode(names))
+    return lookup.flag_for_entity(requests, X.flags(spark), "user_id").select("name", "user_id", "bucket", "is_on")
 
 
 def flag_enabled_bytesum(spark, d):
@@ -179,7 +180,7 @@ def webhook_signatures(spark, d):
     pads = spark.createDataFrame(rows, "subscription_id string, inner_pad binary, outer_pad binary")
     sent = webhook_fanout(spark, d).withColumn("body", F.concat(F.lit('{"event_id":'), F.col("event_id").cast("string"), F.lit("}")))
     digest = S.hmac_sha256(F.col("inner_pad"), F.col("outer_pad"), F.col("body"))
-    return sent.join(F.broadcast(pads), "subscription_id").select("event_id", "subscription_id", S.signature_header(digest).alias("signature"))
+    return sent.join(pads, "subscription_id").select("event_id", "subscription_id", S.signature_header(digest).alias("signature"))
 
 
 _LATEST = f"""

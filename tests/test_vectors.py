@@ -219,9 +219,10 @@ def test_aggregates(spark):
 
 def test_flags(spark):
     flags = spark.createDataFrame([("gradual-rollout", True, 25), ("off", False, 100), ("all", True, None)], "name string, enabled boolean, rollout int")
-    users = spark.range(100).select(F.col("id").cast("string").alias("u"))
-    on = {r.name: r.n for r in lookup.flag_for_entity(flags, users, "u").groupBy("name").agg(F.count_if("is_on").alias("n")).collect()}
-    assert 10 < on["gradual-rollout"] < 40 and on["off"] == 0 and on["all"] == 100
+    names = F.explode(F.array(*map(F.lit, ("gradual-rollout", "off", "all", "missing")))).alias("name")
+    requests = spark.range(100).select(F.col("id").cast("string").alias("u"), names)
+    on = {r.name: r.n for r in lookup.flag_for_entity(requests, flags, "u").groupBy("name").agg(F.count_if("is_on").alias("n")).collect()}
+    assert 10 < on["gradual-rollout"] < 40 and on["off"] == 0 and on["all"] == 100 and "missing" not in on
     names = spark.createDataFrame([("all",), ("off",), ("none",)], "name string")
     got = lookup.flag_with_fallback(names, flags.filter("name = 'all'"), flags)
     assert rows(got, "name", "found_in") == [("all", "cache"), ("none", "not_found"), ("off", "store")]
