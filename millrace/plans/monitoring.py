@@ -252,8 +252,8 @@ QUERIES = {
     "rate_limit_sliding": (
         rate_limit_sliding,
         """WITH w AS (SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL '21599.999999' SECOND PRECEDING AND CURRENT ROW) AS c FROM events)
-        SELECT event_id, c AS in_window, c <= 2 AS allowed, CASE WHEN c <= 2 THEN 2 - c ELSE 0 END AS remaining, CASE WHEN c > 2 THEN 21600000 END AS retry_after_ms,
-          CASE WHEN c > 2 THEN 429 ELSE 200 END AS status, CASE WHEN c > 2 THEN 21600 END AS retry_after FROM w""",
+        SELECT event_id, c AS in_window, c <= 2 AS allowed, CASE WHEN c <= 2 THEN 2 - c ELSE 0 END AS remaining, CASE WHEN c > 2 THEN 21600000::BIGINT END AS retry_after_ms,
+          CASE WHEN c > 2 THEN 429 ELSE 200 END AS status, CASE WHEN c > 2 THEN 21600::BIGINT END AS retry_after FROM w""",
     ),
     "rate_limit_violations": (
         rate_limit_violations,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -78,11 +78,9 @@ changes AS (
 
 def saga_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as steps of their order's saga; returned ones failed."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")
     return table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("saga_id"), (F.row_number().over(w) - 1).alias("step"), (F.col("l_returnflag") == "R").alias("failed")
+        F.col("l_orderkey").alias("saga_id"), (F.row_number().over(w) - 1).cast("long").alias("step"), (F.col("l_returnflag") == "R").alias("failed")
     )
 
 
