@@ -7,8 +7,8 @@ of smaller items). A document that contains 80 % of the item holds each sketch h
 fewer than ``LEAST`` of 24 with a chance below 1e-11; in the partition of small items the count is exact.
 
 Documents stream: their shingles probe the sketches where they are read, and only matches are shuffled, combined per
-document and item. Sketches, and then candidates, are broadcast only if counted to be below ``BROADCAST_ROWS``;
-else the same joins are shuffled.
+document and item. Sketches, and then candidates, are broadcast only if counted to be below ``BROADCAST_ROWS`` and
+``BROADCAST_CANDIDATES``; else the same joins are shuffled.
 
 Defined results: null, empty and short texts (fewer words than a shingle) contain nothing and, as items, are found nowhere.
 Rows without doc_id are treated like others; rows that share doc_id and text give one row. Repeated items with one
@@ -25,6 +25,8 @@ from .scratch import Scratch, table
 SKETCH = 24
 LEAST = 4
 BROADCAST_ROWS = 500_000
+#: Candidates carry their item's shingles, so fewer of them.
+BROADCAST_CANDIDATES = 60_000
 
 
 def word_list(text: Column) -> Column:
@@ -46,9 +48,9 @@ def shingle_hashes(text: Column, size: int) -> Column:
     return F.element_at(F.transform(F.array(word_list(text)), hashes), 1)
 
 
-def _sized(df: DataFrame, rows: int, how: str) -> DataFrame:
+def _sized(df: DataFrame, rows: int, most: int) -> DataFrame:
     """The table with a broadcast hint if it has been counted to be small, else one for a shuffled join."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df.hint(how)
+    return F.broadcast(df) if rows <= most else df.hint("merge")
 
 
 def contained_items(docs: DataFrame, items: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
@@ -74,7 +76,7 @@ def contained_items(docs: DataFrame, items: DataFrame, shingle_words: int = 5, p
         F.xxhash64("doc_id", "text").alias("key"), F.explode(shingle_hashes(F.col("text"), shingle_words)).alias("h")
     )
     candidates = scratch.keep(
-        probes.join(_sized(sketch, n_sketch, "merge"), "h")
+        probes.join(_sized(sketch, n_sketch, BROADCAST_ROWS), "h")
         .groupBy("key", "item", "h")
         .agg(F.first("least").alias("least"))
         .groupBy("key", "item")
@@ -84,7 +86,7 @@ def contained_items(docs: DataFrame, items: DataFrame, shingle_words: int = 5, p
         "candidates",
     )
     n_candidates = candidates.count()
-    with_items = _sized(candidates.join(known, "item").select("key", "item_id", "shingles"), n_candidates, "merge")
+    with_items = _sized(candidates.join(known, "item").select("key", "item_id", "shingles"), n_candidates, BROADCAST_CANDIDATES)
     keyed = rows.withColumn("key", F.xxhash64("doc_id", "text"))
     shared = F.size(F.array_intersect("shingles", "held"))
     return (
@@ -107,7 +109,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = contained_items(docs, table(spark, sf_dir, "benchmark")).select("key").distinct()
     found = Scratch(spark, "decontam").keep(found, "found")
     keyed = docs.withColumn("_key", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
-    gone = _sized(found, found.count(), "merge")
+    gone = _sized(found, found.count(), BROADCAST_ROWS)
     return keyed.join(gone, keyed["_key"] == gone["key"], "left_anti").select(*docs.columns)
 
 
