@@ -16,11 +16,11 @@ def _now(spark, d):
 
 
 def outbox_relay_batch(spark, d):
-    return outbox.to_messages(outbox.pending(X.outbox(spark, d), 100), "orders")
+    return outbox.to_messages(outbox.pending(X.outbox(spark, d, waiting=True), 100), "orders")
 
 
 def outbox_backlog_by_topic(spark, d):
-    waiting = outbox.pending(X.outbox(spark, d))
+    waiting = outbox.pending(X.outbox(spark, d, waiting=True))
     return outbox.to_messages(waiting, "orders").groupBy("topic").agg(F.count("*").alias("pending"))
 
 

@@ -10,10 +10,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def outbox(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as outbox rows: open orders wait to be published; urgent ones name their topic."""
+def outbox(spark: SparkSession, sf_dir: str, waiting: bool = False) -> DataFrame:
+    """Orders as outbox rows: open orders wait to be published; urgent ones name their topic.
+
+    ``waiting``: only open orders, stated on the stored column, as a filter on the derived one does not reach the scan.
+    """
+    orders = table(spark, sf_dir, "orders")
+    if waiting:
+        orders = orders.filter(F.col("o_orderstatus") == "O")
     cents = F.round(F.col("o_totalprice") * 100).cast("long").cast("string")
-    return table(spark, sf_dir, "orders").select(
+    return orders.select(
         F.col("o_orderkey").alias("id"),
         F.concat(F.lit("evt-"), F.col("o_orderkey").cast("string")).alias("event_id"),
         F.lit("order").alias("aggregate_type"),
