@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
 import time
 import uuid
@@ -24,16 +25,34 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+_LEFT: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def _tidy() -> None:
+    """At the end of the program results are read: what operators wrote on their way goes."""
+    for spark, base in _LEFT:
+        if spark.sparkContext._jsc is not None:
+            _delete(spark, base)
+
+
 class Scratch:
     """Writes tables to the shared folder and rereads them, so that a lost executor costs no recomputation.
 
-    ``keep`` returns the reread table; ``drop`` deletes a table that nothing reads any more.
+    ``keep`` returns the reread table; ``drop`` deletes a table that nothing reads any more. The rest goes when the
+    program ends.
     """
 
     def __init__(self, spark: SparkSession, label: str):
         small_batches(spark)
         self.spark = spark
         self.base = f"{shared_dir(spark)}/millrace-{label}-{uuid.uuid4().hex[:12]}"
+        _LEFT.append((spark, self.base))
         self.n = 0
         self.paths: dict[int, str] = {}
 
@@ -51,9 +70,7 @@ class Scratch:
     def drop(self, df: DataFrame) -> None:
         path = self.paths.pop(id(df), None)
         if path:
-            jvm = self.spark._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(self.spark, path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
