@@ -9,9 +9,10 @@ Plan
    Each chunk is therefore indexed once per symbol left out (the allowed chunk error), which guarantees that
    all pairs within distance t share a key. m is chosen so that a pair at the threshold is beyond t with a chance
    below ``MISS``.
-4. Under each key all classes are tied to the smallest one (a star: as many ties as members, never all pairs), first
-   within a batch, so that a key which very many classes have is nearly settled before the shuffle, then over all.
-   Components of these ties hold every pair that shares a key.
+4. Under each key, pairs within distance t are joined to a forest (as many ties as members at most, never all pairs).
+   Classes that only share some passage are too far apart for a tie, so that they form no large components. A key of more
+   than ``BUCKET_ROWS`` classes is tied as a star to its smallest one, unseen: looser, but complete. Components of all ties
+   hold every pair within distance t.
 5. A component is cut into blocks of bounded size; each pair of blocks is one task that compares
    signatures, confirms candidates on the full sets and returns the links of a spanning forest.
 6. Components of the confirmed links are the groups.
@@ -25,6 +26,7 @@ input columns are ignored, whatever their names. An empty table gives an empty r
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 from math import comb
 
 import numpy as np
@@ -39,6 +41,7 @@ from .scratch import Scratch, table
 K = 64
 MISS = 1e-5
 BLOCK_SHINGLES = 1_000_000
+BUCKET_ROWS = 4096
 
 _U = np.uint64
 _MIX1, _MIX2, _MIX3 = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9)
@@ -131,35 +134,60 @@ def _described(size: int):
 
 
 def _keyed(chunks: int):
-    """Signatures to (key, rep, tie): under each key of a batch only the smallest rep goes on, others are tied to it.
-
-    Ties need no company, so they get a key that scatters them.
-    """
+    """Signatures to (key, rep)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint16).reshape(-1, K)
-            rep = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), K)
-            key = chunk_keys(sig, chunks).ravel()
-            order = np.lexsort((rep, key))
-            key, rep = key[order], rep[order]
-            first = np.ones(len(key), dtype=bool)
-            first[1:] = key[1:] != key[:-1]
-            low = rep[np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))]
-            tied = np.unique(np.stack([low[~first], rep[~first]]), axis=1)
-            tied = tied[:, tied[0] != tied[1]]
-            some = _mixed(tied[0].astype(np.uint64) * _MIX1 + tied[1].astype(np.uint64))
-            none = np.zeros(int(first.sum()), dtype=np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate([key[first], some]).view(np.int64)),
-                    pa.array(np.concatenate([rep[first], tied[1]]), pa.int64()),
-                    pa.array(np.concatenate([none, tied[0]]), pa.int64(), mask=np.arange(len(none) + tied.shape[1]) < len(none)),
-                ],
-                names=["key", "rep", "tie"],
-            )
+            if batch.num_rows:
+                sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint16).reshape(-1, K)
+                keys = chunk_keys(sig, chunks).view(np.int64)
+                rep = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), K)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(rep, pa.int64())], names=["key", "rep"])
+
+    return run
+
+
+def bucket_forest(rep: np.ndarray, sig: np.ndarray, furthest: int) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of one bucket whose signatures are within the distance."""
+    root, out = np.arange(len(rep)), []
+    for i in range(1, len(rep)):
+        near = np.flatnonzero((sig[:i] != sig[i]).sum(axis=1) <= furthest)
+        if len(near):
+            groups, first = np.unique(root[near], return_index=True)
+            out += [(int(rep[near[k]]), int(rep[i])) for k in first]
+            root[np.isin(root, groups)] = groups[0]
+            root[i] = groups[0]
+    return out
+
+
+def _bucketed(furthest: int):
+    """Rows (key, rep, sig) sorted by key to ties (u, v) of each bucket's forest; buckets of two go all at once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                if not batch.num_rows:
+                    continue
+                sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.uint16).reshape(-1, K)
+                fresh = [batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False), sig]
+                held = [np.concatenate(x) for x in zip(held, fresh, strict=True)] if held else fresh
+            if not held:
+                return
+            key, rep, sig = held
+            edge = np.flatnonzero(key[1:] != key[:-1]) + 1
+            starts, stops = np.append(0, edge), np.append(edge, len(key))
+            whole = len(starts) if batch is None else len(starts) - 1
+            cut = stops[whole - 1] if whole else 0
+            starts, size = starts[:whole], (stops - starts)[:whole]
+            two = starts[size == 2]
+            close = two[(sig[two] != sig[two + 1]).sum(axis=1) <= furthest]
+            ties = [np.stack([rep[close], rep[close + 1]], axis=1)]
+            for a, n in zip(starts[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+                ties.append(np.array(bucket_forest(rep[a : a + n], sig[a : a + n], furthest), dtype=np.int64).reshape(-1, 2))
+            found = np.concatenate(ties)
+            held = [x[cut:] for x in held] if cut < len(key) else []
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0], pa.int64()), pa.array(found[:, 1], pa.int64())], names=["u", "v"])
 
     return run
 
@@ -253,7 +281,7 @@ def _linked(size: int, percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, block_shingles: int = BLOCK_SHINGLES, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` per row of ``docs(doc_id, text)``."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
@@ -267,9 +295,25 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     )
     same_id = named.groupBy("doc_id").agg(F.count_distinct("print").alias("k")).filter("k > 1")
 
-    keys = classes.select("rep", "sig").mapInArrow(_keyed(chunk_count(percent)), "key long, rep long, tie long")
-    low = F.min("rep").over(Window.partitionBy("key"))
-    ties = keys.select("rep", F.coalesce("tie", low).alias("u")).filter("u <> rep").select("u", F.col("rep").alias("v"))
+    chunks = chunk_count(percent)
+    by_key = Window.partitionBy("key")
+    buckets = scratch.keep(
+        classes.select("rep", "sig")
+        .mapInArrow(_keyed(chunks), "key long, rep long")
+        .withColumns({"n": F.count("*").over(by_key), "low": F.min("rep").over(by_key)})
+        .filter("n > 1"),
+        "buckets",
+    )
+    signed = (
+        buckets.filter(F.col("n") <= bucket_rows)
+        .select("key", "rep")
+        .hint("merge")
+        .join(classes.select("rep", "sig"), "rep")
+        .select("key", "rep", "sig")
+    )
+    close = signed.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(_bucketed(2 * chunks - 1), "u long, v long")
+    star = buckets.filter((F.col("n") > bucket_rows) & (F.col("rep") > F.col("low"))).select(F.col("low").alias("u"), F.col("rep").alias("v"))
+    ties = close.unionByName(star)
     near = components(ties, scratch)
     sized = scratch.keep(
         near.join(classes.select("rep", "n", "print"), F.col("node") == F.col("rep")).select("component", "rep", "n", "print"),

@@ -45,11 +45,11 @@ def brute(texts, size, percent):
     return {i: (len(sets[i]), root(i)) for i in range(len(texts))}
 
 
-@pytest.mark.parametrize("size, percent, block", [(3, 85, 10**6), (5, 80, 150)])
-def test_groups_equal_all_pairs(spark, size, percent, block):
+@pytest.mark.parametrize("size, percent, block, bucket", [(3, 85, 10**6, 4096), (5, 80, 150, 4096), (3, 85, 10**6, 2)])
+def test_groups_equal_all_pairs(spark, size, percent, block, bucket):
     texts = corpus()
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    out = N.near_duplicates(df, size, percent, block).collect()
+    out = N.near_duplicates(df, size, percent, block, bucket).collect()
     want = brute(texts, size, percent)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == want
     assert all(r.kept == (r.doc_id == r.component_id) for r in out)
@@ -67,6 +67,23 @@ def test_pairs_within_the_distance_share_a_key():
             assert (N.chunk_keys(a, chunks) == N.chunk_keys(b, chunks)).any()
 
 
+def test_bucket_forest_has_the_components_of_all_close_pairs():
+    rng = np.random.default_rng(1)
+    for _ in range(30):
+        base = rng.integers(0, 2**16, (4, N.K)).astype(np.uint16)
+        sig = base[rng.integers(0, 4, 25)]
+        for row in sig:
+            row[rng.choice(N.K, rng.integers(0, 18), replace=False)] ^= 1
+        far = (sig[:, None] != sig[None]).sum(axis=2) <= 20
+        reach = far
+        for _ in range(5):
+            reach = (reach.astype(np.int64) @ reach.astype(np.int64)) > 0
+        up = N.Forest(25)
+        ties = N.bucket_forest(np.arange(25), sig, 20)
+        assert all(far[a, b] and up.join(a, b) for a, b in ties)
+        assert all(reach[a, b] == (up.root(a) == up.root(b)) for a in range(25) for b in range(25))
+
+
 def test_rows_that_share_an_id_are_one_document(spark):
     long = " ".join(f"a{k}" for k in range(30))
     other = " ".join(f"b{k}" for k in range(30))
