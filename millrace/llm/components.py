@@ -13,18 +13,23 @@ def _minimum(edges: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("lo")).select("u", F.least("u", "lo").alias("m"))
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """New edges, and the table of minima they read. That is written first: a join of two plain shuffles is one whose
+    large keys adaptive execution can split, which a join on top of an aggregate is not."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return (
-        both.join(_minimum(both), "u")
+    low = scratch.keep(_minimum(both), "minima")
+    new = (
+        both.join(low, "u")
         .filter("v > u")
         .select(F.col("v").alias("u"), F.col("m").alias("v"))
         .filter("u <> v")
         .distinct()
     )
+    return new, low
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
+    """Edges to smaller nodes only: a hub is small, so its edges lie with their other ends."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     low = _minimum(down)
     return (
@@ -48,8 +53,10 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFram
     )
     mark = None
     for _ in range(rounds):
-        new = scratch.keep(_small_star(_large_star(cur)), "round")
+        large, low = _large_star(cur, scratch)
+        new = scratch.keep(_small_star(large), "round")
         scratch.drop(cur)
+        scratch.drop(low)
         cur = new
         now = cur.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
