@@ -54,6 +54,15 @@ def test_base_spans_equal_plain_expressions(spark):
         assert ",".join(f"{kind}:{a}:{b}" for a, _, kind, b in spans) == brute(texts[r.doc_id]), texts[r.doc_id]
 
 
+def test_addresses_with_zero_parts(spark):
+    bits = ["10.0.0.1", "0.0.0.0", "1.2.3.000", "192.168.00.1", "00010.1.1.0255", "1.0.0.256", "1.00300.0.0", " ", ".", "word", "0"]
+    rng = random.Random(6)
+    texts = bits + ["".join(rng.choice(bits) for _ in range(rng.randrange(1, 12))) for _ in range(300)] + ["0" * 3000 + ".0.0.1", "1.2.3." + "0" * 3000 + "x"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    for r in pii.base_spans(df).collect():
+        assert ",".join(f"{x.kind}:{x.at}:{x.to}" for x in sorted(r.base, key=lambda x: (x.at, x.k))) == brute(texts[r.doc_id]), texts[r.doc_id]
+
+
 def test_contexts_reveal_unseen_identifiers(spark):
     texts = [f"please send your message to mail address user{k}@site{k}.org as soon as you can" for k in range(20)]
     texts += ["please send your message to mail address hidden(at)site.net as soon as you can"]
