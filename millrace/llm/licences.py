@@ -1,8 +1,10 @@
 """Licence scans by sentence rules: sentences become identifiers, identifier sequences are matched against ordered rules.
 
-A text is cut into sentences at sentence ends and line breaks; a line that goes on in lower case, or after a comma, is no
-break, except after an identifier tag. Normalised sentences (lower case; other characters than letters and digits to one space) are looked up in ``SENTENCES``.
-The known ones, in order, form a sequence; ``RULES`` are tried longest first, and a match uses its sentences up.
+A text is cut into pieces at sentence ends and line breaks. Pieces are normalised (lower case; other characters than letters and
+digits to one space), which drops comment leaders too, and put together as long as they are the beginning of a sentence of
+``SENTENCES``: so notices are known however they are wrapped, and though the cutter splits 'v. 2.0' or 'Foundation; either'. Of
+sentences that lie in each other the longest counts. None begins at a line that goes on in lower case, or after a comma. The known ones, in order, form a sequence; ``RULES`` are tried longest
+first, and a match uses its sentences up. An SPDX tag is two identifiers for each licence of its expression, listed or not.
 
 All is built-in expressions on one row: nothing is shuffled. Texts with none of the words of ``HINT`` hold no known sentences (every
 rule has a sentence with one of them; the tests hold the list to that) and skip the costly part.
@@ -13,7 +15,7 @@ are ignored. An empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .scratch import table
@@ -93,7 +95,16 @@ RULES = [
 ]
 #: In every rule, some sentence has one of these; without them, an identifier such as 'mit' is a common word.
 HINT = "(?i)licen|permission|copyright|software|redistribution"
-#: An identifier tag ends at its line's end, however the next line goes on.
+#: An identifier tag and its expression.
+_ID = r"(?:\([ \t]*)*[A-Za-z0-9][A-Za-z0-9.+:-]*+(?:[ \t]*\))*"
+TAG = rf"SPDX-License-Identifier:[ \t]*({_ID}(?:[ \t]+(?:AND|OR|WITH)[ \t]+{_ID})*)"
+#: Identifiers that no rule lists state the licence they name.
+OTHER_ID = r"\|SPDX\|\|id:([^|]+)\|"
+#: Comment leaders of letters; others go with the normalisation.
+LEADER = r"(?m)^[ \t]*(?:dnl|[Rr][Ee][Mm])[ \t]+"
+#: Before a line that goes on, in lower case or after a comma: no sentence begins there.
+GOES_ON = r"((?:,[ \t]*\r?\n)(?=[^\r\n])|[^.!?;:\s*/#][ \t]*\r?\n(?=[ \t*/#]*[a-z(]))"
+#: In the SQL, an identifier tag ends at its line's end, however the next line goes on.
 TAGGED = r"(SPDX-License-Identifier:[ \t]*[A-Za-z0-9.+-]+)[ \t]*\r?\n"
 
 
@@ -101,15 +112,67 @@ def _pattern(ids: list[str]) -> str:
     return "".join(f"|{i}|" for i in ids)
 
 
+def _spdx(expression: Column) -> Column:
+    """The identifiers of a tag's expression, each after the tag's own; exceptions are no licences."""
+    plain = F.regexp_replace(F.regexp_replace(expression, r"[\s]+WITH[\s]+[^\s()]+", ""), r"[\x01()]", " ")
+    listed = F.create_map(*(F.lit(x) for name, sentence in SENTENCES.items() if name.startswith("id-") for x in (sentence, name)))
+
+    def pair(x: Column) -> Column:
+        x = F.regexp_replace(x, r"[.:\s-]+$", "")
+        return F.array(F.lit("SPDX"), F.coalesce(F.try_element_at(listed, _plain(x)), F.concat(F.lit("id:"), x)))
+
+    return F.flatten(F.transform(F.split(F.trim(plain), r"[\s]+(?:AND|OR)[\s]+"), lambda x: pair(F.trim(x))))
+
+
+def _plain(s: Column) -> Column:
+    return F.trim(F.regexp_replace(F.replace(F.lower(s), F.lit("https:"), F.lit("http:")), r"[^\p{L}\p{N}]+", " "))
+
+
+def known_sentences(text: Column) -> Column:
+    """Names of the known sentences of a text, in order."""
+    marked = F.regexp_replace(F.regexp_replace(text, TAG, "\n\u0001$1.\n"), LEADER, "")
+    marked = F.regexp_replace(marked, GOES_ON, "$1\u0002")
+    pieces = F.filter(
+        F.transform(
+            F.split(F.regexp_replace(marked, r"([.!?;:])[ \t]+", "$1\n"), r"[\r\n]+"),
+            lambda s: F.struct(_plain(s).alias("plain"), F.when(s.startswith("\u0001"), s).alias("tag"), s.startswith("\u0002").alias("goes_on")),
+        ),
+        lambda p: p["plain"] != "",
+    )
+    known = F.create_map(*(F.lit(x) for name, sentence in SENTENCES.items() for x in (sentence, name)))
+    beginnings = F.lit("".join(f"\n{sentence} " for sentence in SENTENCES.values()))
+
+    def step(acc: Column, p: Column) -> Column:
+        """Sentences begun at earlier pieces, or at this one, that go on with it; those that are whole are found."""
+        longer = F.transform(acc["begun"], lambda b: F.struct(b["a"].alias("a"), F.concat_ws(" ", b["s"], p["plain"]).alias("s")))
+        all_of = F.when(p["goes_on"], longer).otherwise(F.array_append(longer, F.struct(acc["at"].alias("a"), p["plain"].alias("s"))))
+        begun = F.when(p["tag"].isNotNull(), F.slice(acc["begun"], 1, 0)).otherwise(
+            F.filter(all_of, lambda b: F.contains(beginnings, F.concat(F.lit("\n"), b["s"], F.lit(" "))))
+        )
+        whole = F.transform(
+            F.filter(begun, lambda b: F.array_contains(F.map_keys(known), b["s"])),
+            lambda b: F.struct(b["a"].alias("a"), acc["at"].alias("b"), F.array(F.try_element_at(known, b["s"])).alias("names")),
+        )
+        tags = F.when(p["tag"].isNotNull(), F.array(F.struct(acc["at"].alias("a"), acc["at"].alias("b"), _spdx(p["tag"]).alias("names"))))
+        return F.struct((acc["at"] + 1).alias("at"), begun.alias("begun"), F.concat(acc["found"], F.coalesce(tags, whole)).alias("found"))
+
+    start = F.struct(
+        F.lit(0).alias("at"),
+        F.expr("cast(array() as array<struct<a:int,s:string>>)").alias("begun"),
+        F.expr("cast(array() as array<struct<a:int,b:int,names:array<string>>>)").alias("found"),
+    )
+    found = F.aggregate(pieces, start, step, lambda acc: acc["found"])
+
+    def longest(every: Column) -> Column:
+        wider = lambda x, y: (y["a"] <= x["a"]) & (y["b"] >= x["b"]) & ((y["a"] < x["a"]) | (y["b"] > x["b"]))
+        return F.array_sort(F.filter(every, lambda x: ~F.exists(every, lambda y: wider(x, y))))
+
+    return F.flatten(F.transform(F.element_at(F.transform(F.array(found), longest), 1), lambda x: x["names"]))
+
+
 def scanned(docs: DataFrame) -> DataFrame:
     """``(doc_id, licences, n_known, n_unmatched)`` per row of ``docs(doc_id, text)``."""
     text = F.col("text").cast("string")
-    marked = F.regexp_replace(text, TAGGED, "$1.\n")
-    flowing = F.regexp_replace(F.regexp_replace(marked, r"\r?\n[ \t]*([a-z(])", " $1"), r",[ \t]*\r?\n", ", ")
-    pieces = F.split(F.regexp_replace(flowing, r"([.!?;:])[ \t]+", "$1\n"), r"[\r\n]+")
-    known = F.create_map(*(F.lit(x) for name, sentence in SENTENCES.items() for x in (sentence, name)))
-    plain = lambda s: F.trim(F.regexp_replace(F.lower(s), r"[^\p{L}\p{N}]+", " "))
-    names = F.filter(F.transform(pieces, lambda s: F.try_element_at(known, plain(s))), lambda x: x.isNotNull())
     none = F.expr("cast(array() as array<string>)")
     rules = F.array(*(F.struct(F.lit(name).alias("licence"), F.lit(_pattern(ids)).alias("pattern")) for name, ids in RULES))
 
@@ -120,16 +183,17 @@ def scanned(docs: DataFrame) -> DataFrame:
             F.when(hit, F.array_append(acc["found"], rule["licence"])).otherwise(acc["found"]).alias("found"),
         )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(text.rlike(HINT), names).otherwise(none).alias("names"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(text.rlike(HINT), known_sentences(text)).otherwise(none).alias("names"))
     left = F.array_join(F.transform("names", lambda x: F.concat(F.lit("|"), x, F.lit("|"))), "")
     matched = rows.withColumn(
         "match", F.when(F.size("names") > 0, F.aggregate(rules, F.struct(left.alias("left"), none.alias("found")), apply))
     )
+    other = F.concat("match.found", F.regexp_extract_all("match.left", F.lit(OTHER_ID), F.lit(1)))
     return matched.select(
         "doc_id",
-        F.coalesce(F.array_join(F.array_sort(F.array_distinct("match.found")), ","), F.lit("")).alias("licences"),
+        F.coalesce(F.array_join(F.array_sort(F.array_distinct(other)), ","), F.lit("")).alias("licences"),
         F.size("names").cast("long").alias("n_known"),
-        F.coalesce(F.length(F.regexp_replace("match.left", "[^|]", "")) / 2, F.lit(0)).cast("long").alias("n_unmatched"),
+        F.coalesce(F.length(F.regexp_replace(F.regexp_replace("match.left", OTHER_ID, "#"), "[^|]", "")) / 2, F.lit(0)).cast("long").alias("n_unmatched"),
     )
 
 

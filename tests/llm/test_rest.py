@@ -78,6 +78,39 @@ def test_licence_rules(spark):
     assert got == {0: ("MIT", 2, 0), 1: ("BSD-3-Clause", 2, 0), 2: ("", 0, 0), 3: ("CC-BY-NC-4.0,MIT", 2, 0), 4: ("", 1, 1)}
 
 
+GPL2 = "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation; either version 2 of the License, or\n(at your option) any later version."
+NOTICES = {
+    "GPL-2.0-or-later": (GPL2, 2),
+    "GPL-3.0-or-later": (GPL2.replace("software;", "software:").replace("Foundation;", "Foundation,").replace("version 2", "version 3"), 2),
+    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/.", 2),
+    "MIT": (
+        'Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the\n"Software"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software.\n\nTHE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR\nIMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,\nFITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE\nAUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER\nLIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,\nOUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE\nSOFTWARE.',
+        4,
+    ),
+    "Apache-2.0": (
+        'Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software\ndistributed under the License is distributed on an "AS IS" BASIS,\nWITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.\nSee the License for the specific language governing permissions and\nlimitations under the License.',
+        4,
+    ),
+}
+
+
+def test_official_notices_plain_commented_and_wrapped(spark):
+    texts, want = [], []
+    for name, (notice, n) in NOTICES.items():
+        for lead in ("", " * ", "# ", "// ", "dnl ", "   "):
+            body = "\n".join((lead + line).rstrip() for line in notice.split("\n"))
+            texts += [f"/*\n{body}\n */\nint main();", f"Copyright (C) 2001 A. Person\n\n{body}\r\n"]
+            want += [(name, n, 0)] * 2
+        for width in (17, 40):
+            texts.append("\n".join(re.findall(rf".{{1,{width}}}(?:\s|$)|\S+", " ".join(notice.split()))))
+            want.append((name, n, 0))
+    texts += ["// SPDX-License-Identifier: ISC\nx", "/* SPDX-License-Identifier: (GPL-2.0-only WITH Linux-syscall-note) OR MIT */", "Licensed under the\nMIT License", "It is\nlicensed under the\nMIT License", "a,\nLicensed under the MIT License."]
+    want += [("ISC", 2, 0), ("GPL-2.0-only,MIT", 4, 0), ("MIT", 1, 0), ("", 0, 0), ("", 0, 0)]
+    got = {r.doc_id: (r.licences, r.n_known, r.n_unmatched) for r in licences.scanned(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for k, text in enumerate(texts):
+        assert got[k] == want[k], text
+
+
 def targets(sizes):
     names = sorted(sizes, key=lambda n: (n is None, (n or "").encode()))
     w = {n: (5, 2, 1)[k % 3] for k, n in enumerate(names)}
