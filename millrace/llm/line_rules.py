@@ -68,36 +68,39 @@ def text_counts(text: str) -> tuple[int, int, int, int, int]:
     return len(words), len(text) - sum(map(len, _BLANK.findall(text))), len(_SYMBOLS.findall(text)), dup, repeated_words(words)
 
 
-def line_hashes(text: str, host: str | None, min_words: int) -> dict[int, int]:
-    """Hash of each distinct normalised line with its host, to the words the text has in such lines."""
-    out: dict[int, int] = {}
+def line_hashes(text: str, host: str | None, min_words: int) -> tuple[dict[int, list[int]], list[int]]:
+    """Hash of each distinct normalised line with its host, to the numbers of such lines from 0; and the words of every line."""
+    out: dict[int, list[int]] = {}
+    sizes = []
     start = "" if host is None else f"{host}\n"
-    for line in text.split("\n"):
+    for at, line in enumerate(text.split("\n")):
         n = len(line.encode("utf-8", "surrogatepass").split())
+        sizes.append(n)
         if n >= min_words:
             plain = _PLAIN.sub(" ", line.lower().translate(_DIGITS)).strip()
             h = xxhash.xxh3_64_intdigest(f"{start}\0{plain}".encode("utf-8", "surrogatepass"))
             h -= (h >> 63) << 64
-            out[h] = out.get(h, 0) + n
-    return out
+            out.setdefault(h, []).append(at)
+    return out, sizes
 
 
 def _counted(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts, hashes, sizes = [], [], []
+            counts, hashes, places, sizes = [], [], [], []
             for text, host in zip(batch.column(1), batch.column(2), strict=True):
                 text = text.as_py() or ""
                 counts.append(text_counts(text))
-                lines = line_hashes(text, host.as_py(), min_words)
+                lines, words = line_hashes(text, host.as_py(), min_words)
                 hashes.append(list(lines))
-                sizes.append(list(lines.values()))
+                places.append(list(lines.values()))
+                sizes.append(words)
             columns = list(zip(*counts, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(3)]
                 + [pa.array(c, pa.int64()) for c in columns]
-                + [pa.array(hashes, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int64()))],
-                names=["doc_id", "key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines", "line_words"],
+                + [pa.array(hashes, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.list_(pa.int32()))), pa.array(sizes, pa.list_(pa.int32()))],
+                names=["doc_id", "key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines", "places", "line_words"],
             )
 
     return run
@@ -106,37 +109,66 @@ def _counted(min_words: int):
 _COUNTS = "doc_id long, key long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 
 
-def line_frequency(docs: DataFrame, max_docs: int = MAX_DOCS, min_line_words: int = MIN_LINE_WORDS, max_lost_percent: int = MAX_LOST_PERCENT) -> DataFrame:
-    """Counts, ``n_lost_words``, ``base_failed`` and ``kept`` per row of ``docs(doc_id, text, source)``."""
-    scratch = Scratch(docs.sparkSession, "lines")
-    rows = docs.select(
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source")
     ).withColumn("key", F.xxhash64("doc_id", "text", "source"))
+
+
+def _judged(docs: DataFrame, max_docs: int, min_line_words: int, max_lost_percent: int) -> DataFrame:
+    """The columns of ``line_frequency`` and the row's ``key``."""
+    scratch = Scratch(docs.sparkSession, "lines")
+    rows = _keyed(docs)
     counted = scratch.keep(
-        rows.mapInArrow(_counted(min_line_words), f"{_COUNTS}, lines array<long>, line_words array<long>"), "counted"
+        rows.mapInArrow(_counted(min_line_words), f"{_COUNTS}, lines array<long>, places array<array<int>>, line_words array<int>"), "counted"
     )
-    lines = counted.select("key", F.explode(F.arrays_zip("lines", "line_words")).alias("x")).select(
-        "key", F.col("x.lines").alias("line"), F.col("x.line_words").alias("words")
+    lines = counted.select("key", F.explode(F.arrays_zip("lines", "places")).alias("x")).select(
+        "key", F.col("x.lines").alias("line"), F.col("x.places").alias("places")
     )
     common = lines.groupBy("line").agg(F.count("*").alias("docs")).filter(F.col("docs") > max_docs).select("line")
     # Copies of one row would be counted as several documents: settle lines above the limit on distinct rows.
-    sure = lines.join(common, "line").groupBy("line", "key").agg(F.max("words").alias("words"))
+    sure = lines.join(common, "line").groupBy("line", "key").agg(F.first("places").alias("places"))
     sure = scratch.keep(sure, "above")
     limits = sure.groupBy("line").agg(F.count("*").alias("docs")).filter(F.col("docs") > max_docs).select("line")
-    lost = sure.join(limits, "line").groupBy("key").agg(F.sum("words").alias("n_lost_words"))
+    lost = sure.join(limits, "line").groupBy("key").agg(F.array_sort(F.flatten(F.collect_list("places"))).alias("removed"))
     base_failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     depleted = 100 * F.col("n_lost_words") > max_lost_percent * F.col("n_words")
     return (
         counted.join(lost.hint("merge"), "key", "left")
-        .withColumn("n_lost_words", F.coalesce("n_lost_words", F.lit(0)).cast("long"))
+        .withColumn("removed", F.coalesce("removed", F.expr("cast(array() as array<int>)")))
+        .withColumn("n_lost_words", F.aggregate("removed", F.lit(0).cast("long"), lambda n, at: n + F.get("line_words", at)))
         .withColumn("base_failed", base_failed)
         .withColumn("kept", ~F.col("base_failed") & ~depleted)
-        .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lost_words", "base_failed", "kept")
+        .select("key", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lost_words", "base_failed", "kept", "removed")
+    )
+
+
+def line_frequency(docs: DataFrame, max_docs: int = MAX_DOCS, min_line_words: int = MIN_LINE_WORDS, max_lost_percent: int = MAX_LOST_PERCENT) -> DataFrame:
+    """Counts, ``n_lost_words``, ``base_failed``, ``kept`` and the numbers of ``removed`` lines, from 0, per row of ``docs(doc_id, text, source)``."""
+    return _judged(docs, max_docs, min_line_words, max_lost_percent).drop("key")
+
+
+def _left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = []
+        for text, removed in zip(batch.column(2), batch.column(4), strict=True):
+            text, gone = text.as_py(), set(removed.as_py())
+            texts.append("\n".join(x for at, x in enumerate(text.split("\n")) if at not in gone) if gone else text)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), batch.column(3)], names=["doc_id", "source", "text", "kept"])
+
+
+def without_lines(docs: DataFrame, max_docs: int = MAX_DOCS, min_line_words: int = MIN_LINE_WORDS, max_lost_percent: int = MAX_LOST_PERCENT) -> DataFrame:
+    """``(doc_id, source, text, kept)`` per row of ``docs(doc_id, text, source)``: the text without its removed lines."""
+    judged = _judged(docs, max_docs, min_line_words, max_lost_percent).select("key", "kept", "removed").dropDuplicates(["key"])
+    return (
+        _keyed(docs).join(judged.hint("merge"), "key")
+        .select("doc_id", "source", "text", "kept", "removed")
+        .mapInArrow(_left, "doc_id long, source string, text string, kept boolean")
     )
 
 
 def op2_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_frequency(table(spark, sf_dir, "documents"))
+    return line_frequency(table(spark, sf_dir, "documents")).drop("removed")
 
 
 ORACLE = r"""

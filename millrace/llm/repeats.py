@@ -27,7 +27,6 @@ An empty table gives an empty result.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,6 +43,7 @@ GRAM = 32
 HOT = 8_000
 INDEX_BYTES = 1 << 19
 PIECE = 1 << 18
+OUT_BYTES = 1 << 21
 TIE = 40
 _LAST = 2**63 - 1
 
@@ -399,31 +399,34 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, packed, covered) to the digest and the remaining bytes' hash."""
+    """(doc_id, packed, covered) to the removed spans and the remaining bytes, a few megabytes at a time."""
     unpack = zstandard.ZstdDecompressor().decompress
+    span = pa.list_(pa.struct([("at", pa.int64()), ("to", pa.int64())]))
+
+    def rows(ids, sizes, spans, left):
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(spans, span), pa.array(left, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
+
     for batch in batches:
-        removed, spans, digests, sizes = [], [], [], []
+        ids, sizes, spans, left, held = [], [], [], [], 0
         covered = batch.column(2)
         for k in range(batch.num_rows):
             text = np.frombuffer(unpack(batch.column(1)[k].as_py()), dtype=np.uint8)
-            kept, n = cut(text, covered[k].values if covered[k].is_valid else None)
+            kept, gone = cut(text, covered[k].values if covered[k].is_valid else None)
+            ids.append(batch.column(0)[k].as_py())
             sizes.append(len(text))
-            removed.append(len(text) - sum(len(x) for x in kept))
-            spans.append(n)
-            sha = hashlib.sha256()
-            for x in kept:
-                sha.update(x)
-            digests.append(sha.hexdigest())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests, pa.string())],
-            names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
-        )
+            spans.append([{"at": a, "to": b} for a, b in gone])
+            left.append(b"".join(x.tobytes() for x in kept))
+            held += len(left[-1])
+            if held > OUT_BYTES:
+                yield rows(ids, sizes, spans, left)
+                ids, sizes, spans, left, held = [], [], [], [], 0
+        yield rows(ids, sizes, spans, left)
 
 
-def cut(text: np.ndarray, covered) -> tuple[list[np.ndarray], int]:
-    """What is left of ``text`` without the covered intervals, and how many maximal runs go."""
+def cut(text: np.ndarray, covered) -> tuple[list[np.ndarray], list[tuple[int, int]]]:
+    """What is left of ``text`` without the covered intervals, and the maximal runs that go."""
     if covered is None or not len(covered):
-        return [text], 0
+        return [text], []
     mask = (1 << TIE) - 1
     lo = covered.field(0).to_numpy(zero_copy_only=False) & mask
     hi = covered.field(1).to_numpy(zero_copy_only=False) & mask
@@ -434,7 +437,7 @@ def cut(text: np.ndarray, covered) -> tuple[list[np.ndarray], int]:
     a = lo[first]
     b = hi[np.append(np.flatnonzero(first)[1:] - 1, len(lo) - 1)]
     edges = zip([0, *b.tolist()], [*a.tolist(), len(text)], strict=True)
-    return [text[x:y] for x, y in edges], len(a)
+    return [text[x:y] for x, y in edges], list(zip(a.tolist(), b.tolist(), strict=True))
 
 
 def covered_intervals(docs: DataFrame, packed: DataFrame, scratch: Scratch, hot: int = HOT) -> DataFrame:
@@ -475,8 +478,11 @@ def covered_intervals(docs: DataFrame, packed: DataFrame, scratch: Scratch, hot:
     return whole.unionByName(indexed)
 
 
-def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
-    """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256)`` per row of ``docs(doc_id, text)``."""
+def without_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
+    """``(doc_id, n_bytes, spans, kept)`` per row of ``docs(doc_id, text)``: removed spans (at, to) in bytes, end exclusive, and the bytes left.
+
+    A span may begin or end within a character of several bytes, so what is left is binary.
+    """
     scratch = Scratch(docs.sparkSession, "repeats")
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -498,7 +504,15 @@ def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     return (
         packed.join(per_doc.hint("merge"), ["d", "tie"], "left")
         .select("doc_id", "packed", "covered")
-        .mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+        .mapInArrow(_cut, "doc_id long, n_bytes long, spans array<struct<at:long,to:long>>, kept binary")
+    )
+
+
+def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
+    """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256)`` per row: the digest of ``without_repeats``."""
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["to"] - x["at"])
+    return without_repeats(docs, hot).select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
     )
 
 

@@ -50,6 +50,22 @@ def test_removed_bytes_equal_brute_force(spark, seed, hot):
     assert got == brute([(k, t.encode()) for k, t in enumerate(texts)])
 
 
+def test_spans_and_kept_bytes_can_be_had(spark, monkeypatch):
+    monkeypatch.setattr(R, "OUT_BYTES", 300)
+    texts = [t.encode() for t in corpus(3)]
+    df = spark.createDataFrame([(k, t.decode()) for k, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    want = brute(list(enumerate(texts)))
+    rows = R.without_repeats(df).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        text, at, left = texts[r.doc_id], 0, b""
+        for x in r.spans:
+            left += text[at : x["at"]]
+            at = x["to"]
+        assert bytes(r.kept) == left + text[at:]
+        assert want[r.doc_id] == (len(text), len(text) - len(r.kept), len(r.spans), hashlib.sha256(r.kept).hexdigest())
+
+
 def test_long_texts_in_pieces(spark, monkeypatch):
     monkeypatch.setattr(R, "PIECE", 700)
     rng = np.random.default_rng(4)

@@ -36,6 +36,19 @@ def test_common_lines_are_lost_per_host(spark):
     assert got[100].n_lost_words == 0 and got[200].n_lost_words == 9
 
 
+def test_frequent_lines_are_removed_from_texts(spark):
+    line = "this very line is found on every page here"
+    own = [f"own words of page {'x' * k} " + "w%d " * 60 % tuple(range(60)) for k in range(30)]
+    docs = [(k, f"{line}\n{own[k]}\n\n{line.upper()}", "host") for k in range(30)]
+    docs += [(7, docs[7][1], "host"), (100, line, "other"), (None, None, "host"), (101, "", None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    rows = line_rules.line_frequency(df).collect()
+    assert len(rows) == len(docs) and all(r.removed == ([0, 3] if (r.doc_id or 99) < 30 or r.doc_id == 0 else []) for r in rows)
+    out = line_rules.without_lines(df).collect()
+    want = [(k, f"{own[k]}\n", True) for k in [*range(30), 7]] + [(100, line, False), (None, None, False), (101, "", False)]
+    assert sorted(map(repr, want)) == sorted(repr((r.doc_id, r.text, r.kept)) for r in out)
+
+
 def test_archives_survive_any_payload(spark):
     odd = "WARC/1.1\r\n\r\n\r\nContent-Length: 5\r\n" * 3000
     pages = [(1, "http://a b/", odd), (2, None, "é" * 40_000), (3, "u", "é" * 40_000), (4, "u", None), (5, "u", "x" * 1000), (6, "u", "x" * 1000), (7, "u", "x" * 999), (8, "u", "x" * 999), (None, "u", odd)]
