@@ -117,11 +117,14 @@ def slots(targets: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS
 
 
 def packed(sized: DataFrame, scratch: Scratch, block: int = BLOCK) -> DataFrame:
-    """Pieces of documents in blocks: the input's columns, its offset ``off``, block ``index``, and from, to in the block."""
+    """Pieces of documents in blocks: the input's columns, its number ``nth`` in its ``bucket``, its offset ``off``, block ``index``, and from, to in the block."""
     buckets = max(8, isqrt(sized.count()))
     rows = scratch.keep(
-        sized.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets))).withColumn(
-            "inner", F.sum("size").over(Window.partitionBy("sid", "bucket").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1))
+        sized.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets))).withColumns(
+            {
+                "inner": F.sum("size").over(Window.partitionBy("sid", "bucket").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)),
+                "nth": F.row_number().over(Window.partitionBy("sid", "bucket").orderBy("doc_id", "size")),
+            }
         ),
         "offsets",
     )
@@ -136,7 +139,7 @@ def packed(sized: DataFrame, scratch: Scratch, block: int = BLOCK) -> DataFrame:
     return (
         pieces.withColumn("from", F.greatest(F.col("off") - F.col("index") * block, F.lit(0)))
         .withColumn("to", F.least(F.col("off") + F.col("size") - F.col("index") * block, F.lit(block)))
-        .drop("bucket", "inner", "base")
+        .drop("inner", "base")
     )
 
 
@@ -175,7 +178,7 @@ def taken_words(docs: DataFrame) -> DataFrame:
     words = F.greatest(F.least("to", F.coalesce("take", F.lit(0))) - F.col("from"), F.lit(0))
     return (
         pieces.join(taken.select("sid", "index", "take").hint("merge"), ["sid", "index"], "left")
-        .groupBy("doc_id", "source", "sid", "off", "size", "source_size", "target")
+        .groupBy("doc_id", "source", "sid", "bucket", "nth", "size", "source_size", "target")
         .agg(F.sum(words).cast("long").alias("taken"))
         .select("doc_id", "source", "size", "source_size", "target", "taken")
     )

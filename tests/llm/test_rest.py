@@ -162,6 +162,14 @@ def test_mix_hits_targets(spark):
     assert abs(per.sum() - sum(want.values())) <= len(want)
 
 
+def test_empty_rows_that_share_a_key_stay_rows(spark):
+    docs = [(None, "", "a"), (None, None, "a"), (None, " \n", "a"), (3, "", "a"), (3, "", "a"), (None, "", None), (None, "", None), (4, "some words here", "a"), (4, "some words here", "a")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    out = mixing.taken_words(df).collect()
+    key = lambda t: (t[0] or 0, t[1] or "", t[2])
+    assert sorted(((r.doc_id, r.source, r.size) for r in out), key=key) == sorted(((d, s, len((t or "").split())) for d, t, s in docs), key=key)
+
+
 def test_permutation(spark):
     for n in (1, 2, 7, 256):
         got = spark.range(n).select(mixing.permuted(mixing.F.col("id"), mixing.F.lit(n), mixing.F.lit(3))).collect()
