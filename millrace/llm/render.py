@@ -3,7 +3,8 @@
 * Tree: comments, declarations and raw-text elements are tokenised first; start tags close what they imply closed (paragraphs,
   list items, table parts, options), end tags close up to their match, void elements have no content.
 * Visibility: content of head, scripts, styles, templates and embedded objects, and elements hidden by attribute or
-  by an inline display or visibility rule, is not shown.
+  by an inline display rule, is not shown. An inline visibility rule is inherited, and children may override it. Formulas and
+  drawings show their text, but not annotations, descriptions and definitions.
 * Text: white space collapses outside preformatted elements; blocks stand on lines of their own, with an empty line around
   paragraphs, headings, lists, tables and quotations; list items have their bullet or number and are indented by depth;
   table cells are padded to aligned columns, spans included.
@@ -37,8 +38,10 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style xmp iframe noembed noframes".split())
 RCDATA = frozenset("title textarea".split())
 HIDDEN = frozenset(
-    "head script style template title meta link base noscript iframe noembed noframes object audio video canvas svg math datalist param source track area".split()
+    "head script style template title meta link base noscript iframe noembed noframes object audio video canvas datalist param source track area annotation annotation-xml mphantom".split()
 )
+#: Not shown in drawings.
+HIDDEN_DRAWN = frozenset("desc metadata defs symbol clippath mask marker pattern".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul caption".split()
 )
@@ -72,7 +75,7 @@ _TOKEN = re.compile(
     re.S,
 )
 _ATTR = re.compile(r"([^\s/=\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-_UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
+_RULE = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)\s*(!\s*important)?", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -173,12 +176,25 @@ def tree(source: str) -> Node:
     return root
 
 
-def visible(node: Node) -> bool:
-    if node.tag in HIDDEN or "hidden" in node.attrs:
-        return False
-    if node.tag == "input" and node.attrs.get("type", "").lower() == "hidden":
-        return False
-    return not _UNSEEN.search(node.attrs.get("style", "")) if "style" in node.attrs else True
+def rules(node: Node, drawing: bool) -> dict[str, str]:
+    """The node's own display and visibility: of a drawing's attributes and the inline style, the last, important ones first."""
+    out = {k: node.attrs[k].strip().lower() for k in ("display", "visibility") if k in node.attrs} if drawing else {}
+    if "style" in node.attrs:
+        found = _RULE.findall(node.attrs["style"])
+        out.update((k.lower(), v.lower()) for k, v, _ in sorted(found, key=lambda x: bool(x[2])))
+    return out
+
+
+def pruned(node: Node, own: dict[str, str], drawing: bool) -> bool:
+    """Whether neither the node nor anything in it is shown."""
+    if node.tag in HIDDEN or drawing and node.tag in HIDDEN_DRAWN or "hidden" in node.attrs or own.get("display") == "none":
+        return True
+    return node.tag == "input" and node.attrs.get("type", "").lower() == "hidden"
+
+
+def shows(own: dict[str, str], inherited: bool) -> bool:
+    value = own.get("visibility", "inherit")
+    return value not in ("hidden", "collapse") if value in ("visible", "hidden", "collapse", "initial") else inherited
 
 
 class Lines:
@@ -296,16 +312,17 @@ def render(source: str | None) -> tuple[str, int, int]:
         return "", 0, 0
     out, tables = Lines(), 0
     #: (enter, node) tasks; frames of tables collect rows of cells.
-    tasks: list[tuple] = [("node", tree(source))]
+    tasks: list[tuple] = [("node", tree(source), True, False)]
     sinks: list[Lines] = [out]
     grids: list[list] = []
     lists: list[list] = []
     pre = 0
     while tasks:
-        what, node = tasks.pop()
+        what, node, shown, drawing = tasks.pop()
         sink = sinks[-1]
         if what == "text":
-            (sink.keep if pre else sink.text)(html.unescape(node).replace("\xa0", " "))
+            if shown:
+                (sink.keep if pre else sink.text)(html.unescape(node).replace("\xa0", " "))
             continue
         if what == "leave":
             tag = node.tag
@@ -332,16 +349,24 @@ def render(source: str | None) -> tuple[str, int, int]:
                 continue
             if tag == "table":
                 _, rows = grids.pop()
-                if rows:
+                lines = aligned(rows)
+                if rows and (shown or lines):
                     tables += 1
                     sink.block(True)
-                    sink.rows(aligned(rows))
+                    sink.rows(lines)
             if tag in BLOCK:
                 sink.block(tag in SPACED and not (tag in ("ul", "ol", "menu", "dir", "dl") and lists))
+            elif tag == "text" and drawing:
+                sink.text(" ")
             continue
         tag = node.tag
-        if not visible(node):
+        drawing = (drawing or tag == "svg") and tag != "foreignobject"
+        own = rules(node, drawing)
+        if pruned(node, own, drawing):
             continue
+        shown = shows(own, shown)
+        if tag == "text" and drawing:
+            sink.text(" ")
         if tag == "br":
             if sink.line:
                 sink.end_line()
@@ -351,7 +376,7 @@ def render(source: str | None) -> tuple[str, int, int]:
         if tag == "wbr":
             continue
         if tag == "input":
-            if node.attrs.get("type", "text").lower() in ("submit", "button", "reset", "text", "search", "email", "url", "tel", "number") and node.attrs.get("value"):
+            if shown and node.attrs.get("type", "text").lower() in ("submit", "button", "reset", "text", "search", "email", "url", "tel", "number") and node.attrs.get("value"):
                 sink.text(node.attrs["value"])
             continue
         if tag in BLOCK:
@@ -378,8 +403,8 @@ def render(source: str | None) -> tuple[str, int, int]:
             grids[-1][1].append([])
         elif tag in ("td", "th"):
             sinks.append(Lines())
-        tasks.append(("leave", node))
-        tasks.extend(("text" if isinstance(c, str) else "node", c) for c in reversed(node.children))
+        tasks.append(("leave", node, shown, drawing))
+        tasks.extend(("text" if isinstance(c, str) else "node", c, shown, drawing) for c in reversed(node.children))
     lines = out.done()
     return "\n".join(lines).strip("\n"), sum(1 for x in lines if x.strip()), tables
 

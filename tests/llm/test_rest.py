@@ -218,6 +218,27 @@ def test_rendering(page, text):
     assert render(page)[0] == text
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("so <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation>x = 2</annotation></semantics></math> holds", "so x=2 holds"),
+        ("<desc>shown</desc>", "shown"),
+        ("<svg><title>t</title><desc>d</desc><defs><text>no</text></defs><text x=1>North</text><text>South</text><path d='M0'/></svg> map", "North South map"),
+        ("<svg><g display=none><text>no</text></g><g visibility='hidden'>no<text visibility=visible>yes</text></g></svg>", "yes"),
+        ("a<div style='visibility:hidden'>no<p style='Visibility: visible'>yes</p>no</div>b", "a\n\nyes\n\nb"),
+        ("<div style='display:none'>no<p style='visibility:visible;display:block'>no</p></div>ok", "ok"),
+        ("<p style='visibility:hidden; visibility:visible'>a</p><p style='display:none!important;display:block'>no</p>", "a"),
+        ("<table style='visibility:collapse'><tr><td>no<td style='visibility:visible'>yes</table>", "yes"),
+    ],
+)
+def test_formulas_drawings_and_overridden_visibility(page, text):
+    assert render(page)[0] == text
+
+
+def test_hidden_tables_are_not_counted():
+    assert render("<table style='visibility:hidden'><tr><td>x</table>a") == ("a", 1, 0)
+
+
 def test_deep_and_broken_pages():
     assert render("<div>" * 20_000 + "x")[0] == "x"
     assert "y" in render("<a href=\"x>" + "y<p>" * 100)[0]
