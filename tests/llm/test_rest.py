@@ -49,6 +49,12 @@ def test_frequent_lines_are_removed_from_texts(spark):
     assert sorted(map(repr, want)) == sorted(repr((r.doc_id, r.text, r.kept)) for r in out)
 
 
+def test_short_lines_count_on_request(spark):
+    df = spark.createDataFrame([(k, f"Read more\npage {'x' * k}", "host") for k in range(25)], "doc_id long, text string, source string")
+    assert {r.n_lost_words for r in line_rules.line_frequency(df, min_line_words=1).collect()} == {2}
+    assert {r.text for r in line_rules.without_lines(df, min_line_words=1).collect()} == {f"page {'x' * k}" for k in range(25)}
+
+
 def test_archives_survive_any_payload(spark):
     odd = "WARC/1.1\r\n\r\n\r\nContent-Length: 5\r\n" * 3000
     pages = [(1, "http://a b/", odd), (2, None, "é" * 40_000), (3, "u", "é" * 40_000), (4, "u", None), (5, "u", "x" * 1000), (6, "u", "x" * 1000), (7, "u", "x" * 999), (8, "u", "x" * 999), (None, "u", odd)]
