@@ -6,13 +6,17 @@ record and the others revisit records that refer to it. Responses hold an HTTP m
 and on the last one the total length. Archives are text files by Spark's own writer (a record's lines end in CRLF), gzipped,
 so they reach any store that Spark reaches; ``RECORDS_PER_FILE`` bounds a file.
 
-Reading: files are unzipped and parsed as a stream. Records in one piece are decoded where they are read; segments are
+Reading: files are unzipped and parsed as a stream, once. Records in one piece are decoded where they are read; segments are
 grouped by origin identifier and ordered by number, one record at a time in memory; numbers must be complete, lengths must
 add up to the stated total, and chunks must end properly, else the record is not ``intact``. Revisits get the payload facts of the
-record they refer to.
+record they refer to, which is known by page_id and digest; without such a record they are not intact.
+
+Tables of copies and originals are written before they are joined: a join of two plain shuffles is one whose large keys
+adaptive execution can split, so a payload that a third of all pages share is no single task.
 
 Defined results: null html is an empty payload. Rows without page_id are response records that nothing refers to. Rows that share a
-page_id and payload are all responses. A null url is an empty target. Other columns are ignored; empty tables give empty results.
+page_id and payload are all responses; rows that share only a page_id are records of their own. A null url is an empty target; very
+long payloads are segmented. Other columns, whatever their names, are ignored; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -85,13 +89,14 @@ def _record(kind: str, name: str, fields: list[tuple[str, str]], block: bytes) -
 
 
 def page_records(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, serial: str = "0", segment: int = SEGMENT) -> Iterator[bytes]:
-    """The records of one page, without the last line end. The serial tells segmented rows of one page_id apart."""
-    name = f"urn:page:{'none' if page_id is None else page_id}"
+    """The records of one page, without the last line end, named by page_id and digest. The serial tells segmented rows apart."""
+    sha1 = hashlib.sha1(payload).hexdigest()
+    name = f"urn:page:{'none' if page_id is None else page_id}:{sha1}"
     target = ("WARC-Target-URI", "".join((url or "").split()))
-    digest = ("WARC-Payload-Digest", f"sha1:{hashlib.sha1(payload).hexdigest()}")
+    digest = ("WARC-Payload-Digest", f"sha1:{sha1}")
     kind = ("Content-Type", "application/http; msgtype=response")
     if refers_to is not None:
-        fields = [target, digest, ("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<urn:page:{refers_to}>"), kind]
+        fields = [target, digest, ("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<urn:page:{refers_to}:{sha1}>"), kind]
         yield _record("revisit", name, fields, _HEAD + b"\r\n")
         return
     block = _HEAD + b"Transfer-Encoding: chunked\r\n\r\n" + chunked(payload)
@@ -138,6 +143,7 @@ def write_archives(pages: DataFrame, path: str, min_revisit: int = MIN_REVISIT)
         .filter("k > 1")
         .drop("k")
     )
+    copies = Scratch(pages.sparkSession, "copies").keep(copies, "copies")
     refers_to = F.when(F.col("page_id") < F.col("kept"), F.col("kept"))
     records = rows.join(copies.hint("merge"), ["digest", "n"], "left").select("page_id", "url", "payload", refers_to.alias("refers_to"))
     (
@@ -203,91 +209,93 @@ def _http_payload(block: bytes) -> bytes | None:
     return unchunked(body) if b"transfer-encoding: chunked" in head.lower() else body
 
 
-_FACTS = "name string, type string, refers_to string, stated string, target string, payload binary, intact boolean"
-_PARTS = "name string, type string, refers_to string, stated string, target string, number int, total long, block binary"
-_SCHEMA = pa.schema(
-    [("name", pa.string()), ("type", pa.string()), ("refers_to", pa.string()), ("stated", pa.string()), ("target", pa.string()), ("number", pa.int32()), ("total", pa.int64()), ("block", pa.binary())]
-)
-
-
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """File contents to records; a record in one piece has no number."""
-    for batch in batches:
-        for content in batch.column(0):
-            rows, size = [], 0
-            for fields, block in parsed(_unzipped(content.as_py())):
-                number, name = fields.get("warc-segment-number"), fields["warc-record-id"].strip("<>")
-                refers_to, stated = fields.get("warc-refers-to"), fields.get("warc-payload-digest")
-                total = fields.get("warc-segment-total-length")
-                rows.append(
-                    {
-                        "name": fields.get("warc-segment-origin-id", name).strip("<>"),
-                        "type": fields["warc-type"],
-                        "refers_to": refers_to and refers_to.strip("<>"),
-                        "stated": stated and stated.removeprefix("sha1:"),
-                        "target": fields.get("warc-target-uri"),
-                        "number": None if number is None else int(number),
-                        "total": None if total is None else int(total),
-                        "block": block,
-                    }
-                )
-                size += len(block) + 200
-                if size > 8 << 20:
-                    yield pa.RecordBatch.from_pylist(rows, schema=_SCHEMA)
-                    rows, size = [], 0
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema=_SCHEMA)
-
-
-def _facts(record: dict, block: bytes, whole: bool) -> tuple:
-    revisit = record["type"] == "revisit"
-    payload = None if revisit else _http_payload(block)
-    good = whole and (revisit or payload is not None and record["stated"] in (None, hashlib.sha1(payload).hexdigest()))
-    return record["name"], record["type"], record["refers_to"], record["stated"], record["target"], payload, good
-
-
-def _fact_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.string()] * 5 + [pa.binary(), pa.bool_()]
-    columns = list(zip(*rows, strict=True)) or [()] * 7
-    return pa.RecordBatch.from_arrays(
-        [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["name", "type", "refers_to", "stated", "target", "payload", "intact"]
-    )
-
-
-def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield _fact_batch([_facts(r, r["block"], True) for r in batch.to_pylist()])
-
-
-def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Segments sorted by (name, number) to whole records."""
-
-    def done() -> tuple:
-        block = b"".join(r["block"] for r in parts)
-        first = parts[0]
-        complete = [r["number"] for r in parts] == list(range(1, len(parts) + 1)) and first["type"] != "continuation"
-        return _facts(first, block, complete and parts[-1]["total"] == len(block))
-
-    parts: list[dict] = []
-    for batch in batches:
-        out = []
-        for record in batch.to_pylist():
-            if parts and record["name"] != parts[0]["name"]:
-                out.append(done())
-                parts = []
-            parts.append(record)
-        yield _fact_batch(out)
-    if parts:
-        yield _fact_batch([done()])
-
-
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """``(name, type, refers_to, stated, target, payload, intact)`` per record, segments put together."""
+_FACTS = "name string, type string, refers_to string, stated string, target string, payload binary, n long, sha1 string, intact boolean"
+_RECORD = f"{_FACTS}, number int, total long, block binary"
+_KINDS = [pa.string()] * 5 + [pa.binary(), pa.int64(), pa.string(), pa.bool_(), pa.int32(), pa.int64(), pa.binary()]
+_NAMES = [x.split()[0] for x in _RECORD.split(", ")]
+
+
+def _facts(name: str, kind: str, refers_to, stated, target, block: bytes, whole: bool, payloads: bool) -> tuple:
+    """Columns of ``_FACTS``. A revisit has no payload of its own."""
+    if kind == "revisit":
+        return name, kind, refers_to, stated, target, None, None, None, whole
+    payload = _http_payload(block)
+    if payload is None:
+        return name, kind, refers_to, stated, target, None, None, None, False
+    sha1 = hashlib.sha1(payload).hexdigest()
+    return name, kind, refers_to, stated, target, payload if payloads else None, len(payload), sha1, whole and stated in (None, sha1)
+
+
+def _batch(rows: list[tuple], width: int) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * width
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _KINDS, strict=False)], names=_NAMES[:width])
+
+
+def _read(payloads: bool):
+    """File contents to records: facts of those in one piece; of segments, which have a number, their blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column(0):
+                rows, size = [], 0
+                for fields, block in parsed(_unzipped(content.as_py())):
+                    number, total = fields.get("warc-segment-number"), fields.get("warc-segment-total-length")
+                    name, kind = fields["warc-record-id"].strip("<>"), fields["warc-type"]
+                    refers_to, stated = fields.get("warc-refers-to"), fields.get("warc-payload-digest")
+                    known = refers_to and refers_to.strip("<>"), stated and stated.removeprefix("sha1:"), fields.get("warc-target-uri")
+                    if number is None:
+                        rows.append((*_facts(name, kind, *known, block, True, payloads), None, None, None))
+                        size += len(block) * payloads + 300
+                    else:
+                        origin = fields.get("warc-segment-origin-id", name).strip("<>")
+                        rows.append((origin, kind, *known, None, None, None, None, int(number), None if total is None else int(total), block))
+                        size += len(block) + 300
+                    if size > 8 << 20:
+                        yield _batch(rows, len(_KINDS))
+                        rows, size = [], 0
+                if rows:
+                    yield _batch(rows, len(_KINDS))
+
+    return run
+
+
+def _joined(payloads: bool):
+    """Segments (name, type, refers_to, stated, target, number, total, block), sorted by name and number, to facts of whole records."""
+
+    def done(parts: list[tuple]) -> tuple:
+        name, kind, refers_to, stated, target = parts[0][:5]
+        block = b"".join(x[7] for x in parts)
+        complete = [x[5] for x in parts] == list(range(1, len(parts) + 1)) and kind != "continuation"
+        return _facts(name, kind, refers_to, stated, target, block, complete and parts[-1][6] == len(block), payloads)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple] = []
+        for batch in batches:
+            out = []
+            for record in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if parts and record[0] != parts[0][0]:
+                    out.append(done(parts))
+                    parts = []
+                parts.append(record)
+            yield _batch(out, 9)
+        if parts:
+            yield _batch([done(parts)], 9)
+
+    return run
+
+
+def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
+    """``(name, type, refers_to, stated, target, payload, n, sha1, intact)`` per record, segments put together.
+
+    ``n`` and ``sha1`` are the payload's length and digest. Without ``payloads`` those are null. What is parsed is written
+    once, as both kinds of records are read from it.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
-    records = files.mapInArrow(_read, _PARTS)
-    single = records.filter("number is null").mapInArrow(_decoded, _FACTS)
-    pieces = records.filter("number is not null").repartition("name").sortWithinPartitions("name", "number")
-    return single.unionByName(pieces.mapInArrow(_joined, _FACTS))
+    records = Scratch(spark, "records").keep(files.mapInArrow(_read(payloads), _RECORD), "records")
+    facts = _NAMES[:9]
+    pieces = records.filter("number is not null").select(*_NAMES[:5], "number", "total", "block")
+    whole = pieces.repartition("name").sortWithinPartitions("name", "number").mapInArrow(_joined(payloads), _FACTS)
+    return records.filter("number is null").select(*facts).unionByName(whole)
 
 
 def _page(name: str):
@@ -299,24 +307,26 @@ def op3_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch.path("archives")
     write_archives(table(spark, sf_dir, "pages"), path)
     found = scratch.keep(
-        read_archives(spark, path).select(
-            _page("name").alias("page_id"),
-            "type",
-            _page("refers_to").alias("refers_to"),
-            F.octet_length("payload").cast("long").alias("payload_bytes"),
-            F.sha1("payload").alias("payload_digest"),
-            "intact",
+        read_archives(spark, path, payloads=False).select(
+            _page("name").alias("page_id"), "type", _page("refers_to").alias("refers_to"), "stated", F.col("n").alias("payload_bytes"), F.col("sha1").alias("payload_digest"), "intact"
         ),
         "found",
     )
     responses = found.filter("type <> 'revisit'")
-    originals = responses.filter("page_id is not null").groupBy("page_id").agg(F.max("payload_bytes").alias("payload_bytes"), F.max("payload_digest").alias("payload_digest"))
+    originals = scratch.keep(
+        responses.filter("page_id is not null and intact")
+        .groupBy(F.col("page_id").alias("refers_to"), F.col("payload_digest").alias("stated"))
+        .agg(F.max("payload_bytes").alias("payload_bytes")),
+        "originals",
+    )
     revisits = (
         found.filter("type = 'revisit'")
-        .select("page_id", "type", "refers_to", "intact")
-        .join(originals.withColumnRenamed("page_id", "refers_to"), "refers_to", "left")
+        .select("page_id", "type", "refers_to", "stated", "intact")
+        .join(originals.hint("merge"), ["refers_to", "stated"], "left")
+        .withColumn("payload_digest", F.when(F.col("payload_bytes").isNotNull(), F.col("stated")))
+        .withColumn("intact", F.col("intact") & F.col("payload_bytes").isNotNull())
     )
-    return responses.unionByName(revisits).select(
+    return responses.unionByName(revisits.select(*responses.columns)).select(
         "page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"), "refers_to", "intact"
     )
 

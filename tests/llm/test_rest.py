@@ -1,5 +1,6 @@
 """Line rules, WARC, licences, mixing, rendering, classifier, decontamination and the pipeline."""
 
+import hashlib
 import random
 import re
 from html.parser import HTMLParser
@@ -67,7 +68,25 @@ def test_archives_survive_any_payload(spark):
         r = got[str(page_id) if page_id else "none"]
         revisit = page_id in (2, 5)
         assert (r.type, r.payload) == (("revisit", None) if revisit else ("response", bytearray((html or "").encode())))
-    assert got["2"].refers_to == "urn:page:3" and got["5"].refers_to == "urn:page:6"
+    assert got["2"].refers_to.startswith("urn:page:3:") and got["5"].refers_to.startswith("urn:page:6:")
+    assert all(r.n == len(r.payload) and r.sha1 == r.stated for r in rows if r.type == "response")
+
+
+def test_revisits_of_repeated_page_ids(spark, tmp_path):
+    a, b = "a" * 1500, "b" * 70_000
+    pages = [(5, None, a), (5, None, b), (3, None, a), (4, None, b), (5, None, b), (2, None, "a" * 999), (1, None, "a" * 999), (None, None, a)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted((r.page_id or 0, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to, r.intact) for r in warc.op3_warc_round_trip(spark, str(tmp_path)).collect())
+    sha = lambda x: hashlib.sha1(x.encode()).hexdigest()
+    want = [(k or 0, len(t), sha(t), "revisit" if k in (3, 4) else "response", 5 if k in (3, 4) else None, True) for k, _, t in pages]
+    assert got == sorted(want)
+
+
+def test_revisits_without_their_record_are_not_intact(spark):
+    path = Scratch(spark, "test").path("warc")
+    records = [r + b"\r\n" for k, refers in ((1, 9), (2, None)) for r in warc.page_records(k, "u", b"p" * 2000, refers)]
+    spark.createDataFrame([(b"".join(records).decode().removesuffix("\r\n"),)], "value string").write.option("lineSep", "\r\n").option("compression", "gzip").text(path)
+    assert {r.type: r.intact for r in warc.read_archives(spark, path).collect()} == {"revisit": True, "response": True}
 
 
 def test_broken_records_are_told():
@@ -77,11 +96,12 @@ def test_broken_records_are_told():
     whole = [x for r in warc.page_records(1, "u", b"p" * 50_000, None) for x in [r + b"\r\n"]]
     records = list(warc.parsed(iter([b"".join(whole)[k : k + 777] for k in range(0, sum(map(len, whole)), 777)])))
     assert [r[0]["warc-type"] for r in records] == ["response"] + ["continuation"] * 3
-    keys = ("name", "type", "refers_to", "stated", "target", "number", "total", "block")
-    parts = [dict(zip(keys, ("n", f["warc-type"], None, None, None, int(f["warc-segment-number"]), int(f.get("warc-segment-total-length", 0)) or None, b), strict=True)) for f, b in records]
+    parts = [("n", f["warc-type"], None, None, None, int(f["warc-segment-number"]), int(f.get("warc-segment-total-length", 0)) or None, b) for f, b in records]
+    kinds = [pa.string()] * 5 + [pa.int32(), pa.int64(), pa.binary()]
 
     def intact(some):
-        return next(warc._joined(iter([pa.RecordBatch.from_pylist(some, schema=warc._SCHEMA)])), None), list(warc._joined(iter([pa.RecordBatch.from_pylist(some, schema=warc._SCHEMA)])))[-1].column(6)[0].as_py()
+        batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*some, strict=True), kinds, strict=True)], names=list("abcdefgh"))
+        return None, list(warc._joined(True)(iter([batch])))[-1].column(8)[0].as_py()
 
     assert intact(parts)[1] and not intact(parts[:-1])[1] and not intact(parts[1:])[1] and not intact(parts[:1] + parts[2:])[1]
     for text in (b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc", b"junk\r\n\r\n", b"WARC/1.1\r\nContent"):
