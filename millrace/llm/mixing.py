@@ -2,22 +2,25 @@
 
 Plan
 ----
-1. Documents are sized in words; sources get targets by weight, limited to ``cap`` times their size (water-filling).
+1. Documents are sized in words; sources get targets by weight, limited to ``cap`` times their size (water-filling). A target is
+   a number of slots, each of which takes a block.
 2. Each source's words are packed into blocks of ``block`` words: documents in the order of (bucket, doc_id), their
    offsets from a two-level running sum over the square root of all rows as buckets, so that a source with a third of
-   all rows is no single task.
-3. A source takes its blocks in epochs: whole ones, then a part, until the target is reached exactly. Each taken block is
-   a slot. Slots draw output shards at random, which makes each shard's source counts multinomial given the sources'
-   totals: a free draw could not hold the totals near the targets or any document below ``cap`` times its size.
-4. Shard by shard, a source's slots have consecutive numbers; a pseudorandom permutation of the source (swap-or-not
-   network, any length) maps the number to a block index. A short last block comes last in its epoch.
+   all rows is no single task. Equal rows are packed as one row with a count, and dealt out again by copy.
+3. Output shards hold ``shard_slots`` slots. Each slot draws its source with the targets' shares, so a shard's source counts are
+   a multinomial draw. What a source is drawn beyond its slots, over all shards, is redrawn among the sources that still lack some:
+   so totals are at the targets and no document exceeds ``cap`` times its size, which free draws could not hold.
+4. Shard by shard, the counts give a source's slots consecutive numbers; a pseudorandom permutation of the source (swap-or-not
+   network, any length) maps the number to a block index. A source takes its blocks in epochs: whole ones, then a part, until the
+   target is reached exactly. A short last block comes last in its epoch.
 5. Slots meet blocks by (source, index), always in a shuffled join: both grow with the data, which sizes taken before
    rows are exploded do not show. A document's taken words are the overlaps of its pieces with taken slots.
 
-All draws are hashes of seed, source and number, so reruns agree. Everything runs as built-in expressions.
+All draws are hashes of seed and number, so reruns agree. Everything runs as built-in expressions.
 
 Defined results: null and empty texts have size 0 and are taken 0 times; null sources form the last source; rows without
-doc_id and repeated rows are documents of their own; other columns are ignored; an empty table gives an empty result.
+doc_id and repeated rows are documents of their own, and of equal ones any may be taken; very long texts are packed whole; other
+columns, whatever their names, are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -86,7 +89,54 @@ def _exploded(df: DataFrame, n: str, name: str) -> DataFrame:
     ).drop("_c")
 
 
-def slots(targets: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+def _before(value: str, *order: str) -> Column:
+    """Running sum of the rows before, over a table of one row per source."""
+    w = Window.partitionBy(F.lit(0)).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum(value).over(w), F.lit(0))
+
+
+def drawn_counts(plan: DataFrame, scratch: Scratch, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """``(sid, shard, count)`` of ``plan(sid, n)``: each of the sum of ``n`` slots draws a source with the share n has of it.
+
+    A draw is a number below the sum, so sources are intervals; they are found by cells of the number line, as an equality
+    join. Draws beyond a source's n are redrawn: they are numbered, and meet the slots that others lack in a pseudorandom order.
+    """
+    everything = Window.partitionBy(F.lit(0))
+    spread = plan.withColumns({"total": F.sum("n").over(everything), "sources": F.count("*").over(everything), "lo": _before("n", "sid")})
+    spread = scratch.keep(spread.withColumn("width", F.ceil(F.col("total") / (2 * F.col("sources")))), "shares")
+    cells = spread.withColumn("cell", F.explode(F.expr("sequence(lo div width, (lo + n - 1) div width)"))).select("sid", "lo", "n", "cell")
+    draws = _exploded(spread.select("total", "width").distinct(), "total", "draw").select(
+        F.expr(f"draw div {shard_slots}").alias("shard"), F.pmod(F.xxhash64(F.lit(SEED + 2), "draw"), F.col("total")).alias("u"), "width"
+    )
+    counts = scratch.keep(
+        draws.withColumn("cell", F.expr("u div width"))
+        .join(cells, "cell")
+        .filter("u >= lo and u < lo + n")
+        .groupBy("sid", "shard")
+        .agg(F.count("*").alias("count")),
+        "draws",
+    )
+    held = counts.groupBy("sid").agg(F.sum("count").alias("held"))
+    balance = spread.select("sid", "n").join(held, "sid", "left").withColumn("held", F.coalesce("held", F.lit(0)))
+    balance = balance.withColumns({"over": F.greatest(F.col("held") - F.col("n"), F.lit(0)), "lack": F.greatest(F.col("n") - F.col("held"), F.lit(0))})
+    balance = scratch.keep(balance.withColumns({"over_at": _before("over", "sid"), "lack_at": _before("lack", "sid"), "moved": F.sum("over").over(everything)}), "balance")
+    upto = F.sum("count").over(Window.partitionBy("sid").orderBy("shard"))
+    split = (
+        counts.withColumn("at", upto - F.col("count"))
+        .join(balance.select("sid", "n", "over_at", "moved"), "sid")
+        .withColumn("kept", F.greatest(F.least(F.col("n") - F.col("at"), F.col("count")), F.lit(0)))
+        .withColumn("extra", F.col("count") - F.col("kept"))
+    )
+    extra = _exploded(
+        split.filter("extra > 0").select("shard", "extra", "moved", (F.col("over_at") + F.greatest(F.col("at") - F.col("n"), F.lit(0))).alias("from")), "extra", "k"
+    ).select("shard", permuted(F.col("from") + F.col("k"), F.col("moved"), F.lit(SEED)).alias("place"))
+    lacking = _exploded(balance.filter("lack > 0").select("sid", "lack", "lack_at"), "lack", "k").select("sid", (F.col("lack_at") + F.col("k")).alias("place"))
+    redrawn = extra.join(lacking, "place").groupBy("sid", "shard").agg(F.count("*").alias("count"))
+    kept = split.filter("kept > 0").select("sid", "shard", F.col("kept").alias("count"))
+    return kept.unionByName(redrawn).groupBy("sid", "shard").agg(F.sum("count").alias("count"))
+
+
+def slots(targets: DataFrame, scratch: Scratch, block: int = BLOCK, shard_slots: int = SHARD_SLOTS) -> DataFrame:
     """``(shard, sid, number, epoch, index, take)``: which block each slot takes, and how many of its words."""
     plan = (
         targets.filter("source_size > 0")
@@ -96,16 +146,12 @@ def slots(targets: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS
         .withColumn("rest", F.col("words") - F.col("whole") * F.col("source_size"))
         .withColumn("n", F.col("whole") * F.col("blocks") + F.ceil(F.col("rest") / block))
         .filter("n > 0")
-        .withColumn("shards", F.ceil(F.sum("n").over(Window.partitionBy(F.lit(0))) / shard_slots))
-    )
-    drawn = _exploded(plan.select("sid", "n", "shards"), "n", "draw").select(
-        "sid", F.pmod(F.xxhash64(F.lit(SEED + 2), "sid", "draw"), F.col("shards")).alias("shard")
     )
-    counts = drawn.groupBy("sid", "shard").agg(F.count("*").alias("count"))
+    counts = drawn_counts(plan.select("sid", "n"), scratch, shard_slots)
     placed = counts.withColumn(
         "first", F.sum("count").over(Window.partitionBy("sid").orderBy("shard")) - F.col("count")
     ).join(plan.select("sid", "blocks", "whole", "rest", "source_size"), "sid")
-    numbered = _exploded(placed.withColumn("n", F.col("count")), "n", "k").withColumn("number", F.col("first") + F.col("k"))
+    numbered = _exploded(placed, "count", "k").withColumn("number", F.col("first") + F.col("k"))
     full = F.expr(f"source_size div {block}")
     return (
         numbered.withColumn("epoch", F.expr("number div blocks"))
@@ -117,51 +163,55 @@ def slots(targets: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS
 
 
 def packed(sized: DataFrame, scratch: Scratch, block: int = BLOCK) -> DataFrame:
-    """Pieces of documents in blocks: the input's columns, its number ``nth`` in its ``bucket``, its offset ``off``, block ``index``, and from, to in the block."""
+    """Pieces of documents with words in blocks: the input's columns, which ``copy`` of equal rows it is, its offset ``off``, block ``index``, and from, to in the block."""
     buckets = max(8, isqrt(sized.count()))
+    order = Window.partitionBy("sid", "bucket").orderBy("doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
     rows = scratch.keep(
-        sized.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets))).withColumns(
-            {
-                "inner": F.sum("size").over(Window.partitionBy("sid", "bucket").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)),
-                "nth": F.row_number().over(Window.partitionBy("sid", "bucket").orderBy("doc_id", "size")),
-            }
-        ),
+        sized.groupBy(*sized.columns)
+        .agg(F.count("*").alias("copies"))
+        .withColumn("bucket", F.pmod(F.xxhash64("doc_id", "tie"), F.lit(buckets)))
+        .withColumn("inner", F.sum(F.col("size") * F.col("copies")).over(order)),
         "offsets",
     )
     bases = (
         rows.groupBy("sid", "bucket")
-        .agg(F.sum("size").alias("held"))
+        .agg(F.sum(F.col("size") * F.col("copies")).alias("held"))
         .withColumn("base", F.sum("held").over(Window.partitionBy("sid").orderBy("bucket")) - F.col("held"))
         .drop("held")
     )
-    placed = rows.join(bases, ["sid", "bucket"]).withColumn("off", F.col("base") + F.coalesce("inner", F.lit(0)))
-    pieces = placed.withColumn("index", F.explode(F.expr(f"sequence(off div {block}, (off + greatest(size, 1) - 1) div {block})")))
+    placed = rows.join(scratch.keep(bases, "bases"), ["sid", "bucket"]).withColumn("at", F.col("base") + F.coalesce("inner", F.lit(0))).drop("inner", "base", "bucket")
+    each = placed.filter("copies = 1").withColumn("copy", F.lit(0).cast("long")).unionByName(_exploded(placed.filter("copies > 1"), "copies", "copy"))
+    pieces = each.withColumn("off", F.col("at") + F.col("copy") * F.col("size")).withColumn(
+        "index", F.explode(F.expr(f"sequence(off div {block}, (off + size - 1) div {block})"))
+    )
     return (
         pieces.withColumn("from", F.greatest(F.col("off") - F.col("index") * block, F.lit(0)))
         .withColumn("to", F.least(F.col("off") + F.col("size") - F.col("index") * block, F.lit(block)))
-        .drop("inner", "base")
+        .drop("at", "copies")
     )
 
 
-def mix(docs: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS) -> tuple[DataFrame, DataFrame]:
-    """Pieces of all documents, and the slots that take blocks; both have (sid, index)."""
+def mix(docs: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pieces of all documents with words; the slots that take blocks, both with (sid, index); and the documents without words."""
     scratch = Scratch(docs.sparkSession, "mix")
+    text = F.col("text").cast("string")
     sized = scratch.keep(
         docs.select(
             F.col("doc_id").cast("long").alias("doc_id"),
             F.col("source").cast("string").alias("source"),
-            F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size"),
+            F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size"),
+            F.xxhash64(text).alias("tie"),
         ),
         "sized",
     )
     targets = scratch.keep(source_targets(sized), "targets")
-    rows = sized.join(targets, sized["source"].eqNullSafe(targets["source"])).select("doc_id", sized["source"], "size", "sid", "source_size", "target")
-    return packed(rows, scratch, block), slots(targets, block, shard_slots)
+    rows = sized.join(targets, sized["source"].eqNullSafe(targets["source"])).select("doc_id", sized["source"], "size", "tie", "sid", "source_size", "target")
+    return packed(rows.filter("size > 0"), scratch, block), slots(targets, scratch, block, shard_slots), rows.filter("size = 0")
 
 
 def shards(docs: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS) -> DataFrame:
     """The mixed corpus as rows (shard, number, source, from, doc_id, first_word, n_words), a row for each piece of a slot."""
-    pieces, taken = mix(docs, block, shard_slots)
+    pieces, taken, _ = mix(docs, block, shard_slots)
     n = F.least("to", "take") - F.col("from")
     return (
         taken.hint("merge")
@@ -172,16 +222,19 @@ def shards(docs: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS)
     )
 
 
-def taken_words(docs: DataFrame) -> DataFrame:
-    """``(doc_id, source, size, source_size, target, taken)`` per document."""
-    pieces, taken = mix(docs)
+def taken_words(docs: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """``(doc_id, source, size, source_size, target, taken, n_shards)`` per document; n_shards: in how many output shards its words are."""
+    pieces, taken, empty = mix(docs, block, shard_slots)
     words = F.greatest(F.least("to", F.coalesce("take", F.lit(0))) - F.col("from"), F.lit(0))
-    return (
-        pieces.join(taken.select("sid", "index", "take").hint("merge"), ["sid", "index"], "left")
-        .groupBy("doc_id", "source", "sid", "bucket", "nth", "size", "source_size", "target")
-        .agg(F.sum(words).cast("long").alias("taken"))
-        .select("doc_id", "source", "size", "source_size", "target", "taken")
+    out = ["doc_id", "source", "size", "source_size", "target", "taken", "n_shards"]
+    found = (
+        pieces.join(taken.select("sid", "index", "take", "shard").hint("merge"), ["sid", "index"], "left")
+        .withColumn("words", words)
+        .groupBy("doc_id", "source", "sid", "tie", "copy", "size", "source_size", "target")
+        .agg(F.sum("words").cast("long").alias("taken"), F.size(F.collect_set(F.when(F.col("words") > 0, F.col("shard")))).cast("long").alias("n_shards"))
     )
+    zero = F.lit(0).cast("long")
+    return found.select(*out).unionByName(empty.withColumns({"taken": zero, "n_shards": zero}).select(*out))
 
 
 def op5_mix_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:

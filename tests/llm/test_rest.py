@@ -50,10 +50,11 @@ def test_frequent_lines_are_removed_from_texts(spark):
     assert sorted(map(repr, want)) == sorted(repr((r.doc_id, r.text, r.kept)) for r in out)
 
 
-def test_short_lines_count_on_request(spark):
-    df = spark.createDataFrame([(k, f"Read more\npage {'x' * k}", "host") for k in range(25)], "doc_id long, text string, source string")
-    assert {r.n_lost_words for r in line_rules.line_frequency(df, min_line_words=1).collect()} == {2}
-    assert {r.text for r in line_rules.without_lines(df, min_line_words=1).collect()} == {f"page {'x' * k}" for k in range(25)}
+def test_short_lines_count_unless_they_are_spared(spark):
+    df = spark.createDataFrame([(k, f"Read more\n* * *\npage {'x' * k}\n ---", "host") for k in range(25)], "doc_id long, text string, source string")
+    assert {(r.n_lost_words, tuple(r.removed)) for r in line_rules.line_frequency(df).collect()} == {(6, (0, 1, 3))}
+    assert {r.text for r in line_rules.without_lines(df).collect()} == {f"page {'x' * k}" for k in range(25)}
+    assert {r.n_lost_words for r in line_rules.line_frequency(df, min_line_words=4).collect()} == {0}
 
 
 def test_archives_survive_any_payload(spark):
@@ -271,16 +272,72 @@ def test_deep_and_broken_pages():
     assert render(None) == ("", 0, 0)
 
 
+def one_chain(odds, move):
+    """Chances and pairs of one chain by summing over all labellings."""
+    n, z, chance, pairs = len(odds), 0.0, np.zeros(len(odds)), np.zeros((2, 2))
+    for y in np.ndindex(*[2] * n):
+        p = np.exp(sum(odds[k] * y[k] for k in range(n)) + sum(move[y[k], y[k + 1]] for k in range(n - 1)))
+        z += p
+        chance += p * np.array(y)
+        for k in range(n - 1):
+            pairs[y[k], y[k + 1]] += p
+    return chance / z, pairs / z
+
+
 def test_marginals_equal_enumeration():
     rng = np.random.default_rng(0)
-    odds, move = rng.normal(size=5), rng.normal(size=(2, 2))
-    z, want = 0.0, np.zeros(5)
-    for y in np.ndindex(*[2] * 5):
-        p = np.exp(sum(odds[k] * y[k] for k in range(5)) + sum(move[y[k], y[k + 1]] for k in range(4)))
-        z += p
-        want += p * np.array(y)
-    got, _ = line_crf.marginals(np.concatenate([odds[:0], odds, odds[:3]]), np.array([5, 3]), move)
-    assert np.allclose(got[:5], want / z)
+    for run in (1, 2, 3, 64):
+        per_text = np.array([5, 1, 3, 8, 1, 2])
+        odds, move = rng.normal(size=per_text.sum()) * 3, rng.normal(size=(2, 2))
+        want = [one_chain(x, move) for x in np.split(odds, np.cumsum(per_text)[:-1])]
+        got, pairs = line_crf.marginals(odds, per_text, move, run)
+        assert np.allclose(got, np.concatenate([w[0] for w in want])) and np.allclose(pairs, sum(w[1] for w in want))
+    long = line_crf.marginals(rng.normal(size=200_000) * 20, np.array([199_999, 1]), move)[0]
+    assert np.isfinite(long).all() and (long >= 0).all() and (long <= 1).all()
+    assert len(line_crf.marginals(np.empty(0), np.empty(0, dtype=np.int64), move)[0]) == 0
+
+
+def plain_features(line):
+    """The features of one line, character class by character class."""
+    raw = line.encode()
+    kinds = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t\r\v\f", ".,;:'\"-", "!?", "|", "#*$%&<>=_~^@\\"]
+    count = [sum(chr(c) in k for c in raw if c < 128) for k in kinds]
+    count += [sum(c < 128 and not any(chr(c) in k for k in kinds) for c in raw), sum(c >= 0xC0 for c in raw)]
+    chars = len(line)
+    words = re.split(r"[ \t\r\v\f]+", line.strip(" \t\r\v\f")) if line.strip(" \t\r\v\f") else []
+    ratio = [c / max(chars, 1) for c in count]
+    again = sum(a == b for a, b in zip(words, words[1:], strict=False)) / max(len(words), 1)
+    return [1, *ratio, np.log1p(chars) / 5, np.log1p(len(words)) / 4, min((chars - count[3]) / max(len(words), 1), 30) / 10, line[-1:] in list(".!?"), "A" <= line[:1] <= "Z" and line != "", chars == 0,
+        ratio[1] > 0.3, ratio[7] > 0.05, ratio[6] > 0.02, ratio[5] > 0.03, ratio[2] > 0.1, len(words) < 5, ratio[4] > 0.08, again, again > 0.3]
+
+
+def test_scores_and_line_labels_equal_a_plain_forward_pass(spark):
+    rng = np.random.default_rng(3)
+    model = line_crf.Model(rng.normal(size=3 * line_crf.FEATURES), rng.normal(size=(2, 2)))
+    texts = ["Hello world.\nthe the the\n\n| a | b |\nÜber 12% off!!", "one line", "", None, "a\n", "x y\n" * 9, "é\n#*$ <b>\nOK?"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    scores = {r.doc_id: r.score for r in line_crf.scores(df, model).collect()}
+    labels = sorted(map(tuple, line_crf.line_labels(df, model).collect()))
+    want = []
+    for k, text in enumerate(texts):
+        lines = (text or "").split("\n")
+        f = [plain_features(x) for x in lines]
+        none = [0] * line_crf.FEATURES
+        odds = np.array([np.dot(model.weights, [*f[i], *(f[i - 1] if i else none), *(f[i + 1] if i + 1 < len(f) else none)]) for i in range(len(f))], dtype=float)
+        chance, _ = one_chain(odds, model.transition)
+        weight = np.array([max(len(x), 1) for x in lines])
+        assert abs(scores[k] - (weight * chance).sum() / weight.sum()) < 1e-9
+        want += [(k, i, c, "good" if c >= 0.5 else "bad") for i, c in enumerate(chance)]
+    assert [(x[0], x[1], x[3]) for x in labels] == [(x[0], x[1], x[3]) for x in want] and np.allclose([x[2] for x in labels], [x[2] for x in want])
+
+
+def test_a_repeated_document_is_learned_from_once(spark):
+    docs = [(k, f"good line {k}.\nanother fine line.", "a") for k in range(30)] + [(k, "XX | YY !!! 999", "a") for k in range(30, 60)]
+    labels = spark.createDataFrame([(k, int(k < 30)) for k in range(60)], "doc_id long, quality int")
+    schema = "doc_id long, text string, quality string"
+    once = line_crf.fit(spark.createDataFrame(docs, schema), labels)
+    many = line_crf.fit(spark.createDataFrame(docs + docs[:1] * 50 + [(0, "zzz", "b")] * 9, schema), labels)
+    assert np.allclose(once.weights, many.weights) and np.allclose(once.transition, many.transition)
 
 
 def test_lines_of_texts():
