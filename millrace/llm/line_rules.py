@@ -185,15 +185,15 @@ WITH t AS (
 ), covered AS (
   SELECT doc_id, count(DISTINCT i + d) AS n_repeat_words FROM twice, (SELECT unnest([0, 1, 2]) AS d) GROUP BY doc_id
 ), lines AS (
-  SELECT doc_id, source, i - 1 AS at, coalesce(nullif(trim(regexp_replace(regexp_replace(lower(x), '[0-9]', '0', 'g'), '[^\p{L}\p{N}]+', ' ', 'g')), ''),
+  SELECT doc_id, source, i - 1 AS place, coalesce(nullif(trim(regexp_replace(regexp_replace(lower(x), '[0-9]', '0', 'g'), '[^\p{L}\p{N}]+', ' ', 'g')), ''),
       regexp_replace(x, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')) AS line,
     len(list_filter(regexp_split_to_array(x, '[\x20\x09-\x0D]+'), lambda y: y <> '')) AS n
   FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM t)
   WHERE regexp_matches(x, '[^\x20\x09-\x0D]')
 ), grouped AS (
-  SELECT doc_id, source, line, sum(n) AS n, list(at) AS at FROM lines GROUP BY ALL
+  SELECT doc_id, source, line, sum(n) AS n, list(place) AS places FROM lines GROUP BY ALL
 ), lost AS (
-  SELECT doc_id, sum(n) AS n_lost_words, array_to_string(list_sort(flatten(list(at))), ',') AS removed_lines
+  SELECT doc_id, sum(n) AS n_lost_words, array_to_string(list_sort(flatten(list(places))), ',') AS removed_lines
   FROM (SELECT *, count(*) OVER (PARTITION BY source, line) AS docs FROM grouped) WHERE docs > 20 GROUP BY doc_id
 ), counts AS (
   SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
