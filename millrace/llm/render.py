@@ -3,23 +3,28 @@
 * Tree: comments, declarations and raw-text elements are tokenised first; start tags close what they imply closed (paragraphs,
   list items, table parts, options), end tags close up to their match, void elements have no content.
 * Visibility: content of head, scripts, styles, templates and embedded objects, and elements hidden by attribute or
-  by an inline display rule, is not shown. An inline visibility rule is inherited, and children may override it. Formulas and
-  drawings show their text, but not annotations, descriptions and definitions.
+  by a display rule, is not shown. A visibility rule is inherited, and children may override it. Rules are inline or in the page's
+  style sheets (types, classes, identifiers, attributes, descendants and children; rules for other media, for states or of sibling
+  selectors do not apply), by importance, place, specificity and order. Formulas and drawings show their text, but not annotations,
+  descriptions and definitions.
 * Text: white space collapses outside preformatted elements; blocks stand on lines of their own, with an empty line around
   paragraphs, headings, lists, tables and quotations; list items have their bullet or number and are indented by depth;
-  table cells are padded to aligned columns, spans included.
+  table cells are padded to aligned columns, spans included; where that would take a table beyond ``AREA`` characters, cells wrap
+  inside the widest columns, as on a screen. No text is left out.
 
-Building and rendering use explicit stacks; elements nested deeper than ``MAX_DEPTH`` are made siblings, as browsers do. Column padding stops at ``MAX_PAD``, so a
-long cell doesn't widen every row.
+Building and rendering use explicit stacks; elements nested deeper than ``MAX_DEPTH`` are made siblings, as browsers do. Spans are held
+as ranges of columns, so they take no memory by their size.
 
-Defined results: null and empty pages give empty text. Rows without page_id and repeated rows are rendered like others. Other
-columns are ignored. An empty table gives an empty result.
+Defined results: null and empty pages give empty text; very long pages are rendered whole. Rows without page_id and repeated rows are
+rendered like others. Rules of equal weight: the last counts. Other columns, whatever their names, are ignored. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -29,9 +34,10 @@ from pyspark.sql import functions as F
 
 from .scratch import small_batches, table
 
-MAX_PAD = 60
-MAX_SPAN = 1000
+AREA = 1 << 22
 MAX_DEPTH = 512
+#: Largest spans of the HTML standard.
+MAX_ACROSS, MAX_DOWN = 1000, 65_534
 
 # Element classes of the HTML standard: fixed values.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -93,8 +99,8 @@ def _attributes(text: str) -> dict[str, str]:
     return out
 
 
-def tree(source: str) -> Node:
-    """The document's element tree."""
+def tree(source: str, sheets: list[str] | None = None) -> Node:
+    """The document's element tree; the text of its style sheets goes to ``sheets``."""
     root = Node("html", {})
     stack, at, n = [root], 0, len(source)
 
@@ -168,6 +174,8 @@ def tree(source: str) -> Node:
         if tag in RAW or tag in RCDATA:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(source, at)
             body = source[at : end.start() if end else n]
+            if tag == "style" and sheets is not None and attrs.get("media", "").strip().lower() in ("", "all", "screen"):
+                sheets.append(body)
             at = end.end() if end else n
             node.children.append(body if tag in RCDATA else body.replace("&", "&amp;"))
         elif tag not in VOID and not (m["attrs"] or "").endswith("/") or tag in BLOCK:
@@ -176,13 +184,131 @@ def tree(source: str) -> Node:
     return root
 
 
-def rules(node: Node, drawing: bool) -> dict[str, str]:
-    """The node's own display and visibility: of a drawing's attributes and the inline style, the last, important ones first."""
-    out = {k: node.attrs[k].strip().lower() for k in ("display", "visibility") if k in node.attrs} if drawing else {}
-    if "style" in node.attrs:
-        found = _RULE.findall(node.attrs["style"])
-        out.update((k.lower(), v.lower()) for k, v, _ in sorted(found, key=lambda x: bool(x[2])))
-    return out
+#: A step of a selector: whether the one before is its parent (else any ancestor), type, and (attribute, value) it needs.
+Selector = list[tuple[bool, str, list[tuple[str, str | None]]]]
+_COMPOUND = re.compile(r"(?:[a-zA-Z*][\w-]*)?(?:[.#][\w-]+|\[\s*[\w-]+\s*(?:=\s*(?:\"[^\"]*\"|'[^']*'|[\w-]+)\s*)?\])*")
+_PART = re.compile(r"([.#])([\w-]+)|\[\s*([\w-]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([\w-]+))\s*)?\]")
+
+
+def selector(text: str) -> tuple[tuple[int, int, int], Selector] | None:
+    """Specificity and steps of a selector; None if it has anything beyond those that are known."""
+    steps: Selector = []
+    weight, child = [0, 0, 0], False
+    for part in re.findall(r"(?:\[[^\]]*\]|[^\s>\[])+|>", text):
+        if part == ">":
+            child = True
+            continue
+        if not _COMPOUND.fullmatch(part):
+            return None
+        name = re.match(r"[a-zA-Z*][\w-]*|", part)[0].lower()
+        needs = []
+        for mark, value, attr, a, b, c in _PART.findall(part):
+            weight[0 if mark == "#" else 1] += 1
+            if mark:
+                needs.append(("id" if mark == "#" else "class", value))
+            else:
+                needs.append((f"={attr.lower()}", a or b or c or None))
+        weight[2] += name not in ("", "*")
+        steps.append((child, "" if name == "*" else name, needs))
+        child = False
+    return (tuple(weight), steps) if steps else None
+
+
+class Sheet:
+    """Display and visibility rules of style sheets, found by the last step's identifier, class or type."""
+
+    def __init__(self, sheets: list[str]):
+        self.by_key: dict[str, list] = {}
+        self.n = 0
+        for css in sheets:
+            self._read(re.sub(r"/\*.*?(?:\*/|\Z)|<!--|-->", " ", css, flags=re.S))
+
+    def _read(self, css: str) -> None:
+        at, applies = 0, []
+        while (brace := css.find("{", at)) >= 0:
+            before = css[at:brace]
+            del applies[max(0, len(applies) - before.count("}")) :]
+            head = re.split("[};]", before)[-1].strip()
+            if head.startswith("@"):
+                words = head.lower().split(None, 1)
+                if words[0] in ("@media", "@layer", "@supports"):
+                    media = [x.strip() for x in words[1].split(",")] if len(words) > 1 else []
+                    applies.append(words[0] != "@media" or "screen" in media or "all" in media)
+                    at = brace + 1
+                else:
+                    at = self._skipped(css, brace)
+                continue
+            end = css.find("}", brace)
+            end = len(css) if end < 0 else end
+            found = _RULE.findall(css[brace + 1 : end])
+            for text in head.split(",") if found and all(applies) else ():
+                if known := selector(text.strip()):
+                    self._add(*known, found)
+            at = min(end + 1, len(css))
+
+    @staticmethod
+    def _skipped(css: str, brace: int) -> int:
+        depth = 0
+        for m in re.compile("[{}]").finditer(css, brace):
+            depth += 1 if m[0] == "{" else -1
+            if not depth:
+                return m.end()
+        return len(css)
+
+    def _add(self, weight: tuple, steps: Selector, found: list) -> None:
+        _, tag, needs = steps[-1]
+        keys = [f"#{v}" for k, v in needs if k == "id"] + [f".{v}" for k, v in needs if k == "class"] + [tag or "*"]
+        self.n += 1
+        self.by_key.setdefault(keys[0], []).append((weight, self.n, steps, found))
+
+    def of(self, chain: tuple) -> list[tuple]:
+        """(importance, weight, order, property, value) of the rules that match the node at the head of a chain of ancestors."""
+        node = chain[0]
+        keys = ["*", node.tag, *(f".{c}" for c in node.attrs.get("class", "").split())]
+        keys += [f"#{node.attrs['id'].strip()}"] if "id" in node.attrs else []
+        out = []
+        for key in dict.fromkeys(keys):
+            for weight, n, steps, found in self.by_key.get(key, ()):
+                if _fits(chain, steps, len(steps) - 1):
+                    out += [(bool(important), weight, n, k.lower(), v.lower()) for k, v, important in found]
+        return out
+
+
+def _fits(chain: tuple | None, steps: Selector, k: int) -> bool:
+    """Whether the node at the head of the chain meets step k, and its ancestors the steps before."""
+    node, above = chain
+    child, tag, needs = steps[k]
+    if tag and node.tag != tag:
+        return False
+    for name, value in needs:
+        if name == "class":
+            if value not in node.attrs.get("class", "").split():
+                return False
+        elif name == "id":
+            if node.attrs.get("id", "").strip() != value:
+                return False
+        elif name[1:] not in node.attrs or value is not None and node.attrs[name[1:]] != value:
+            return False
+    if not k:
+        return True
+    while above is not None:
+        if _fits(above, steps, k - 1):
+            return True
+        if child:
+            return False
+        above = above[1]
+    return False
+
+
+def rules(chain: tuple, drawing: bool, sheet: Sheet) -> dict[str, str]:
+    """The node's own display and visibility: of a drawing's attributes, the style sheets and the inline style, important ones last."""
+    node = chain[0]
+    found = [(False, (-1,), 0, k, node.attrs[k].strip().lower()) for k in ("display", "visibility") if drawing and k in node.attrs]
+    if sheet.n:
+        found += sheet.of(chain)
+    for n, (k, v, important) in enumerate(_RULE.findall(node.attrs.get("style", ""))):
+        found.append((bool(important), (1 << 30,), n, k.lower(), v.lower()))
+    return {k: v for *_, k, v in sorted(found)}
 
 
 def pruned(node: Node, own: dict[str, str], drawing: bool) -> bool:
@@ -270,39 +396,86 @@ def _number(text: str | None, default: int, low: int, high: int) -> int:
     return min(high, max(low, int(m[1]))) if m else default
 
 
-def aligned(grid: list[list[tuple[list[str], int, int]]]) -> list[str]:
-    """Rows of (lines, colspan, rowspan) to text lines with aligned columns."""
-    taken: dict[tuple[int, int], bool] = {}
-    placed: list[list[tuple[int, int, list[str]]]] = []
+def wrapped(line: str, width: int) -> list[str]:
+    """The line in pieces of at most ``width`` characters, cut at spaces where there are some."""
+    out = []
+    while len(line) > width:
+        at = line.rfind(" ", 1, width + 1)
+        out.append(line[: at if at > 0 else width].rstrip())
+        line = line[at if at > 0 else width :].lstrip(" ")
+    return [*out, line] if line or not out else out
+
+
+def placed(grid: list[list[tuple[list[str], int, int]]]) -> list[list[tuple[int, int, list[str]]]]:
+    """Rows of (lines, colspan, rowspan) to rows of (column, colspan, lines). Cells that reach down are ranges of columns."""
+    out, reach = [], []
     for r, row in enumerate(grid):
-        col, cells = 0, []
+        reach = [x for x in reach if x[2] > r]
+        col, at, cells, fresh = 0, 0, [], []
         for lines, across, down in row:
-            while (r, col) in taken:
-                col += 1
-            for dr in range(1, min(down, len(grid) - r)):
-                for dc in range(across):
-                    taken[r + dr, col + dc] = True
+            while at < len(reach) and reach[at][0] <= col:
+                col = max(col, reach[at][1])
+                at += 1
+            if down > 1:
+                fresh.append((col, col + across, min(r + down, len(grid))))
             cells.append((col, across, lines))
             col += across
-        placed.append(cells)
-    used = sorted({c for cells in placed for c, _, lines in cells if lines})
-    rank = {c: k for k, c in enumerate(used)}
-    width = [0] * len(used)
-    for cells in placed:
+        out.append(cells)
+        if fresh:
+            merged: list[tuple[int, int, int]] = []
+            for lo, hi, until in sorted(reach + fresh):
+                if merged and merged[-1][1] >= lo and merged[-1][2] == until:
+                    merged[-1] = (merged[-1][0], max(hi, merged[-1][1]), until)
+                else:
+                    merged.append((lo, hi, until))
+            reach = merged
+    return out
+
+
+def _widths(cells_of: list, used: list[int]) -> list[int]:
+    width, wide = [0] * len(used), []
+    for cells in cells_of:
         for c, across, lines in cells:
-            if lines and across == 1:
-                width[rank[c]] = max(width[rank[c]], min(MAX_PAD, max(map(len, lines))))
-    start = [sum(width[:k]) + 2 * k for k in range(len(width))]
+            if lines:
+                first, n = bisect_left(used, c), max(map(len, lines))
+                last = bisect_left(used, c + across) - 1
+                if first == last:
+                    width[first] = max(width[first], n)
+                elif cells[-1][0] > c:
+                    wide.append((last - first, first, last, n))
+    for _, first, last, n in sorted(wide):
+        held = sum(width[first : last + 1]) + 2 * (last - first)
+        width[last] += max(0, n - held)
+    return width
+
+
+def aligned(grid: list[list[tuple[list[str], int, int]]]) -> list[str]:
+    """Rows of (lines, colspan, rowspan) to text lines with aligned columns."""
+    cells_of = placed(grid)
+    used = sorted({c for cells in cells_of for c, _, lines in cells if lines})
+    width = _widths(cells_of, used)
+    most = max(width, default=0)
+    while most > 20 and sum(min(w, most) + 2 for w in width) * sum(max((len(x) for _, _, x in cells), default=0) for cells in cells_of) > AREA:
+        most //= 2
+    if most < max(width, default=0):
+        cells_of = [[(c, across, [p for x in lines for p in wrapped(x, max(most, 1))]) for c, across, lines in cells] for cells in cells_of]
+        width = _widths(cells_of, used)
+    start, at = {}, 0
+    for c, w in zip(used, width, strict=True):
+        start[c] = at
+        at += w + 2
     out = []
-    for cells in placed:
-        cells = [(start[rank[c]], lines) for c, _, lines in cells if lines]
+    for cells in cells_of:
+        cells = [(start[c], lines) for c, _, lines in cells if lines]
         for k in range(max((len(lines) for _, lines in cells), default=0)):
-            line = ""
+            line: list[str] = []
+            length = 0
             for at, lines in cells:
                 if k < len(lines) and lines[k]:
-                    line = (line + "  " if line else "") if len(line) > at - 2 else line.ljust(at)
-                    line += lines[k]
-            out.append(line.rstrip())
+                    pad = max(at - length, 2 if length else 0) if length else at
+                    line += [" " * pad, lines[k]]
+                    length += pad + len(lines[k])
+            out.append("".join(line).rstrip())
     return out
 
 
@@ -310,15 +483,17 @@ def render(source: str | None) -> tuple[str, int, int]:
     """Visible text, its non-empty lines, and the tables laid out."""
     if not source:
         return "", 0, 0
-    out, tables = Lines(), 0
-    #: (enter, node) tasks; frames of tables collect rows of cells.
-    tasks: list[tuple] = [("node", tree(source), True, False)]
+    out, tables, sheets = Lines(), 0, []
+    root = tree(source, sheets)
+    sheet = Sheet(sheets)
+    #: (what, node, shown, in a drawing, chain of ancestors); frames of tables collect rows of cells.
+    tasks: list[tuple] = [("node", root, True, False, None)]
     sinks: list[Lines] = [out]
     grids: list[list] = []
     lists: list[list] = []
     pre = 0
     while tasks:
-        what, node, shown, drawing = tasks.pop()
+        what, node, shown, drawing, above = tasks.pop()
         sink = sinks[-1]
         if what == "text":
             if shown:
@@ -338,8 +513,9 @@ def render(source: str | None) -> tuple[str, int, int]:
                 lines = sinks.pop().done()
                 while lines and not lines[-1]:
                     lines.pop()
-                across = _number(node.attrs.get("colspan"), 1, 1, MAX_SPAN)
-                down = _number(node.attrs.get("rowspan"), 1, 1, MAX_SPAN)
+                across = _number(node.attrs.get("colspan"), 1, 1, MAX_ACROSS)
+                # A rowspan of 0 reaches to the end.
+                down = _number(node.attrs.get("rowspan"), 1, 0, MAX_DOWN) or MAX_DOWN
                 if grids and grids[-1][0] is not None:
                     if not grids[-1][1]:
                         grids[-1][1].append([])
@@ -361,7 +537,8 @@ def render(source: str | None) -> tuple[str, int, int]:
             continue
         tag = node.tag
         drawing = (drawing or tag == "svg") and tag != "foreignobject"
-        own = rules(node, drawing)
+        chain = (node, above)
+        own = rules(chain, drawing, sheet)
         if pruned(node, own, drawing):
             continue
         shown = shows(own, shown)
@@ -403,8 +580,8 @@ def render(source: str | None) -> tuple[str, int, int]:
             grids[-1][1].append([])
         elif tag in ("td", "th"):
             sinks.append(Lines())
-        tasks.append(("leave", node, shown, drawing))
-        tasks.extend(("text" if isinstance(c, str) else "node", c, shown, drawing) for c in reversed(node.children))
+        tasks.append(("leave", node, shown, drawing, above))
+        tasks.extend(("text" if isinstance(c, str) else "node", c, shown, drawing, chain) for c in reversed(node.children))
     lines = out.done()
     return "\n".join(lines).strip("\n"), sum(1 for x in lines if x.strip()), tables
 
