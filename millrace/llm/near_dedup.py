@@ -9,17 +9,23 @@ Plan
    Each chunk is therefore indexed once per symbol left out (the allowed chunk error), which guarantees that
    all pairs within distance t share a key. m is chosen so that a pair at the threshold is beyond t with a chance
    below ``MISS``.
-4. Under each key, pairs within distance t are joined to a forest (as many ties as members at most, never all pairs).
-   Classes that only share some passage are too far apart for a tie, so that they form no large components. A key of more
-   than ``BUCKET_ROWS`` classes is tied as a star to its smallest one, unseen: looser, but complete. Components of all ties
-   hold every pair within distance t.
-5. A component is cut into blocks of bounded size; each pair of blocks is one task that compares
-   signatures, confirms candidates on the full sets and returns the links of a spanning forest.
-6. Components of the confirmed links are the groups.
-
-Defined results: null, empty or blank texts have an empty set, link with nothing and are their own component.
-Texts with fewer words than a shingle have their whole word sequence as the one shingle. A row without doc_id
-links with nothing, its component_id is null and it is kept. Rows that share a doc_id are one document. Other
+4. Stars: of the smallest classes under its keys, each class is confirmed on the full sets against the smallest one within
+   distance t. Linked ones get a common label. A family of near copies, however large, is mostly settled here, in time linear in it.
+5. Ties: only keys that still hold several labels are looked at, by one class for each label and signature. Pairs of different labels within
+   distance t are tied to a forest (as many ties as members at most, never all pairs). Classes that only share some passage are too
+   far apart for a tie, so that they form no large components. The rows of a key are dealt out to chunks of ``BUCKET_ROWS``, and each
+   pair of chunks is a task of its own. Components of stars and ties hold every pair within distance t.
+6. Components with several labels are cut into blocks of bounded size. Labels larger than a block have blocks of their own, which are
+   not compared with each other; each other pair of blocks is one task that compares signatures across labels, confirms candidates
+   on the full sets and returns the links of a spanning forest.
+7. Components of the confirmed links are the groups.
+
+Counts by key, and other small sides of joins, are combined aggregates that are written first: a join of two plain shuffles is one
+whose large keys adaptive execution can split, so no key is a single task.
+
+Defined results: null, empty or blank texts have an empty set, link with nothing and are their own component; very long texts count
+whole. Texts with fewer words than a shingle have their whole word sequence as the one shingle. A pair at the threshold exactly links.
+A row without doc_id links with nothing, its component_id is null and it is kept. Rows that share a doc_id are one document. Other
 input columns are ignored, whatever their names. An empty table gives an empty result.
 """
 
@@ -32,7 +38,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -42,6 +48,8 @@ K = 64
 MISS = 1e-5
 BLOCK_SHINGLES = 1_000_000
 BUCKET_ROWS = 4096
+#: A star's members come in chunks of so many shingles, each with the star's centre.
+STAR_SHINGLES = 1 << 16
 
 _U = np.uint64
 _MIX1, _MIX2, _MIX3 = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9)
@@ -147,21 +155,58 @@ def _keyed(chunks: int):
     return run
 
 
-def bucket_forest(rep: np.ndarray, sig: np.ndarray, furthest: int) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs of one bucket whose signatures are within the distance."""
-    root, out = np.arange(len(rep)), []
+def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(u, v, su, sv) to (u, v, far): the distance of two signatures."""
+    for batch in batches:
+        if batch.num_rows:
+            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=np.uint16).reshape(-1, K) for k in (2, 3))
+            far = pa.array((a != b).sum(axis=1), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), far], names=["u", "v", "far"])
+
+
+def _starred(size: int, percent: int):
+    """Rows (centre, chunk, rep, text), the centre first in its group, to links (u, v) with the centre. One set is kept at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, at, held = Words(), None, None
+        for batch in batches:
+            u, v = [], []
+            for centre, chunk, rep, text in zip(*(batch.column(k) for k in range(4)), strict=True):
+                centre, rep = centre.as_py(), rep.as_py()
+                s = shingles(text.as_py(), size, words)
+                if centre == rep:
+                    at, held = (centre, chunk.as_py()), s
+                elif at != (centre, chunk.as_py()):
+                    raise ValueError("a star's centre is missing")
+                elif similar(held, s, percent):
+                    u.append(centre)
+                    v.append(rep)
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    return run
+
+
+def bucket_forest(rep: np.ndarray, sig: np.ndarray, furthest: int, label: np.ndarray | None = None, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of one bucket whose signatures are within the distance.
+
+    Rows with one label are joined already; with ``side`` only pairs of both sides count.
+    """
+    root, out = np.arange(len(rep)) if label is None else np.unique(label, return_inverse=True)[1], []
     for i in range(1, len(rep)):
-        near = np.flatnonzero((sig[:i] != sig[i]).sum(axis=1) <= furthest)
+        near = (sig[:i] != sig[i]).sum(axis=1) <= furthest
+        near &= root[:i] != root[i]
+        if side is not None:
+            near &= side[:i] != side[i]
+        near = np.flatnonzero(near)
         if len(near):
             groups, first = np.unique(root[near], return_index=True)
             out += [(int(rep[near[k]]), int(rep[i])) for k in first]
-            root[np.isin(root, groups)] = groups[0]
-            root[i] = groups[0]
+            root[np.isin(root, np.append(groups, root[i]))] = groups[0]
     return out
 
 
 def _bucketed(furthest: int):
-    """Rows (key, rep, sig) sorted by key to ties (u, v) of each bucket's forest; buckets of two go all at once."""
+    """Rows (task, cross, rep, label, side, sig) sorted by task to ties (u, v) of each task's forest; tasks of two rows go all at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -169,60 +214,48 @@ def _bucketed(furthest: int):
             if batch is not None:
                 if not batch.num_rows:
                     continue
-                sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.uint16).reshape(-1, K)
-                fresh = [batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False), sig]
+                sig = np.frombuffer(b"".join(batch.column(5).to_pylist()), dtype=np.uint16).reshape(-1, K)
+                fresh = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(5)] + [sig]
                 held = [np.concatenate(x) for x in zip(held, fresh, strict=True)] if held else fresh
             if not held:
                 return
-            key, rep, sig = held
-            edge = np.flatnonzero(key[1:] != key[:-1]) + 1
-            starts, stops = np.append(0, edge), np.append(edge, len(key))
+            task, cross, rep, label, side, sig = held
+            edge = np.flatnonzero(task[1:] != task[:-1]) + 1
+            starts, stops = np.append(0, edge), np.append(edge, len(task))
             whole = len(starts) if batch is None else len(starts) - 1
             cut = stops[whole - 1] if whole else 0
             starts, size = starts[:whole], (stops - starts)[:whole]
             two = starts[size == 2]
-            close = two[(sig[two] != sig[two + 1]).sum(axis=1) <= furthest]
+            close = two[((sig[two] != sig[two + 1]).sum(axis=1) <= furthest) & (label[two] != label[two + 1])]
             ties = [np.stack([rep[close], rep[close + 1]], axis=1)]
             for a, n in zip(starts[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-                ties.append(np.array(bucket_forest(rep[a : a + n], sig[a : a + n], furthest), dtype=np.int64).reshape(-1, 2))
+                part = slice(a, a + n)
+                found = bucket_forest(rep[part], sig[part], furthest, label[part], side[part] if cross[a] else None)
+                ties.append(np.array(found, dtype=np.int64).reshape(-1, 2))
             found = np.concatenate(ties)
-            held = [x[cut:] for x in held] if cut < len(key) else []
+            held = [x[cut:] for x in held] if cut < len(task) else []
             yield pa.RecordBatch.from_arrays([pa.array(found[:, 0], pa.int64()), pa.array(found[:, 1], pa.int64())], names=["u", "v"])
 
     return run
 
 
-class Forest:
-    """Union-find over positions."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
+def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+        return False
+    both = _shared(a, b)
+    return 100 * both >= percent * (len(a) + len(b) - both)
 
-    def root(self, x: int) -> int:
-        up = self.up
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
 
-    def join(self, a: int, b: int) -> bool:
-        a, b = self.root(a), self.root(b)
-        if a == b:
-            return False
-        self.up[max(a, b)] = min(a, b)
-        return True
-
-
-def confirmed(sets: list[np.ndarray], left: int, percent: int, whole: bool, furthest: int) -> Iterator[tuple[int, int]]:
+def confirmed(sets: list[np.ndarray], label: np.ndarray, left: int, percent: int, whole: bool, furthest: int) -> Iterator[tuple[int, int]]:
     """Links of a spanning forest of the pairs with 100 * intersection >= percent * union.
 
     ``whole``: all pairs of the list; else only pairs of one of the first ``left`` with one of the others.
-    Candidates are pairs within the signature distance; a pair already joined needs no comparison.
+    Candidates are pairs within the signature distance; pairs of one label, or joined already, need no comparison.
     """
     n = len(sets)
     sig = np.stack([signature(s) for s in sets])
     size = np.array([len(s) for s in sets])
-    forest, root = Forest(n), np.arange(n)
+    root = np.unique(label, return_inverse=True)[1]
     for i in range(0 if whole else left, n):
         upto = i if whole else left
         near = np.flatnonzero(
@@ -233,11 +266,7 @@ def confirmed(sets: list[np.ndarray], left: int, percent: int, whole: bool, furt
         far = (sig[near] != sig[i]).sum(axis=1)
         near, far = near[far <= furthest], far[far <= furthest]
         for j in near[np.argsort(far, kind="stable")].tolist():
-            if root[j] == root[i]:
-                continue
-            both = _shared(sets[i], sets[j])
-            if 100 * both >= percent * (size[i] + size[j] - both):
-                forest.join(i, j)
+            if root[j] != root[i] and similar(sets[i], sets[j], percent):
                 a, b = root[i], root[j]
                 root[root == max(a, b)] = min(a, b)
                 yield j, i
@@ -246,20 +275,23 @@ def confirmed(sets: list[np.ndarray], left: int, percent: int, whole: bool, furt
 def _shared(a: np.ndarray, b: np.ndarray) -> int:
     if len(a) > len(b):
         a, b = b, a
+    if not len(a):
+        return 0
     at = np.searchsorted(b, a)
     at[at == len(b)] = 0
     return int((b[at] == a).sum())
 
 
 def _linked(size: int, percent: int):
+    """Rows (component, bi, bj, block, rep, label, text), sorted by the first three, to links."""
     furthest = 2 * chunk_count(percent) - 1
 
     def flush(key, rows, words) -> pa.RecordBatch:
         _, bi, bj = key
         rows.sort(key=lambda r: (r[1] != bi, r[0]))
         left = sum(r[1] == bi for r in rows)
-        sets = [shingles(r[2], size, words) for r in rows]
-        pairs = list(confirmed(sets, left, percent, bi == bj, furthest)) if len(sets) > 1 else []
+        sets, label = [shingles(r[3], size, words) for r in rows], np.array([r[2] for r in rows])
+        pairs = list(confirmed(sets, label, left, percent, bi == bj, furthest)) if len(sets) > 1 else []
         return pa.RecordBatch.from_arrays(
             [pa.array([rows[a][0] for a, _ in pairs], pa.int64()), pa.array([rows[b][0] for _, b in pairs], pa.int64())],
             names=["u", "v"],
@@ -268,20 +300,89 @@ def _linked(size: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, at, rows = Words(), None, []
         for batch in batches:
-            comp, bi, bj, block, rep, text = (batch.column(k) for k in range(6))
+            comp, bi, bj, block, rep, label, text = (batch.column(k) for k in range(7))
             for k, key in enumerate(zip(comp.to_pylist(), bi.to_pylist(), bj.to_pylist(), strict=True)):
                 if key != at:
                     if rows:
                         yield flush(at, rows, words)
                     at, rows = key, []
-                rows.append((rep[k].as_py(), block[k].as_py(), text[k].as_py()))
+                rows.append((rep[k].as_py(), block[k].as_py(), label[k].as_py(), text[k].as_py()))
         if rows:
             yield flush(at, rows, words)
 
     return run
 
 
-def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, block_shingles: int = BLOCK_SHINGLES, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def _stars(buckets: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int, furthest: int, scratch: Scratch, star_shingles: int) -> DataFrame:
+    """Confirmed links of each class with the smallest near one of the smallest classes under its keys."""
+    sig = classes.select("rep", "sig")
+    pairs = buckets.filter("rep > low").select(F.col("low").alias("u"), F.col("rep").alias("v")).distinct()
+    signed = (
+        pairs.hint("merge")
+        .join(sig.select(F.col("rep").alias("v"), F.col("sig").alias("sv")), "v")
+        .join(sig.select(F.col("rep").alias("u"), F.col("sig").alias("su")), "u")
+        .select("u", "v", "su", "sv")
+    )
+    near = signed.mapInArrow(_distances, "u long, v long, far int").filter(F.col("far") <= furthest)
+    chosen = near.groupBy("v").agg(F.min("u").alias("u")).join(classes.select(F.col("rep").alias("v"), "n"), "v")
+    chosen = scratch.keep(chosen.select("u", "v", "n"), "centres")
+    chunks = scratch.keep(chosen.groupBy("u").agg(F.ceil(F.sum("n") / F.lit(star_shingles)).cast("int").alias("k")), "chunks")
+    members = chosen.join(chunks, "u").select(F.col("u").alias("centre"), F.pmod(F.xxhash64("v"), F.col("k")).cast("int").alias("chunk"), F.col("v").alias("rep"))
+    centres = members.select("centre", "chunk").distinct().withColumn("rep", F.col("centre"))
+    rows = members.unionByName(centres).hint("merge").join(docs, F.col("rep") == docs.doc_id).select("centre", "chunk", "rep", "text")
+    tasks = rows.repartition("centre", "chunk").sortWithinPartitions("centre", "chunk", "rep")
+    return scratch.keep(tasks.mapInArrow(_starred(size, percent), "u long, v long"), "stars")
+
+
+def _labelled(df: DataFrame, labels: DataFrame) -> DataFrame:
+    """``df(rep, ..)`` with the label that confirmed links give, the class itself without any."""
+    return df.join(labels.select(F.col("node").alias("rep"), F.col("component").alias("label")), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+
+
+def _ties(buckets: DataFrame, classes: DataFrame, labels: DataFrame, furthest: int, scratch: Scratch, bucket_rows: int) -> DataFrame:
+    """A forest of near signatures under each key that holds several labels."""
+    marked = scratch.keep(_labelled(buckets.select("key", "rep"), labels), "marked")
+    several = marked.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a < b").select("key")
+    open_rows = marked.join(scratch.keep(several, "several"), "key").hint("merge").join(classes.select("rep", "sig"), "rep")
+    one_each = scratch.keep(open_rows.groupBy("key", "label", "sig").agg(F.min("rep").alias("rep")), "open")
+    count = scratch.keep(one_each.groupBy("key").agg(F.ceil(F.count("*") / F.lit(bucket_rows)).cast("int").alias("nb")), "chunks")
+    dealt = one_each.join(count, "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
+    dealt = _paired(dealt, F.expr("sequence(0, nb - 1)")).withColumn("task", F.when(F.col("nb") == 1, F.col("key")).otherwise(F.xxhash64("key", "bi", "bj")))
+    rows = dealt.select("task", F.expr("bi < bj").alias("cross"), "rep", "label", "block", "sig")
+    return rows.repartition("task").sortWithinPartitions("task", "rep").mapInArrow(_bucketed(furthest), "u long, v long")
+
+
+def _paired(rows: DataFrame, others: Column) -> DataFrame:
+    """Each row once for each block its own is compared with, as (bi, bj)."""
+    met = rows.withColumn("other", F.explode(others))
+    return met.withColumns({"bi": F.least("block", "other"), "bj": F.greatest("block", "other")}).drop("other")
+
+
+def _blocks(near: DataFrame, block_shingles: int, scratch: Scratch) -> DataFrame:
+    """``near(component, rep, label, n)`` with ``block`` and ``others``, the blocks it is compared with; settled components are left out.
+
+    Labels larger than a block have blocks of their own after those of the others.
+    """
+    per = scratch.keep(near.groupBy("component", "label").agg(F.sum("n").alias("held")), "labels")
+    big = F.col("held") > block_shingles
+    pool = per.groupBy("component").agg(F.count("*").alias("k"), F.ceil(F.coalesce(F.sum(F.when(~big, F.col("held"))), F.lit(0)) / block_shingles).cast("int").alias("pool"))
+    pool = scratch.keep(pool.filter("k > 1").drop("k"), "pool")
+    own = per.filter(big).join(pool, "component").withColumn("nb", F.ceil(F.col("held") / block_shingles).cast("int"))
+    # Labels larger than a block are few: a millionth of the component's shingles.
+    upto = F.sum("nb").over(Window.partitionBy("component").orderBy("label"))
+    own = scratch.keep(own.withColumn("first", (F.col("pool") + upto - F.col("nb")).cast("int")).select("component", "label", "first", "nb"), "own")
+    total = scratch.keep(pool.join(own.groupBy("component").agg(F.sum("nb").cast("int").alias("more")), "component", "left").select("component", "pool", (F.col("pool") + F.coalesce("more", F.lit(0))).alias("total")), "total")
+    placed = near.join(total, "component").join(own, ["component", "label"], "left")
+    spread = F.xxhash64("rep")
+    block = F.when(F.col("nb").isNotNull(), F.col("first") + F.pmod(spread, F.greatest("nb", F.lit(1)))).otherwise(F.pmod(spread, F.greatest("pool", F.lit(1))))
+    every = F.sequence(F.lit(0), F.col("total") - 1)
+    others = F.when(F.col("nb").isNull(), every).otherwise(F.filter(every, lambda x: (x < F.col("first")) | (x >= F.col("first") + F.col("nb"))))
+    return placed.select("component", "rep", "label", block.cast("int").alias("block"), others.alias("others"))
+
+
+def near_duplicates(
+    docs: DataFrame, shingle_words: int = 5, percent: int = 80, block_shingles: int = BLOCK_SHINGLES, bucket_rows: int = BUCKET_ROWS, star_shingles: int = STAR_SHINGLES
+) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` per row of ``docs(doc_id, text)``."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
@@ -296,51 +397,27 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     same_id = named.groupBy("doc_id").agg(F.count_distinct("print").alias("k")).filter("k > 1")
 
     chunks = chunk_count(percent)
-    by_key = Window.partitionBy("key")
-    buckets = scratch.keep(
-        classes.select("rep", "sig")
-        .mapInArrow(_keyed(chunks), "key long, rep long")
-        .withColumns({"n": F.count("*").over(by_key), "low": F.min("rep").over(by_key)})
-        .filter("n > 1"),
-        "buckets",
-    )
-    signed = (
-        buckets.filter(F.col("n") <= bucket_rows)
-        .select("key", "rep")
-        .hint("merge")
-        .join(classes.select("rep", "sig"), "rep")
-        .select("key", "rep", "sig")
-    )
-    close = signed.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(_bucketed(2 * chunks - 1), "u long, v long")
-    star = buckets.filter((F.col("n") > bucket_rows) & (F.col("rep") > F.col("low"))).select(F.col("low").alias("u"), F.col("rep").alias("v"))
-    ties = close.unionByName(star)
-    near = components(ties, scratch)
-    sized = scratch.keep(
-        near.join(classes.select("rep", "n", "print"), F.col("node") == F.col("rep")).select("component", "rep", "n", "print"),
-        "near",
-    )
-    blocks = sized.groupBy("component").agg(F.ceil(F.sum("n") / F.lit(block_shingles)).cast("int").alias("nb"))
-    placed = (
-        sized.join(blocks, "component")
-        .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
-        .select("component", "rep", "block", "nb")
-    )
-    # Merged at any size: the side without texts grows with the input.
-    texts = placed.hint("merge").join(docs, placed.rep == docs.doc_id).select("component", "rep", "block", "nb", "text")
-    tasks = (
-        texts.withColumn("other", F.explode(F.expr("sequence(0, nb - 1)")))
-        .select(
-            "component",
-            F.least("block", "other").alias("bi"),
-            F.greatest("block", "other").alias("bj"),
-            "block",
-            "rep",
-            "text",
+    furthest = 2 * chunks - 1
+    keys = classes.select("rep", "sig").mapInArrow(_keyed(chunks), "key long, rep long")
+    met = scratch.keep(keys.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("low")).filter("n > 1").select("key", "low"), "met")
+    buckets = scratch.keep(keys.hint("merge").join(met, "key").select("key", "rep", "low"), "buckets")
+    stars = _stars(buckets, classes, docs, shingle_words, percent, furthest, scratch, star_shingles)
+    labels = scratch.keep(components(stars, scratch), "settled")
+    ties = scratch.keep(_ties(buckets, classes, labels, furthest, scratch, bucket_rows), "ties")
+    links = stars
+    if not ties.isEmpty():
+        near = components(ties.unionByName(stars), scratch)
+        sized = near.join(classes.select("rep", "n"), F.col("node") == F.col("rep")).select("component", "rep", "n")
+        placed = _blocks(scratch.keep(_labelled(sized, labels).select("component", "rep", "label", "n"), "near"), block_shingles, scratch)
+        # Merged at any size: the side without texts grows with the input.
+        texts = placed.hint("merge").join(docs, placed.rep == docs.doc_id).select("component", "rep", "label", "block", "others", "text")
+        tasks = (
+            _paired(texts, F.col("others"))
+            .select("component", "bi", "bj", "block", "rep", "label", "text")
+            .repartition("component", "bi", "bj")
+            .sortWithinPartitions("component", "bi", "bj")
         )
-        .repartition("component", "bi", "bj")
-        .sortWithinPartitions("component", "bi", "bj")
-    )
-    links = scratch.keep(tasks.mapInArrow(_linked(shingle_words, percent), "u long, v long"), "links")
+        links = scratch.keep(tasks.mapInArrow(_linked(shingle_words, percent), "u long, v long"), "links").unionByName(stars)
     within = (
         named.join(same_id, "doc_id").join(classes.select("print", "rep"), "print").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     )
@@ -348,7 +425,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     found = classes.join(grouped, F.col("rep") == F.col("node"), "left").select(
         "print", F.coalesce("component", "rep").alias("component_id")
     )
-    out = described.select("doc_id", "n", "print").join(found, "print", "left")
+    out = described.select("doc_id", "n", "print").join(scratch.keep(found, "found"), "print", "left")
     own = F.coalesce("component_id", "doc_id")
     return out.select(
         "doc_id",

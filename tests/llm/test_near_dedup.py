@@ -45,11 +45,28 @@ def brute(texts, size, percent):
     return {i: (len(sets[i]), root(i)) for i in range(len(texts))}
 
 
-@pytest.mark.parametrize("size, percent, block, bucket", [(3, 85, 10**6, 4096), (5, 80, 150, 4096), (3, 85, 10**6, 2)])
-def test_groups_equal_all_pairs(spark, size, percent, block, bucket):
-    texts = corpus()
+def chains(seed=5):
+    """Families that drift word by word: near neighbours link, ends do not; and families far from linking that share a core."""
+    rng = random.Random(seed)
+    words = [f"w{k}" for k in range(3000)]
+    texts = []
+    for n in (60, 90):
+        text = rng.choices(words, k=n)
+        for _ in range(40):
+            text[rng.randrange(n)] = rng.choice(words)
+            texts.append(" ".join(text))
+    core = rng.choices(words, k=80)
+    texts += [" ".join(core + rng.choices(words, k=rng.randrange(5, 30))) for _ in range(60)]
+    rng.shuffle(texts)
+    return texts
+
+
+@pytest.mark.parametrize("make", [corpus, chains])
+@pytest.mark.parametrize("size, percent, block, bucket, star", [(3, 85, 10**6, 4096, 1 << 16), (5, 80, 150, 4096, 300), (3, 85, 10**6, 2, 1), (3, 85, 400, 3, 1 << 16)])
+def test_groups_equal_all_pairs(spark, make, size, percent, block, bucket, star):
+    texts = make()
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    out = N.near_duplicates(df, size, percent, block, bucket).collect()
+    out = N.near_duplicates(df, size, percent, block, bucket, star).collect()
     want = brute(texts, size, percent)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == want
     assert all(r.kept == (r.doc_id == r.component_id) for r in out)
@@ -78,10 +95,22 @@ def test_bucket_forest_has_the_components_of_all_close_pairs():
         reach = far
         for _ in range(5):
             reach = (reach.astype(np.int64) @ reach.astype(np.int64)) > 0
-        up = N.Forest(25)
         ties = N.bucket_forest(np.arange(25), sig, 20)
-        assert all(far[a, b] and up.join(a, b) for a, b in ties)
-        assert all(reach[a, b] == (up.root(a) == up.root(b)) for a in range(25) for b in range(25))
+        assert all(far[a, b] for a, b in ties)
+        assert joined(25, ties) == joined(25, [(a, b) for a in range(25) for b in range(25) if reach[a, b]])
+        label, side = rng.integers(0, 12, 25), rng.integers(0, 2, 25)
+        same = [(a, b) for a in range(25) for b in range(25) if label[a] == label[b]]
+        across = [(a, b) for a in range(25) for b in range(25) if far[a, b] and side[a] != side[b]]
+        assert joined(25, N.bucket_forest(np.arange(25), sig, 20, label, side) + same) == joined(25, across + same)
+
+
+def joined(n, pairs):
+    """The smallest member of each one's group."""
+    low = list(range(n))
+    for _ in range(n):
+        for a, b in pairs:
+            low[a] = low[b] = min(low[a], low[b])
+    return low
 
 
 def test_rows_that_share_an_id_are_one_document(spark):
