@@ -162,7 +162,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = contained_items(docs, table(spark, sf_dir, "benchmark")).select("k1", "k2").distinct()
     found = Scratch(spark, "decontam").keep(found, "found")
     gone = _sized(found, found.count() * _ROW_BYTES, BROADCAST_BYTES)
-    rows = docs.select(F.struct(*docs.columns).alias("row"), *_key(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *_key(F.col("doc_id").cast("long"), F.col("text").cast("string")))
     return rows.join(gone, ["k1", "k2"], "left_anti").select("row.*")
 
 
