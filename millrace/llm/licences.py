@@ -1,16 +1,19 @@
 """Licence scans by sentence rules: sentences become identifiers, identifier sequences are matched against ordered rules.
 
 A text is cut into pieces at sentence ends and line breaks. Pieces are normalised (lower case; other characters than letters and
-digits to one space), which drops comment leaders too, and put together as long as they are the beginning of a sentence of
-``SENTENCES``: so notices are known however they are wrapped, and though the cutter splits 'v. 2.0' or 'Foundation; either'. Of
-sentences that lie in each other the longest counts. None begins at a line that goes on in lower case, or after a comma. The known ones, in order, form a sequence; ``RULES`` are tried longest
-first, and a match uses its sentences up. An SPDX tag is two identifiers for each licence of its expression, listed or not.
+digits to one space), which drops comment leaders too, and put together as long as they are the beginning of a sentence of the
+catalogue: so notices are known however they are wrapped, and though the cutter splits 'v. 2.0' or 'Foundation; either'. Of
+sentences that lie in each other the longest counts. None begins at a line that goes on in lower case, or after a comma. The known
+ones, in order and with their places in words, form a sequence, which is broken where over ``GAP_WORDS`` unknown words lie between two;
+the rules are tried longest first, and a match uses its sentences up. An SPDX tag is two identifiers for each licence of its
+expression, listed or not.
 
-All is built-in expressions on one row: nothing is shuffled. Texts with none of the words of ``HINT`` hold no known sentences (every
-rule has a sentence with one of them; the tests hold the list to that) and skip the costly part.
+The catalogue is data: ``scanned`` takes any sentences and rules. All is built-in expressions on one row: nothing is shuffled. Texts
+with none of the words of ``hint`` hold no known sentence, as each has one of them, and skip the costly part.
 
-Defined results: null and empty texts have no licence. Rows without doc_id and repeated rows are scanned like others. Other columns
-are ignored. An empty table gives an empty result.
+Defined results: null and empty texts have no licence; very long texts are scanned whole. Rows without doc_id and repeated rows are
+scanned like others. Rules of one length are tried as listed. Other columns, whatever their names, are ignored. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -53,13 +56,28 @@ SENTENCES = {
     "CC-BY-NC-work": "this work is licensed under a creative commons attribution noncommercial 4 0 international license",
     "MPL-file": "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0",
     "MPL-header": "this source code form is subject to the terms of the mozilla public license v 2 0",
-    "SPDX": "spdx license identifier",
-    "id-MIT": "mit",
-    "id-Apache-2.0": "apache 2 0",
-    "id-BSD-2-Clause": "bsd 2 clause",
-    "id-BSD-3-Clause": "bsd 3 clause",
-    "id-GPL-3.0-only": "gpl 3 0 only",
+    "GPL-2-only": "you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation",
+    "LGPL-free": "this library is free software",
+    "LGPL-2.1-later": "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    "LGPL-3-later": "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "AGPL-3-later": "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "ISC-grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "ISC-warranty": "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
+    "ISC-liability": "in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+    "zlib-warranty": "this software is provided as is without any express or implied warranty",
+    "zlib-liability": "in no event will the authors be held liable for any damages arising from the use of this software",
+    "zlib-grant": "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    "Boost-header": "distributed under the boost software license version 1 0",
+    "Boost-grant": "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following",
+    "Unlicense-free": "this is free and unencumbered software released into the public domain",
+    "Unlicense-anyone": "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+    "CC0-extent": "to the extent possible under law the author s have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide",
+    "CC0-under": "licensed under cc0 1 0",
+    "EPL-2": "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at http www eclipse org legal epl 2 0",
+    "EPL-1": "this program and the accompanying materials are made available under the terms of the eclipse public license v1 0 which accompanies this distribution and is available at http www eclipse org legal epl v10 html",
 }
+#: Identifiers known in any case.
+IDENTIFIERS = ("MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-3.0-only")
 #: Ordered rules: the licence and the sentences that state it, one after another.
 RULES = [
     ("MIT", ["MIT-grant", "MIT-notice", "MIT-warranty", "MIT-liability"]),
@@ -71,11 +89,23 @@ RULES = [
     ("GPL-2.0-or-later", ["GPL-free", "GPL-2-later"]),
     ("GPL-3.0-or-later", ["GPL-free", "GPL-3-later"]),
     ("MPL-2.0", ["MPL-header", "MPL-file"]),
-    ("MIT", ["SPDX", "id-MIT"]),
-    ("Apache-2.0", ["SPDX", "id-Apache-2.0"]),
-    ("BSD-2-Clause", ["SPDX", "id-BSD-2-Clause"]),
-    ("BSD-3-Clause", ["SPDX", "id-BSD-3-Clause"]),
-    ("GPL-3.0-only", ["SPDX", "id-GPL-3.0-only"]),
+    ("GPL-2.0-only", ["GPL-free", "GPL-2-only"]),
+    ("LGPL-2.1-or-later", ["LGPL-free", "LGPL-2.1-later"]),
+    ("LGPL-3.0-or-later", ["LGPL-free", "LGPL-3-later"]),
+    ("LGPL-3.0-or-later", ["GPL-free", "LGPL-3-later"]),
+    ("AGPL-3.0-or-later", ["GPL-free", "AGPL-3-later"]),
+    ("ISC", ["ISC-grant", "ISC-warranty", "ISC-liability"]),
+    ("Zlib", ["zlib-warranty", "zlib-liability", "zlib-grant"]),
+    ("Unlicense", ["Unlicense-free", "Unlicense-anyone"]),
+    ("ISC", ["ISC-grant"]),
+    ("Zlib", ["zlib-grant"]),
+    ("BSL-1.0", ["Boost-header"]),
+    ("BSL-1.0", ["Boost-grant"]),
+    ("Unlicense", ["Unlicense-free"]),
+    ("CC0-1.0", ["CC0-extent"]),
+    ("CC0-1.0", ["CC0-under"]),
+    ("EPL-2.0", ["EPL-2"]),
+    ("EPL-1.0", ["EPL-1"]),
     ("MIT", ["MIT-name"]),
     ("MIT", ["MIT-under"]),
     ("BSD", ["BSD-name"]),
@@ -93,8 +123,10 @@ RULES = [
     ("CC-BY-NC-4.0", ["CC-BY-NC-work"]),
     ("MPL-2.0", ["MPL-header"]),
 ]
-#: In every rule, some sentence has one of these; without them, an identifier such as 'mit' is a common word.
-HINT = "(?i)licen|permission|copyright|software|redistribution"
+#: More unknown words than this between two sentences part them.
+GAP_WORDS = 60
+#: Every sentence and every tag has one of these words, so texts without them hold none.
+HINTS = ("licen", "permission", "copyright", "software", "redistribution", "mpl")
 #: An identifier tag and its expression.
 _ID = r"(?:\([ \t]*)*[A-Za-z0-9][A-Za-z0-9.+:-]*+(?:[ \t]*\))*"
 TAG = rf"SPDX-License-Identifier:[ \t]*({_ID}(?:[ \t]+(?:AND|OR|WITH)[ \t]+{_ID})*)"
@@ -108,6 +140,15 @@ GOES_ON = r"((?:,[ \t]*\r?\n)(?=[^\r\n])|[^.!?;:\s*/#][ \t]*\r?\n(?=[ \t*/#]*[a-
 TAGGED = r"(SPDX-License-Identifier:[ \t]*[A-Za-z0-9.+-]+)[ \t]*\r?\n"
 
 
+def hint(sentences: dict[str, str]) -> str:
+    """An expression that every text with one of the sentences, or a tag, matches. Sentences without a listed word give their longest.
+
+    Words keep their letters when a text is normalised, so a word of a sentence stands in the text as it is.
+    """
+    words = {next((h for h in HINTS if h in s), None) or max(s.split(), key=len) for s in sentences.values()}
+    return "(?i)spdx-license|" + "|".join(sorted(words))
+
+
 def _pattern(ids: list[str]) -> str:
     return "".join(f"|{i}|" for i in ids)
 
@@ -115,11 +156,11 @@ def _pattern(ids: list[str]) -> str:
 def _spdx(expression: Column) -> Column:
     """The identifiers of a tag's expression, each after the tag's own; exceptions are no licences."""
     plain = F.regexp_replace(F.regexp_replace(expression, r"[\s]+WITH[\s]+[^\s()]+", ""), r"[\x01()]", " ")
-    listed = F.create_map(*(F.lit(x) for name, sentence in SENTENCES.items() if name.startswith("id-") for x in (sentence, name)))
+    listed = F.create_map(*(F.lit(x) for name in IDENTIFIERS for x in (name.lower(), name)))
 
     def pair(x: Column) -> Column:
         x = F.regexp_replace(x, r"[.:\s-]+$", "")
-        return F.array(F.lit("SPDX"), F.coalesce(F.try_element_at(listed, _plain(x)), F.concat(F.lit("id:"), x)))
+        return F.array(F.lit("SPDX"), F.concat(F.lit("id:"), F.coalesce(F.try_element_at(listed, F.lower(x)), x)))
 
     return F.flatten(F.transform(F.split(F.trim(plain), r"[\s]+(?:AND|OR)[\s]+"), lambda x: pair(F.trim(x))))
 
@@ -128,8 +169,8 @@ def _plain(s: Column) -> Column:
     return F.trim(F.regexp_replace(F.replace(F.lower(s), F.lit("https:"), F.lit("http:")), r"[^\p{L}\p{N}]+", " "))
 
 
-def known_sentences(text: Column) -> Column:
-    """Names of the known sentences of a text, in order."""
+def known_sentences(text: Column, sentences: dict[str, str]) -> Column:
+    """The known sentences of a text, in order: array of (a, b, names), a and b their place in words of the normalised text, end exclusive."""
     marked = F.regexp_replace(F.regexp_replace(text, TAG, "\n\u0001$1.\n"), LEADER, "")
     marked = F.regexp_replace(marked, GOES_ON, "$1\u0002")
     pieces = F.filter(
@@ -139,22 +180,25 @@ def known_sentences(text: Column) -> Column:
         ),
         lambda p: p["plain"] != "",
     )
-    known = F.create_map(*(F.lit(x) for name, sentence in SENTENCES.items() for x in (sentence, name)))
-    beginnings = F.lit("".join(f"\n{sentence} " for sentence in SENTENCES.values()))
+    known = F.create_map(*(F.lit(x) for name, sentence in sentences.items() for x in (sentence, name)))
+    beginnings = F.lit("".join(f"\n{sentence} " for sentence in sentences.values()))
+    firsts = sorted({sentence.split(" ")[0] for sentence in sentences.values()})
 
     def step(acc: Column, p: Column) -> Column:
         """Sentences begun at earlier pieces, or at this one, that go on with it; those that are whole are found."""
+        to = acc["at"] + F.length(F.regexp_replace(p["plain"], "[^ ]", "")) + 1
         longer = F.transform(acc["begun"], lambda b: F.struct(b["a"].alias("a"), F.concat_ws(" ", b["s"], p["plain"]).alias("s")))
-        all_of = F.when(p["goes_on"], longer).otherwise(F.array_append(longer, F.struct(acc["at"].alias("a"), p["plain"].alias("s"))))
+        fresh = ~p["goes_on"] & F.substring_index(p["plain"], " ", 1).isin(*firsts)
+        all_of = F.when(fresh, F.array_append(longer, F.struct(acc["at"].alias("a"), p["plain"].alias("s")))).otherwise(longer)
         begun = F.when(p["tag"].isNotNull(), F.slice(acc["begun"], 1, 0)).otherwise(
             F.filter(all_of, lambda b: F.contains(beginnings, F.concat(F.lit("\n"), b["s"], F.lit(" "))))
         )
         whole = F.transform(
             F.filter(begun, lambda b: F.array_contains(F.map_keys(known), b["s"])),
-            lambda b: F.struct(b["a"].alias("a"), acc["at"].alias("b"), F.array(F.try_element_at(known, b["s"])).alias("names")),
+            lambda b: F.struct(b["a"].alias("a"), to.alias("b"), F.array(F.try_element_at(known, b["s"])).alias("names")),
         )
-        tags = F.when(p["tag"].isNotNull(), F.array(F.struct(acc["at"].alias("a"), acc["at"].alias("b"), _spdx(p["tag"]).alias("names"))))
-        return F.struct((acc["at"] + 1).alias("at"), begun.alias("begun"), F.concat(acc["found"], F.coalesce(tags, whole)).alias("found"))
+        tags = F.when(p["tag"].isNotNull(), F.array(F.struct(acc["at"].alias("a"), to.alias("b"), _spdx(p["tag"]).alias("names"))))
+        return F.struct(to.alias("at"), begun.alias("begun"), F.concat(acc["found"], F.coalesce(tags, whole)).alias("found"))
 
     start = F.struct(
         F.lit(0).alias("at"),
@@ -167,14 +211,18 @@ def known_sentences(text: Column) -> Column:
         wider = lambda x, y: (y["a"] <= x["a"]) & (y["b"] >= x["b"]) & ((y["a"] < x["a"]) | (y["b"] > x["b"]))
         return F.array_sort(F.filter(every, lambda x: ~F.exists(every, lambda y: wider(x, y))))
 
-    return F.flatten(F.transform(F.element_at(F.transform(F.array(found), longest), 1), lambda x: x["names"]))
+    return F.element_at(F.transform(F.array(found), longest), 1)
 
 
-def scanned(docs: DataFrame) -> DataFrame:
-    """``(doc_id, licences, n_known, n_unmatched)`` per row of ``docs(doc_id, text)``."""
+def scanned(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules: list[tuple[str, list[str]]] = RULES, gap_words: int = GAP_WORDS) -> DataFrame:
+    """``(doc_id, licences, n_known, n_unmatched, sentences)`` per row of ``docs(doc_id, text)``.
+
+    ``sentences`` holds the known ones: first word, word after the last, and identifiers.
+    """
     text = F.col("text").cast("string")
     none = F.expr("cast(array() as array<string>)")
-    rules = F.array(*(F.struct(F.lit(name).alias("licence"), F.lit(_pattern(ids)).alias("pattern")) for name, ids in RULES))
+    ordered = sorted(rules, key=lambda rule: -len(rule[1]))
+    patterns = F.array(*(F.struct(F.lit(name).alias("licence"), F.lit(_pattern(ids)).alias("pattern")) for name, ids in ordered))
 
     def apply(acc, rule):
         hit = F.contains(acc["left"], rule["pattern"])
@@ -183,50 +231,67 @@ def scanned(docs: DataFrame) -> DataFrame:
             F.when(hit, F.array_append(acc["found"], rule["licence"])).otherwise(acc["found"]).alias("found"),
         )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(text.rlike(HINT), known_sentences(text)).otherwise(none).alias("names"))
-    left = F.array_join(F.transform("names", lambda x: F.concat(F.lit("|"), x, F.lit("|"))), "")
+    found = F.when(text.rlike(hint(sentences)), known_sentences(text, sentences))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(found, F.expr("cast(array() as array<struct<a:int,b:int,names:array<string>>>)")).alias("sentences"))
+    far = lambda x, i: (i > 0) & (x["a"] - F.get("sentences", i - 1)["b"] > gap_words)
+    sequence = F.transform(
+        "sentences", lambda x, i: F.concat(F.when(far(x, i), "/").otherwise(""), F.array_join(F.transform(x["names"], lambda n: F.concat(F.lit("|"), n, F.lit("|"))), ""))
+    )
     matched = rows.withColumn(
-        "match", F.when(F.size("names") > 0, F.aggregate(rules, F.struct(left.alias("left"), none.alias("found")), apply))
+        "match", F.when(F.size("sentences") > 0, F.aggregate(patterns, F.struct(F.array_join(sequence, "").alias("left"), none.alias("found")), apply))
     )
     other = F.concat("match.found", F.regexp_extract_all("match.left", F.lit(OTHER_ID), F.lit(1)))
     return matched.select(
         "doc_id",
         F.coalesce(F.array_join(F.array_sort(F.array_distinct(other)), ","), F.lit("")).alias("licences"),
-        F.size("names").cast("long").alias("n_known"),
+        F.aggregate("sentences", F.lit(0), lambda n, x: n + F.size(x["names"])).cast("long").alias("n_known"),
         F.coalesce(F.length(F.regexp_replace(F.regexp_replace("match.left", OTHER_ID, "#"), "[^|]", "")) / 2, F.lit(0)).cast("long").alias("n_unmatched"),
+        "sentences",
     )
 
 
 def op4_sentence_rule_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scanned(table(spark, sf_dir, "documents"))
+    return scanned(table(spark, sf_dir, "documents")).drop("sentences")
 
 
 def _oracle() -> str:
-    known = ", ".join(f"('{s}', '{name}')" for name, s in SENTENCES.items())
+    known = ", ".join(f"('{s}', '|{name}|')" for name, s in SENTENCES.items())
+    ids = ", ".join(f"('{name.lower()}', '{name}')" for name in IDENTIFIERS)
     steps, last = [], "s0"
-    for k, (licence, ids) in enumerate(RULES, 1):
-        p = _pattern(ids)
+    for k, (licence, names) in enumerate(sorted(RULES, key=lambda rule: -len(rule[1])), 1):
+        p = _pattern(names)
         steps.append(
             f"s{k} AS (SELECT doc_id, n_known, replace(seq, '{p}', '#') AS seq, "
             f"CASE WHEN contains(seq, '{p}') THEN list_append(found, '{licence}') ELSE found END AS found FROM {last})"
         )
         last = f"s{k}"
+    cut = r"""string_split(translate(regexp_replace(regexp_replace(regexp_replace(marked, '\r?\n[ \t]*([a-z(])', ' \1', 'g'),
+    ',[ \t]*\r?\n', ', ', 'g'), '([.!?;:])[ \t]+', '\1' || chr(10), 'g'), chr(13), chr(10)), chr(10))"""
     return rf"""
-WITH known(sentence, name) AS (VALUES {known}), pieces AS (
-  SELECT doc_id, unnest(string_split(translate(regexp_replace(regexp_replace(regexp_replace(marked, '\r?\n[ \t]*([a-z(])', ' \1', 'g'),
-    ',[ \t]*\r?\n', ', ', 'g'), '([.!?;:])[ \t]+', '\1' || chr(10), 'g'), chr(13), chr(10)), chr(10))) AS piece,
-    generate_subscripts(string_split(translate(regexp_replace(regexp_replace(regexp_replace(marked, '\r?\n[ \t]*([a-z(])', ' \1', 'g'),
-    ',[ \t]*\r?\n', ', ', 'g'), '([.!?;:])[ \t]+', '\1' || chr(10), 'g'), chr(13), chr(10)), chr(10)), 1) AS i
-  FROM (SELECT doc_id, regexp_replace(text, '{TAGGED}', '\1.' || chr(10), 'g') AS marked FROM documents WHERE regexp_matches(text, '{HINT}'))
+WITH known(sentence, names) AS (VALUES {known}), ids(low, id) AS (VALUES {ids}), pieces AS (
+  SELECT doc_id, unnest({cut}) AS piece, generate_subscripts({cut}, 1) AS i
+  FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '{TAGGED}', '\1.' || chr(10), 'g') AS marked FROM documents)
+), plain AS (
+  SELECT doc_id, i, piece, trim(regexp_replace(lower(piece), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) AS s FROM pieces
+), placed AS (
+  SELECT *, lag(s) OVER (PARTITION BY doc_id ORDER BY i) = 'spdx license identifier' AS tagged,
+    sum(CASE WHEN s = '' THEN 0 ELSE length(s) - length(replace(s, ' ', '')) + 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS b,
+    CASE WHEN s = '' THEN 0 ELSE length(s) - length(replace(s, ' ', '')) + 1 END AS w
+  FROM plain WHERE s <> ''
+), found AS (
+  SELECT doc_id, i, b - w AS a, b, CASE WHEN tagged THEN '|SPDX||id:' || coalesce(id, regexp_extract(piece, '[A-Za-z0-9.+-]*[A-Za-z0-9+]', 0)) || '|' ELSE names END AS names
+  FROM placed LEFT JOIN known ON sentence = s AND NOT coalesce(tagged, FALSE) LEFT JOIN ids ON tagged AND low = lower(regexp_extract(piece, '[A-Za-z0-9.+-]*[A-Za-z0-9+]', 0))
+  WHERE coalesce(tagged, FALSE) OR sentence IS NOT NULL
+), parted AS (
+  SELECT *, CASE WHEN a - lag(b) OVER (PARTITION BY doc_id ORDER BY i) > {GAP_WORDS} THEN '/' ELSE '' END AS part FROM found
 ), named AS (
-  SELECT doc_id, string_agg('|' || name || '|', '' ORDER BY i) AS seq, count(*) AS n
-  FROM pieces JOIN known ON sentence = trim(regexp_replace(lower(piece), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) GROUP BY doc_id
+  SELECT doc_id, string_agg(part || names, '' ORDER BY i) AS seq, sum(length(regexp_replace(names, '[^|]', '', 'g')) / 2) AS n FROM parted GROUP BY doc_id
 ), s0 AS (
   SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_known, coalesce(seq, '') AS seq, CAST([] AS VARCHAR[]) AS found
   FROM documents d LEFT JOIN named USING (doc_id)
 ), {", ".join(steps)}
-SELECT doc_id, array_to_string(list_sort(list_distinct(found)), ',') AS licences, n_known,
-  CAST(length(regexp_replace(seq, '[^|]', '', 'g')) / 2 AS BIGINT) AS n_unmatched
+SELECT doc_id, array_to_string(list_sort(list_distinct(list_concat(found, regexp_extract_all(seq, '[|]SPDX[|][|]id:([^|]+)[|]', 1)))), ',') AS licences, n_known,
+  CAST(length(regexp_replace(regexp_replace(seq, '[|]SPDX[|][|]id:([^|]+)[|]', '#', 'g'), '[^|]', '', 'g')) / 2 AS BIGINT) AS n_unmatched
 FROM {last}
 """
 

@@ -111,7 +111,8 @@ def test_broken_records_are_told():
 
 
 def test_licence_rules(spark):
-    assert all(any(re.search(licences.HINT, licences.SENTENCES[s]) for s in ids) for _, ids in licences.RULES)
+    assert all(re.search(licences.hint(licences.SENTENCES), s) for s in licences.SENTENCES.values())
+    assert {s for _, ids in licences.RULES for s in ids} <= set(licences.SENTENCES)
     mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software.\n"
     texts = [mit, "x\nSPDX-License-Identifier: BSD-3-Clause\ny", "Heute mit Bus.", "Released under the MIT License.\nLicensed under CC BY-NC 4.0.", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."]
     got = {r.doc_id: (r.licences, r.n_known, r.n_unmatched) for r in licences.scanned(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
@@ -119,7 +120,22 @@ def test_licence_rules(spark):
 
 
 GPL2 = "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation; either version 2 of the License, or\n(at your option) any later version."
+LESSER = GPL2.replace("program", "library").replace("GNU General", "GNU Lesser General").replace("version 2 ", "version 2.1 ")
 NOTICES = {
+    "LGPL-2.1-or-later": (LESSER, 2),
+    "AGPL-3.0-or-later": (GPL2.replace("GNU General", "GNU Affero General").replace("version 2", "version 3"), 2),
+    "GPL-2.0-only": ("This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License version 2 as\npublished by the Free Software Foundation.", 2),
+    "ISC": (
+        'Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n\nTHE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH\nREGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY\nAND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT,\nINDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM\nLOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR\nOTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR\nPERFORMANCE OF THIS SOFTWARE.',
+        3,
+    ),
+    "Zlib": (
+        "This software is provided 'as-is', without any express or implied\nwarranty. In no event will the authors be held liable for any damages\narising from the use of this software.\n\nPermission is granted to anyone to use this software for any purpose,\nincluding commercial applications, and to alter it and redistribute it\nfreely, subject to the following restrictions:",
+        3,
+    ),
+    "BSL-1.0": ("Distributed under the Boost Software License, Version 1.0.\n(See accompanying file LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt)", 1),
+    "Unlicense": ("This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or\ndistribute this software, either in source code form or as a compiled\nbinary, for any purpose, commercial or non-commercial, and by any\nmeans.", 2),
+    "EPL-2.0": ("This program and the accompanying materials are made\navailable under the terms of the Eclipse Public License 2.0\nwhich is available at https://www.eclipse.org/legal/epl-2.0/", 1),
     "GPL-2.0-or-later": (GPL2, 2),
     "GPL-3.0-or-later": (GPL2.replace("software;", "software:").replace("Foundation;", "Foundation,").replace("version 2", "version 3"), 2),
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/.", 2),
@@ -151,6 +167,22 @@ def test_official_notices_plain_commented_and_wrapped(spark):
         assert got[k] == want[k], text
 
 
+def test_a_notice_stands_together(spark):
+    grant, notice = (licences.SENTENCES[x].capitalize() + "." for x in ("MIT-grant", "MIT-notice"))
+    near, far = "and so on. " * 10, "and so on. " * 30
+    texts = [f"{grant}\n{near}\n{notice}", f"{grant}\n{far}\n{notice}", "mit. Apache 2 0. mit.", f"x y. {notice}"]
+    got = {r.doc_id: r for r in licences.scanned(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [(got[k].licences, got[k].n_known, got[k].n_unmatched) for k in range(4)] == [("MIT", 2, 0), ("", 2, 2), ("", 0, 0), ("", 1, 1)]
+    n = len(licences.SENTENCES["MIT-notice"].split())
+    assert [tuple(x) for x in got[3].sentences] == [(2, 2 + n, ["MIT-notice"])]
+
+
+def test_any_catalogue(spark):
+    sentences, rules = {"a": "this is house style", "b": "all may use it"}, [("House", ["a"]), ("House-1.0", ["a", "b"])]
+    df = spark.createDataFrame([(1, "This is house style. All may use it."), (2, "This is house style."), (3, "Released under the MIT License.")], "doc_id long, text string")
+    assert {r.doc_id: r.licences for r in licences.scanned(df, sentences, rules).collect()} == {1: "House-1.0", 2: "House", 3: ""}
+
+
 def targets(sizes):
     names = sorted(sizes, key=lambda n: (n is None, (n or "").encode()))
     w = {n: (5, 2, 1)[k % 3] for k, n in enumerate(names)}
