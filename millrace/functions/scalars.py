@@ -80,12 +80,46 @@ def doubling_backoff(attempt: Column, cap: int = 6) -> Column:
     return F.expr("1L") * F.pow(F.lit(2), F.least(attempt, F.lit(cap))).cast("long")
 
 
+def spread(key: Column, percent: int | Column) -> Column:
+    """A factor within ``percent`` of one, by a hash of the key, so that reruns agree: jitter for delays."""
+    unit = F.pmod(F.xxhash64(key, F.lit("jitter")), F.lit(20_001)) / 10_000 - 1
+    return 1 + unit * percent / 100
+
+
+#: Retry policy by back end: base and longest delay in milliseconds, attempts, jitter in percent. Fixed values.
+RETRY_POLICY = {
+    "postgres_write": (100, 30_000, 10, 20),
+    "postgres_reconnect": (500, 60_000, 20, 30),
+    "kafka_producer": (100, 10_000, 5, 25),
+    "redis_read": (50, 5_000, 8, 20),
+    "redis_write": (50, 5_000, 8, 20),
+    "http_webhook": (1_000, 3_600_000, 10, 50),
+}
+
+
+def retry_delay_ms(backend: Column, attempt: Column, key: Column | None = None) -> Column:
+    """Milliseconds before the retry that follows an attempt, counted from 1: doubling up to the longest delay, with the back end's
+    jitter if there is a key to draw it by. Null from the last attempt on, and for back ends without retries."""
+    table = F.create_map(*(x for k, (base, most, n, jitter) in RETRY_POLICY.items() for x in (F.lit(k), F.struct(F.lit(base).alias("base"), F.lit(most).alias("most"), F.lit(n).alias("n"), F.lit(jitter).alias("jitter")))))
+    policy = F.try_element_at(table, backend)
+    delay = F.least(policy["base"] * F.pow(F.lit(2.0), attempt - 1), policy["most"].cast("double"))
+    factor = F.lit(1.0) if key is None else spread(F.concat_ws("/", key, attempt.cast("string")), policy["jitter"])
+    return F.when(attempt < policy["n"], delay * factor)
+
+
 def capped_backoff(attempt: Column, base_ms: int, multiplier: float, max_ms: int) -> Column:
     return F.least(F.lit(float(base_ms)) * F.pow(F.lit(multiplier), attempt - 1), F.lit(float(max_ms)))
 
 
 def rfc3339(ts: Column) -> Column:
-    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    """A time in UTC as text, whatever the session's zone, with 0, 3 or 6 digits of its fraction. Times without zone are UTC."""
+    seconds = (F.unix_micros(ts.cast("timestamp")).cast("decimal(20,0)") / 1_000_000).cast("decimal(18,6)")
+    zoned = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds)
+    clock = F.when(F.typeof(ts) == "timestamp", zoned).otherwise(ts.cast("timestamp_ntz")).cast("string")
+    fraction = F.when(F.contains(clock, F.lit(".")), F.rpad(F.substring_index(clock, ".", -1), 6, "0"))
+    short = F.regexp_replace(fraction, "^([0-9]{3})000$", "$1")
+    whole = F.replace(F.substring_index(clock, ".", 1), F.lit(" "), F.lit("T"))
+    return F.concat(whole, F.coalesce(F.concat(F.lit("."), short), F.lit("")), F.lit("Z"))
 
 
 def freshness_seconds(computed_at: Column, now: Column) -> Column:

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 class Aggregate(ABC):
@@ -48,11 +49,15 @@ class Root:
         return self.state, self.version
 
 
-def folded(events: DataFrame, aggregate: Callable[[], Aggregate], key: str, order: list[str]) -> DataFrame:
+def folded(events: DataFrame, aggregate: Callable[[], Aggregate], key: str, order: list[str], snapshots: DataFrame | None = None) -> DataFrame:
     """``(key, state, version)``: each key's events folded by user code; state as JSON.
 
-    Events stream in order through one state at a time, whatever a key's history.
+    Events stream in order through one state at a time, whatever a key's history. With ``snapshots(key, state, version)`` a key starts
+    from its snapshot, and the events are those after it.
     """
+    if snapshots is not None:
+        start = snapshots.select(key, F.col("state").alias("_state"), F.col("version").alias("_version"))
+        events = events.join(start, key, "left")
     kind = events.schema[key].dataType.simpleString()
     place = events.columns.index(key)
 
@@ -64,7 +69,8 @@ def folded(events: DataFrame, aggregate: Callable[[], Aggregate], key: str, orde
                 if root is None or event[key] != at:
                     if root is not None:
                         done.append((at, json.dumps(root.state, sort_keys=True), root.version))
-                    at, root = event[key], Root(code)
+                    at, state = event[key], event.pop("_state", None)
+                    root = Root(code, None if state is None else json.loads(state), event.pop("_version", None) or 0)
                 root.state = code.apply(root.state, event)
                 root.version += 1
             yield _rows(done, batch.schema.field(place).type)

@@ -9,7 +9,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .dedup import newest, not_seen, upsert
+from millrace.functions.scalars import rfc3339
+
+from .dedup import newest, upsert
+from .folds import sorted_fold
 from .lookup import feature_lookup
 
 
@@ -26,6 +29,23 @@ def inbox(messages: DataFrame, seen: DataFrame, key: str, order: list[str], hand
     return handler(outcomes.filter("outcome = 'new'").drop("outcome")), outcomes
 
 
+def inbox_two_tier(messages: DataFrame, cache: DataFrame, store: DataFrame, key: str, order: list[str], breaker_open: bool = False) -> DataFrame:
+    """``outcome`` per message: new, duplicate_cache or duplicate_store.
+
+    The cache gates messages; while its breaker is open the store's ids do, so deduplication is never skipped. Ids of earlier messages
+    of the batch are in both. What the cache has lost, but the store has, still ends as a duplicate of the store: its insert conflicts.
+    """
+    first = F.row_number().over(Window.partitionBy(key).orderBy(*order)) == 1
+    flag = lambda df, name: df.select(key).distinct().withColumn(name, F.lit(True))
+    marked = messages.withColumn("_first", first).join(flag(store, "_stored"), key, "left")
+    if breaker_open:
+        outcome = F.when(~F.col("_first") | F.col("_stored"), "duplicate_store").otherwise("new")
+        return marked.withColumn("outcome", outcome).drop("_first", "_stored")
+    marked = marked.join(flag(cache, "_cached"), key, "left")
+    outcome = F.when(~F.col("_first") | F.col("_cached"), "duplicate_cache").when(F.col("_stored"), "duplicate_store").otherwise("new")
+    return marked.withColumn("outcome", outcome).drop("_first", "_stored", "_cached")
+
+
 @dataclass(frozen=True)
 class Step:
     name: str
@@ -149,10 +169,76 @@ def checkpoint_list(checkpoints: DataFrame) -> DataFrame:
     return checkpoints.orderBy("pattern_name", "pipeline_name")
 
 
-def audit(events: DataFrame, operation: str, actor: str, target: Column, at: Column) -> DataFrame:
-    """Rows for an append-only audit table."""
-    return events.select(F.lit(operation).alias("operation"), F.lit(actor).alias("actor"), target.cast("string").alias("target"), at.alias("at"))
-
-
-def unseen(messages: DataFrame, seen: DataFrame, key: str) -> DataFrame:
-    return not_seen(messages, seen, [key])
+#: Operations that change durable state, each of which an audit row names. Fixed values.
+AUDITED = (
+    "outbox.relay",
+    "inbox.consume",
+    "inbox.duplicate_skip",
+    "cdc.event",
+    "saga.step.execute",
+    "saga.step.compensate",
+    "saga.complete",
+    "saga.failed",
+    "dlq.produce",
+    "dlq.replay",
+    "circuit_breaker.opened",
+    "circuit_breaker.closed",
+    "pattern.paused",
+    "pattern.resumed",
+)
+_AUDIT_FIELDS = ("trace_id", "span_id", "event_id", "event_type", "kafka_topic", "kafka_offset", "duration_ms", "instance_id")
+
+
+def audit(events: DataFrame, operation: Column | str, at: Column, pattern: str, pipeline: str, outcome: Column | str = "success", **fields: Column) -> DataFrame:
+    """Rows ``(operation, timestamp, value)`` for an append-only audit log; the value is the event as JSON, without the fields it lacks.
+
+    An operation that is not in ``AUDITED`` gives null, and the row is left out.
+    """
+    unknown = set(fields) - set(_AUDIT_FIELDS)
+    if unknown:
+        raise ValueError(f"no audit fields: {sorted(unknown)}")
+    lit = lambda x: F.lit(x) if isinstance(x, str) else x
+    named = lit(operation)
+    parts = {"log_type": F.lit("audit"), "schema_version": F.lit("1"), "timestamp": rfc3339(at)}
+    parts |= {k: fields[k] for k in ("trace_id", "span_id") if k in fields}
+    parts |= {"pattern_name": F.lit(pattern), "pipeline_name": F.lit(pipeline), "operation": named, "outcome": lit(outcome)}
+    parts |= {k: fields[k] for k in _AUDIT_FIELDS[2:] if k in fields}
+    value = F.to_json(F.struct(*(c.alias(k) for k, c in parts.items())))
+    return events.filter(named.isin(*AUDITED)).select(named.alias("operation"), rfc3339(at).alias("timestamp"), value.alias("value"))
+
+
+def write_through(store: DataFrame, cache: DataFrame, changes: DataFrame, key: str, order: str, until: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Store and cache after ordered writes: a key's last write goes to the store first, and the cache takes what the store then has.
+
+    The cache so never holds a value that the store lacks. ``until`` is the cache rows' expiry.
+    """
+    rest = [c for c in changes.columns if c not in (key, order)]
+    last = changes.groupBy(key).agg(F.max_by(F.struct(*rest), F.col(order)).alias("_row")).select(key, "_row.*")
+    stored = upsert(store, last, [key])
+    fresh = stored.join(last.select(key), key, "left_semi")
+    if "expires_at" in cache.columns:
+        fresh = fresh.withColumn("expires_at", (F.lit(None) if until is None else until).cast(cache.schema["expires_at"].dataType))
+    return stored, upsert(cache, fresh.select(*cache.columns), [key])
+
+
+#: What each control does to a pattern in a state; others leave it as it is. Reloading restarts, replaying runs from the start.
+CONTROLS = {
+    ("Running", "pause"): "Paused",
+    ("Paused", "resume"): "Running",
+    ("Running", "replay"): "Replaying",
+    ("Paused", "replay"): "Replaying",
+    ("Replaying", "resume"): "Running",
+    ("Running", "reload"): "Running",
+    ("Paused", "reload"): "Paused",
+}
+
+
+def controlled(commands: DataFrame, key: str, order: list[str], command: str) -> DataFrame:
+    """``state`` of a pattern after each pause, resume, replay or reload, from Running, and whether the command was ``applied``."""
+    table = dict(CONTROLS)
+
+    def step(state, row):
+        after = table.get((state, row[0]))
+        return after or state, (after or state, after is not None)
+
+    return sorted_fold(commands, [key], order, [command], lambda: "Running", step, "state string, applied boolean")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.functions.scalars import doubling_backoff
+
 from .folds import sorted_fold
 
 
@@ -102,6 +104,21 @@ def transitions(samples: DataFrame, key: str, ts: str, active: Column) -> DataFr
     return marked.withColumn("_before", before).filter("active <> _before").drop("_before")
 
 
+def delivery_log(tries: DataFrame, keys: list[str], attempt: str, status: str, max_attempts: int) -> DataFrame:
+    """The attempts that a delivery with retries makes: up to its first 2xx answer or the limit, with the wait after each.
+
+    ``tries`` holds what each attempt would meet, null where the transport fails. ``error`` is what a failed attempt
+    leaves, ``wait_s`` null where no attempt follows.
+    """
+    good = F.col(status).between(200, 299)
+    w = Window.partitionBy(*keys)
+    done = F.coalesce(F.min(F.when(good, F.col(attempt))).over(w), F.lit(max_attempts))
+    error = F.when(F.col(status).isNull(), "transport error").when(~good, F.concat(F.lit("HTTP "), F.col(status).cast("string")))
+    made = tries.filter(F.col(attempt) <= max_attempts).withColumn("_done", done).filter(F.col(attempt) <= F.col("_done"))
+    wait = F.when((F.col(attempt) < F.col("_done")), doubling_backoff(F.col(attempt)))
+    return made.select(*keys, attempt, status, F.coalesce(good, F.lit(False)).alias("success"), error.alias("error"), wait.alias("wait_s"))
+
+
 def delivery_outcomes(attempts: DataFrame, keys: list[str], attempt: str, status: str, max_attempts: int) -> DataFrame:
     """Per delivery, from its logged attempts: delivered at the first 2xx within the limit, dlq once they are used up."""
     tried = attempts.filter(F.col(attempt) <= max_attempts)
@@ -130,19 +147,43 @@ def retry_tracker(log: DataFrame, key: str, order: list[str], ok: Column, max_at
 
 
 def exactly_once(messages: DataFrame, key: str, order: list[str], fails: str) -> DataFrame:
-    """``outcome`` per message: committed, duplicate, or aborted; only a commit claims the id, so an aborted one may come again."""
+    """``outcome`` per message: committed, duplicate, or aborted; only a commit claims the id, so an aborted one may come again.
+
+    The first message that does not fail commits, so whether one came before is a running maximum: a window, no fold.
+    """
+    before = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    done = F.coalesce(F.max(~F.col(fails)).over(before), F.lit(False))
+    return messages.withColumn("outcome", F.when(done, "duplicate").when(F.col(fails), "aborted").otherwise("committed"))
 
-    def step(done, row):
-        if done:
-            return True, ("duplicate",)
-        return (False, ("aborted",)) if row[0] else (True, ("committed",))
 
-    return sorted_fold(messages, [key], order, [fails], bool, step, "outcome string")
+def exactly_once_marked_first(messages: DataFrame, key: str, order: list[str], fails: str) -> DataFrame:
+    """As ``exactly_once``, but the id is marked before the transaction begins: after an abort it counts as a duplicate."""
+    first = F.row_number().over(Window.partitionBy(key).orderBy(*order)) == 1
+    return messages.withColumn("outcome", F.when(~first, "duplicate").when(F.col(fails), "aborted").otherwise("committed"))
 
 
 def since_reset(events: DataFrame, key: str, order: list[str], is_reset: Column, amount: Column) -> DataFrame:
-    """A counter aggregate folded in closed form: what was added since its last reset, and the events seen."""
-    last = F.max(F.when(is_reset, F.struct(*order)))
-    latest = events.groupBy(key).agg(last.alias("_reset"), F.count("*").alias("version"))
+    """A counter aggregate folded in closed form: what was added since its last reset, and the events seen.
+
+    One read and one shuffle: the last reset is a window's maximum, and the sums that follow stay in its partitions.
+    """
+    last = F.max(F.when(is_reset, F.struct(*order))).over(Window.partitionBy(key))
     added = F.when(~is_reset & (F.col("_reset").isNull() | (F.struct(*order) > F.col("_reset"))), amount)
-    return events.join(latest, key).groupBy(key, "version").agg(F.coalesce(F.sum(added), F.lit(0)).cast("long").alias("value")).select(key, "value", "version")
+    marked = events.withColumn("_reset", last)
+    return marked.groupBy(key).agg(F.coalesce(F.sum(added), F.lit(0)).cast("long").alias("value"), F.count("*").alias("version"))
+
+
+def half_open_gate(calls: DataFrame, key: str, began: str, ended: str, order: list[str], most: int) -> DataFrame:
+    """``admitted`` per probe of a half-open breaker: at most ``most`` admitted ones run at a time, the others are turned away.
+
+    A call runs from ``began`` to ``ended``, its end not included.
+    """
+
+    def step(running, row):
+        start, end = row
+        running = [x for x in running if x > start]
+        ok = len(running) < most
+        return (running + [end] if ok else running), (ok,)
+
+    timed = calls.withColumns({"_b": F.unix_micros(F.col(began).cast("timestamp")), "_e": F.unix_micros(F.col(ended).cast("timestamp"))})
+    return sorted_fold(timed, [key], [began, *order], ["_b", "_e"], list, step, "admitted boolean").drop("_b", "_e")

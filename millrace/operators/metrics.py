@@ -28,20 +28,35 @@ def error_ratio(events: DataFrame, labels: list[str], is_error: Column, threshol
     return events.groupBy(*labels).agg(F.count("*").alias("n"), F.count_if(is_error).alias("errors"), ratio.alias("ratio"), (ratio > threshold).alias("breached"))
 
 
+def _octave(value: Column) -> Column:
+    """A number that grows with the value, eight to a doubling: a bucket that needs no knowledge of the data."""
+    v = value.cast("double")
+    size = 16_384 + F.floor(F.least(F.log2(F.abs(v)), F.lit(1100.0)) * 8)
+    return F.when(v == 0, 0).when(F.isnan(v), 1 << 20).otherwise(F.signum(v) * size).cast("long")
+
+
 def nearest_rank(values: DataFrame, keys: list[str], value: str, percent: int) -> DataFrame:
     """Nearest-rank percentile: the smallest value that at least ``percent`` of all values do not exceed.
 
-    Equal values are combined before they are ranked, so the window sees distinct values only.
+    Equal values are combined before the shuffle, and counted by bucket; a window over each key's few buckets finds the one that
+    holds the rank, and only that bucket's values are ranked.
     """
-    distinct = values.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(*keys)
-    upto = F.sum("_n").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    ranked = distinct.withColumns({"_upto": upto, "_all": F.sum("_n").over(w)})
-    return (
-        ranked.filter(F.col("_upto") * 100 >= F.col("_all") * percent)
-        .groupBy(*keys)
-        .agg(F.min(value).alias(f"p{percent}"), F.max("_all").alias("n"))
-    )
+    present = values.filter(F.col(value).isNotNull())
+    names = [f"_k{k}" for k in range(len(keys))]
+    distinct = present.groupBy(*(F.col(k).alias(n) for k, n in zip(keys, names, strict=True)), _octave(F.col(value)).alias("_b"), F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    per_key = Window.partitionBy(*names)
+    upto = F.sum("_held").over(per_key.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0))
+    buckets = distinct.groupBy(*names, "_b").agg(F.sum("_n").alias("_held")).withColumns({"_upto": upto, "_all": F.sum("_held").over(per_key)})
+    reached = F.col("_upto") * 100 >= F.col("_all") * percent
+    before = F.col("_upto") - F.col("_held")
+    target = buckets.filter(reached & (before * 100 < F.col("_all") * percent)).select(*(F.col(n).alias(f"{n}t") for n in names), F.col("_b").alias("_bt"), before.alias("_below"), "_all")
+    same = F.col("_b") == F.col("_bt")
+    for n in names:
+        same = same & F.col(n).eqNullSafe(F.col(f"{n}t"))
+    inside = distinct.join(target, same)
+    rank = F.col("_below") + F.sum("_n").over(Window.partitionBy(*names).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    found = inside.withColumn("_rank", rank).filter(F.col("_rank") * 100 >= F.col("_all") * percent)
+    return found.groupBy(*names).agg(F.min("_v").alias(f"p{percent}"), F.max("_all").alias("n")).select(*(F.col(n).alias(k) for k, n in zip(keys, names, strict=True)), f"p{percent}", "n")
 
 
 def histogram(values: DataFrame, keys: list[str], value: str, bounds: list[float]) -> DataFrame:
@@ -83,6 +98,26 @@ def counter_increase(samples: DataFrame, key: str, ts: str, value: str) -> DataF
     )
 
 
+def windowed_rate(samples: DataFrame, keys: list[str], series: str, ts: str, value: str, size: str, every: str | None = None) -> DataFrame:
+    """Per-second rate of counters over time windows, by key: each series' increases in a window, summed, over its length.
+
+    A fall is a restart from zero; the first sample of a series increases nothing. Windows overlap if ``every`` is shorter.
+    """
+    w = Window.partitionBy(*keys, series).orderBy(ts)
+    before = F.lag(value).over(w)
+    grown = samples.withColumn("_up", F.when(F.col(value) >= before, F.col(value) - before).when(before.isNotNull(), F.col(value)).otherwise(0))
+    span = F.window(F.col(ts), size, every) if every else F.window(F.col(ts), size)
+    seconds = (F.unix_micros(F.col("w.end").cast("timestamp")) - F.unix_micros(F.col("w.start").cast("timestamp"))) / 1_000_000
+    return grown.groupBy(*keys, span.alias("w")).agg(F.sum("_up").alias("increase")).select(*keys, F.col("w.start").alias("window_start"), "increase", (F.col("increase") / seconds).alias("rate"))
+
+
+def over_time(samples: DataFrame, keys: list[str], ts: str, value: str, size: str) -> DataFrame:
+    """Smallest, largest, mean and last value of a gauge per key and window."""
+    return samples.groupBy(*keys, F.window(F.col(ts), size).alias("w")).agg(
+        F.min(value).alias("min_over_time"), F.max(value).alias("max_over_time"), money(value).alias("_sum"), F.count(value).alias("n"), F.max_by(value, ts).alias("last_over_time")
+    ).select(*keys, F.col("w.start").alias("window_start"), "min_over_time", "max_over_time", (F.col("_sum") / F.nullif(F.col("n"), F.lit(0))).alias("avg_over_time"), "last_over_time")
+
+
 def staleness(features: DataFrame, feature: str, event_time: str, written: str) -> DataFrame:
     """Milliseconds from event to write, per feature."""
     micros = F.unix_micros(F.col(written).cast("timestamp")) - F.unix_micros(F.col(event_time).cast("timestamp"))
@@ -108,8 +143,13 @@ def ready(modules: DataFrame, backends: DataFrame) -> DataFrame:
 
 def prefix_search(names: DataFrame, name: str, prefix: str, k: int) -> DataFrame:
     """The first k names with a prefix, as a range that reaches the scan."""
-    after = prefix[:-1] + chr(ord(prefix[-1]) + 1)
-    return names.filter((F.col(name) >= prefix) & (F.col(name) < after)).orderBy(name).limit(k)
+    found = names.filter(F.col(name) >= prefix)
+    stem = prefix.rstrip(chr(0x10FFFF))
+    if stem:
+        # Surrogates are no characters, so the one after them follows.
+        last = ord(stem[-1]) + 1
+        found = found.filter(F.col(name) < stem[:-1] + chr(0xE000 if last == 0xD800 else last))
+    return found.orderBy(name).limit(k)
 
 
 def prefixes(names: DataFrame, name: str) -> DataFrame:

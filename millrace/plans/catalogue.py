@@ -12,7 +12,7 @@ NOW = "(SELECT max(ts) FROM events)"
 
 
 def _now(spark, d):
-    return X.table(spark, d, "events").agg(F.max("ts").alias("now"))
+    return X.latest(X.table(spark, d, "events"), "ts")
 
 
 def outbox_relay_batch(spark, d):
@@ -33,9 +33,7 @@ def outbox_mark_published(spark, d):
 
 def outbox_reap(spark, d):
     box = X.outbox(spark, d)
-    now = box.agg(F.max("created_at").alias("now"))
-    kept = outbox.reap(box.crossJoin(F.broadcast(now)), F.col("now"), 7 * 86_400)
-    return kept.select("id", "status", "created_at")
+    return outbox.reap(box, X.latest(box, "created_at"), 7 * 86_400).select("id", "status", "created_at")
 
 
 def inbox_dedup_first(spark, d):
@@ -66,8 +64,11 @@ def idempotent_responses(spark, d):
 
 
 def idempotency_unexpired(spark, d):
-    records = X.table(spark, d, "events").select("event_id", (F.col("ts") + F.expr("interval 24 hours")).alias("expires_at"))
-    return dedup.unexpired(records.crossJoin(F.broadcast(_now(spark, d))), F.col("now")).select("event_id", "expires_at")
+    now = _now(spark, d)
+    # A record lives a day: the bound on the stored column prunes the scan, the one on the expiry states the rule.
+    recent = X.table(spark, d, "events").filter(F.col("ts") > now - F.expr("interval 24 hours"))
+    records = recent.select("event_id", (F.col("ts") + F.expr("interval 24 hours")).alias("expires_at"))
+    return dedup.unexpired(records, now).select("event_id", "expires_at")
 
 
 def cdc_latest_state(spark, d):
@@ -123,10 +124,10 @@ def cache_hit_ratio(spark, d):
 def feature_lookup_ladder(spark, d):
     e = X.table(spark, d, "events")
     latest = lambda x: x.groupBy(F.col("user_id").alias("key")).agg(F.max_by("value", "event_id").alias("value"), F.max("ts").alias("computed_at"))
-    keys = e.select(F.col("user_id").alias("key")).distinct().crossJoin(F.broadcast(_now(spark, d)))
+    keys = e.select(F.col("user_id").alias("key")).distinct()
     online = latest(e.filter("event_type = 'view' and user_id % 4 <> 0"))
     offline = latest(e.filter("event_type = 'click' and user_id % 3 <> 0"))
-    return lookup.feature_lookup(keys, online, offline, "key", F.col("now"), 3 * 86_400).select("key", "value", "source", "write_back")
+    return lookup.feature_lookup(keys, online, offline, "key", _now(spark, d), 3 * 86_400).select("key", "value", "source", "write_back")
 
 
 def feature_point_in_time(spark, d):
@@ -137,7 +138,7 @@ def feature_point_in_time(spark, d):
 
 
 def feature_freshness(spark, d):
-    e = X.table(spark, d, "events").crossJoin(F.broadcast(_now(spark, d)))
+    e = X.table(spark, d, "events").withColumn("now", _now(spark, d))
     return metrics.staleness(e, "event_type", "ts", "now")
 
 
@@ -193,6 +194,8 @@ WITH requests AS (SELECT o_orderkey, o_custkey + CASE WHEN o_orderkey % 10 = 1 T
 probes AS (SELECT o_orderkey, key, c_name AS value, CASE WHEN c_custkey IS NULL THEN 'miss_absent' WHEN c_custkey % 3 <> 0 THEN 'hit' ELSE 'miss_filled' END AS outcome
   FROM requests LEFT JOIN customer ON c_custkey = key)"""
 
+_PADS_SQL = ", ".join("('{}', '{}', '{}')".format(s[0], *(pad.hex() for pad in S.hmac_pads(s[4]))) for s in X.SUBSCRIPTIONS)
+
 QUERIES = {
     "outbox_relay_batch": (
         outbox_relay_batch,
@@ -323,5 +326,10 @@ QUERIES = {
         webhook_orphans,
         "SELECT event_id, 's' || (event_id % 6) AS subscription_id FROM events WHERE event_id % 6 NOT BETWEEN 1 AND 4",
     ),
-    "webhook_signatures": (webhook_signatures, None),
+    "webhook_signatures": (
+        webhook_signatures,
+        f"""WITH {X.SUBSCRIPTIONS_SQL}, pads(subscription_id, inner_pad, outer_pad) AS (VALUES {_PADS_SQL}),
+        sent AS (SELECT event_id, subscription_id, '{{"event_id":' || event_id || '}}' AS body FROM events JOIN subscriptions ON enabled AND list_contains(event_types, event_type))
+        SELECT event_id, subscription_id, 'sha256=' || sha256(unhex(outer_pad || sha256(unhex(inner_pad || hex(encode(body)))))) AS signature FROM sent JOIN pads USING (subscription_id)""",
+    ),
 }

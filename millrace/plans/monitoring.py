@@ -54,7 +54,7 @@ def purchase_count_30d_rolling(spark, d):
 
 def leaderboard_7d(spark, d):
     e = _events(spark, d)
-    recent = e.crossJoin(F.broadcast(e.agg(F.max("ts").alias("now")))).filter("ts > now - interval 7 days")
+    recent = e.filter(F.col("ts") > X.latest(e, "ts") - F.expr("interval 7 days"))
     return metrics.leaderboard(recent, "user_id", "value", 100)
 
 
@@ -135,9 +135,10 @@ def endpoint_breaker_outcomes(spark, d):
 
 
 def backpressure_transitions(spark, d):
-    days = _events(spark, d).groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
-    top = days.crossJoin(F.broadcast(days.agg(F.max("n").alias("most")))).withColumn("one", F.lit(1))
-    return machines.transitions(top, "one", "day", F.col("n") * 100 >= F.col("most") * 95).select("day", "active")
+    """Days on which each event type's load goes beyond 95 % of its own peak, or back."""
+    days = _events(spark, d).groupBy("event_type", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
+    peak = days.groupBy("event_type").agg(F.max("n").alias("most"))
+    return machines.transitions(days.join(peak, "event_type"), "event_type", "day", F.col("n") * 100 >= F.col("most") * 95).select("event_type", "day", "active")
 
 
 def webhook_retry_schedule(spark, d):
@@ -384,8 +385,8 @@ QUERIES = {
     ),
     "backpressure_transitions": (
         backpressure_transitions,
-        """WITH d AS (SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1), a AS (SELECT day, n * 100 >= (SELECT max(n) FROM d) * 95 AS active FROM d)
-        SELECT day, active FROM (SELECT day, active, coalesce(lag(active) OVER (ORDER BY day), FALSE) AS b FROM a) WHERE active <> b""",
+        """WITH d AS (SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY ALL), a AS (SELECT event_type, day, n * 100 >= max(n) OVER (PARTITION BY event_type) * 95 AS active FROM d)
+        SELECT event_type, day, active FROM (SELECT *, coalesce(lag(active) OVER (PARTITION BY event_type ORDER BY day), FALSE) AS b FROM a) WHERE active <> b""",
     ),
     "webhook_retry_schedule": (
         webhook_retry_schedule,
@@ -408,7 +409,7 @@ QUERIES = {
     "dlq_headers": (
         dlq_headers,
         f"""{_DEAD_SQL}, h AS (SELECT event_id, unnest([{{'k': 'original-topic', 'v': topic}}, {{'k': 'original-offset', 'v': CAST(event_id AS VARCHAR)}}, {{'k': 'failure-reason', 'v': 'handler_error'}},
-          {{'k': 'attempt-count', 'v': '3'}}, {{'k': 'error-type', 'v': 'permanent'}}, {{'k': 'failed-at', 'v': strftime(ts, '%Y-%m-%dT%H:%M:%SZ')}},
+          {{'k': 'attempt-count', 'v': '3'}}, {{'k': 'error-type', 'v': 'permanent'}}, {{'k': 'failed-at', 'v': {X.utc_text_sql('ts')}}},
           {{'k': 'traceparent', 'v': CASE WHEN event_id % 2 = 0 THEN '00-' || event_id END}}]) AS x FROM dead)
         SELECT event_id, x.k AS key, x.v AS value FROM h WHERE x.v IS NOT NULL""",
     ),

@@ -54,7 +54,17 @@ class Pipeline:
 
 
 def topic_name(env: str, tenant: Column, domain: str, event: Column) -> Column:
-    return F.concat_ws(".", F.lit(env), tenant, F.lit(domain), event)
+    """Topic of a tenant's events; null without a tenant, so that nothing is published beyond one."""
+    return F.when(F.coalesce(tenant, F.lit("")) != "", F.concat_ws(".", F.lit(env), tenant, F.lit(domain), event))
+
+
+def of_tenant(table: DataFrame, tenant: str, column: str = "tenant_id") -> DataFrame:
+    """A tenant's rows: the filter every read of a shared table goes through. A table without the column, or no tenant, is an error."""
+    if not tenant:
+        raise ValueError("a tenant is required")
+    if column not in table.columns:
+        raise ValueError(f"the table has no {column}")
+    return table.filter(F.col(column) == tenant)
 
 
 def rendered_key(template: str, columns: dict[str, Column]) -> Column:

@@ -36,7 +36,7 @@ def stream_tumbling_daily(spark, d):
 
 def stream_distinct_users(spark, d):
     out = Q.drain(Q.distinct(_events(spark, d).select("user_id", "event_type", "ts"), "user_id", "ts", "90 days"), _base(spark, "distinct"))
-    return out.select("user_id").distinct()
+    return out.select("user_id")
 
 
 def stream_saga(spark, d):

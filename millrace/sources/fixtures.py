@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -10,6 +10,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def latest(df: DataFrame, ts: str) -> Column:
+    """The last time of a table as a literal without zone: bounds made of it reach the scan, as those of a joined maximum do not."""
+    found = df.agg(F.max(F.col(ts).cast("timestamp_ntz")).cast("string")).first()[0]
+    return F.lit(found).cast("timestamp_ntz")
+
+
 def outbox(spark: SparkSession, sf_dir: str, waiting: bool = False) -> DataFrame:
     """Orders as outbox rows: open orders wait to be published; urgent ones name their topic.
 
@@ -116,3 +122,10 @@ def flags(spark: SparkSession) -> DataFrame:
 
 def subscriptions(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(SUBSCRIPTIONS, "subscription_id string, endpoint_url string, event_types array<string>, enabled boolean, secret string")
+
+
+def utc_text_sql(ts: str) -> str:
+    """SQL for a time in UTC as text, with 0, 3 or 6 digits of its fraction."""
+    us = f"epoch_us({ts}) % 1000000"
+    return f"""strftime({ts}, '%Y-%m-%dT%H:%M:%S') || CASE WHEN {us} = 0 THEN '' WHEN {us} % 1000 = 0 THEN '.' || lpad(CAST({us} // 1000 AS VARCHAR), 3, '0')
+    ELSE '.' || lpad(CAST({us} AS VARCHAR), 6, '0') END || 'Z'"""

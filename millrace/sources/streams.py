@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
+from millrace.sources.sinks import exists, published_snapshot
+
 
 def file_stream(spark: SparkSession, path: str, schema, files_per_batch: int | None = None) -> DataFrame:
     """A folder of Parquet files as a stream; the limit of files per batch is its backpressure."""
@@ -29,6 +31,42 @@ def after_position(table: DataFrame, position: str, last: int, upto: int | None
     return out if upto is None else out.filter(F.col(position) <= upto)
 
 
+class ChangePoller:
+    """Incremental reads of a growing table: each poll gives the next rows by position, and advancing makes that lasting.
+
+    The position is a numbered table below ``base``, so a restarted poller goes on where the last advance left it, and a batch that was
+    not published in full comes again.
+    """
+
+    def __init__(self, table: DataFrame, position: str, base: str, batch: int):
+        self.table, self.position, self.base, self.batch = table, position, base, batch
+        self.high: int | None = None
+
+    def last(self) -> tuple[int, int]:
+        """Version and position of the last advance."""
+        spark = self.table.sparkSession
+        if not exists(spark, self.base):
+            return 0, -(1 << 63)
+        row = spark.read.option("recursiveFileLookup", "true").schema("version long, position long").parquet(self.base).agg(F.max(F.struct("version", "position"))).first()[0]
+        return row["version"], row["position"]
+
+    def poll(self) -> DataFrame | None:
+        """At most ``batch`` positions beyond the last, none if there are none; both bounds reach the scan."""
+        last = self.last()[1]
+        highest = after_position(self.table, self.position, last).select(self.position).distinct().orderBy(self.position).limit(self.batch)
+        self.high = highest.agg(F.max(self.position)).first()[0]
+        return None if self.high is None else after_position(self.table, self.position, last, self.high)
+
+    def advance(self) -> None:
+        """Makes the last poll's position lasting; called after its rows are published."""
+        if self.high is None:
+            return
+        version = self.last()[0] + 1
+        spark = self.table.sparkSession
+        published_snapshot(spark.range(1).select(F.lit(version).cast("long").alias("version"), F.lit(self.high).cast("long").alias("position")), self.base, version)
+        self.high = None
+
+
 class _Range(InputPartition):
     def __init__(self, start: int, end: int):
         self.start, self.end = start, end

@@ -21,6 +21,7 @@ def spark():
             "spark.sql.maxMetadataStringLength": "2000",
             "spark.ui.showConsoleProgress": "false",
             "spark.driver.bindAddress": "127.0.0.1",
+            "spark.driver.host": "127.0.0.1",
         },
     )
     s.sparkContext.setLogLevel("ERROR")

@@ -30,7 +30,29 @@ def test_inbox_handles_new_messages_once(spark):
     handled, outcomes = H.inbox(m, m.filter("id = 'c'"), "id", ["n"], lambda d: d.withColumn("done", F.lit(True)))
     assert rows(handled, "id", "n") == [("a", 1), ("b", 3)]
     assert rows(outcomes, "n", "outcome") == [(1, "new"), (2, "duplicate"), (3, "new"), (4, "duplicate")]
-    assert H.unseen(m, m.filter("id = 'a'"), "id").count() == 2
+
+
+def test_inbox_with_a_cache_in_front(spark):
+    m = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3), ("c", 4), (None, 5)], "id string, n int")
+    cache, store = m.filter("id = 'b'"), m.filter("id in ('b', 'c')")
+    got = lambda broken: [r[1] for r in rows(H.inbox_two_tier(m, cache, store, "id", ["n"], broken), "n", "outcome")]
+    assert got(False) == ["new", "duplicate_cache", "duplicate_cache", "duplicate_store", "new"]
+    assert got(True) == ["new", "duplicate_store", "duplicate_store", "duplicate_store", "new"]
+
+
+def test_controls(spark):
+    c = spark.createDataFrame([("p", 1, "resume"), ("p", 2, "pause"), ("p", 3, "pause"), ("p", 4, "reload"), ("p", 5, "replay"), ("p", 6, "resume"), ("q", 1, "stop")], "name string, n int, command string")
+    out = rows(H.controlled(c, "name", ["n"], "command"), "name", "n", "state", "applied")
+    assert [x[2:] for x in out] == [("Running", False), ("Paused", True), ("Paused", False), ("Paused", True), ("Replaying", True), ("Running", True), ("Running", False)]
+
+
+def test_write_through_never_leads_the_store(spark):
+    store = spark.createDataFrame([("a", 1), ("b", 2)], "key string, v int")
+    cache = spark.createDataFrame([("b", 0, None), ("z", 9, None)], "key string, v int, expires_at timestamp_ntz")
+    writes = spark.createDataFrame([("a", 5, 1), ("a", 7, 2), ("c", 9, 3)], "key string, v int, seq int")
+    stored, cached = H.write_through(store, cache, writes, "key", "seq", F.lit(T0))
+    assert rows(stored) == [("a", 7), ("b", 2), ("c", 9)]
+    assert rows(cached) == [("a", 7, T0), ("b", 0, None), ("c", 9, T0), ("z", 9, None)]
 
 
 def test_saga_runs_and_compensates_backwards():
@@ -86,7 +108,11 @@ def test_administration(spark):
     out = H.cancel_saga(H.cancel_saga(s, "1"), "2")
     assert rows(out, "saga_id", "status", "version") == [("1", "Cancelled", 4), ("2", "Completed", 4)]
     assert [r.saga_id for r in H.saga_list(s, 1).collect()] == ["2"]
-    assert rows(H.audit(s, "cancel", "me", F.col("saga_id"), F.col("updated_at")), "operation", "target") == [("cancel", "1"), ("cancel", "2")]
+    audited = H.audit(s, F.when(F.col("version") == 3, "pattern.paused").otherwise("cancel"), F.col("updated_at"), "p", "q", event_id=F.col("saga_id"))
+    want = '{"log_type":"audit","schema_version":"1","timestamp":"2024-01-01T00:00:00Z","pattern_name":"p","pipeline_name":"q","operation":"pattern.paused","outcome":"success","event_id":"1"}'
+    assert rows(audited) == [("pattern.paused", "2024-01-01T00:00:00Z", want)]
+    with pytest.raises(ValueError):
+        H.audit(s, "dlq.produce", F.col("updated_at"), "p", "q", color=F.lit("red"))
     c = spark.createDataFrame([("b", "x"), ("a", "y")], "pattern_name string, pipeline_name string")
     assert [r.pattern_name for r in H.checkpoint_list(c).collect()] == ["a", "b"]
 

@@ -5,9 +5,9 @@ import decimal
 import duckdb
 import pytest
 
-from millrace.plans import catalogue, monitoring, streams
+from millrace.plans import catalogue, monitoring, patterns, streams
 
-QUERIES = catalogue.QUERIES | monitoring.QUERIES | streams.QUERIES
+QUERIES = catalogue.QUERIES | monitoring.QUERIES | patterns.QUERIES | streams.QUERIES
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 
 
