@@ -20,9 +20,13 @@ Plan
    hashes, in the same shuffle: a string's rows are made one per batch before it, and only the first stays.
 5. Covered intervals meet their documents; bytes are cut and hashed.
 
-Defined results: null and empty texts have no bytes. Rows without doc_id come last. Rows that share a doc_id are taken
-one after another in the order of their texts; identical rows thus count as copies. Other input columns are ignored.
-An empty table gives an empty result.
+Run-length compression makes equal text cheap in a Burrows-Wheeler transform: copies lengthen runs and add none. Step 2 is that
+compression ahead of the shuffle: an index holds each different surrounding once, and the equal ones, known by 128 bits of hashes, follow
+the one it holds.
+
+Defined results: null and empty texts have no bytes; very long texts are scanned in overlapping pieces, whole. Rows without doc_id come
+last. Rows that share a doc_id, or have none, are taken one after another in the order of their texts (a distributed sort);
+identical rows thus count as copies. Other input columns, whatever their names, are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,7 +40,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .scratch import Scratch, release, table
+from .scratch import Scratch, table
 
 LENGTH = 100
 GRAM = 32
@@ -44,7 +48,6 @@ HOT = 8_000
 INDEX_BYTES = 1 << 19
 PIECE = 1 << 18
 OUT_BYTES = 1 << 21
-TIE = 40
 _LAST = 2**63 - 1
 
 _U = np.uint64
@@ -142,13 +145,13 @@ def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(d, tie, data) to anchors (h, w, d, pos, later): later if an earlier equal one in the batch settles it.
+    """(d, e, data) to anchors (h, w, d, e, pos, later): later if an earlier equal one in the batch settles it.
 
     Those need no company, so they get a hash that scatters them.
     """
     reach = LENGTH - GRAM
     for batch in batches:
-        doc, tie = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
+        doc, nth = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
         data, offsets = _bytes(batch.column(2))
         found = []
         for chunk in _pieces(offsets):
@@ -168,15 +171,14 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not found:
             continue
         h, w, row, own = (np.concatenate(x) for x in zip(*found, strict=True))
-        d, pos = doc[row], own + (tie[row].astype(np.int64) << TIE)
-        order = np.lexsort((pos, d, w, h))
-        h, w, d, pos = h[order], w[order], d[order], pos[order]
+        order = np.lexsort((own, nth[row], doc[row], w, h))
+        h, w, d, e, pos = h[order], w[order], doc[row][order], nth[row][order], own[order]
         later = np.zeros(len(h), dtype=bool)
         later[1:] = (h[1:] == h[:-1]) & (w[1:] == w[:-1])
-        h = np.where(later, _mixed(h.view(np.uint64) + _mixed((d * 31 + pos).view(np.uint64))).view(np.int64), h)
+        h = np.where(later, _mixed(h.view(np.uint64) + _mixed(((d * 31 + e) * 31 + pos).view(np.uint64))).view(np.int64), h)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(h), pa.array(w), pa.array(d, pa.int64()), pa.array(pos, pa.int64()), pa.array(later)],
-            names=["h", "w", "d", "pos", "later"],
+            [pa.array(h), pa.array(w), pa.array(d, pa.int64()), pa.array(e, pa.int64()), pa.array(pos, pa.int64()), pa.array(later)],
+            names=["h", "w", "d", "e", "pos", "later"],
         )
 
 
@@ -292,56 +294,54 @@ def _runs(marked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (h, s, d, start, later, window) to covered (d, lo, hi).
+    """Sorted (h, s, d, e, start, later, window) to covered (d, e, lo, hi).
 
     Rows with a window go to an index, together with all of their anchor. Rows without are single strings known by
     their hash (h, s): all but the first of a hash are covered.
     """
 
-    def covered(d: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (d, lo, hi)], names=["d", "lo", "hi"])
+    def covered(*columns: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["d", "e", "lo", "hi"])
 
     def flush(rows: list) -> pa.RecordBatch:
-        d = np.array([r[1] for r in rows], dtype=np.int64)
-        pos = np.array([r[2] for r in rows], dtype=np.int64)
-        tie, start = pos >> TIE, pos & ((1 << TIE) - 1)
-        by = np.lexsort((tie, d))
+        d, e, start = (np.array([r[k] for r in rows], dtype=np.int64) for k in (1, 2, 3))
+        by = np.lexsort((e, d))
         new = np.ones(len(d), dtype=bool)
-        new[1:] = (d[by][1:] != d[by][:-1]) | (tie[by][1:] != tie[by][:-1])
+        new[1:] = (d[by][1:] != d[by][:-1]) | (e[by][1:] != e[by][:-1])
         order = np.empty(len(d), dtype=np.int64)
         order[by] = np.cumsum(new) - 1
-        marked, begin = repeated_starts([r[3] for r in rows], order, start)
+        marked, begin = repeated_starts([r[4] for r in rows], order, start)
         a, b = _runs(marked)
         k = np.searchsorted(begin, a, "right") - 1
-        lo = pos[k] + a - begin[k]
-        return covered(d[k], lo, lo + (b - a) + LENGTH - 1)
+        lo = start[k] + a - begin[k]
+        return covered(d[k], e[k], lo, lo + (b - a) + LENGTH - 1)
 
-    rows, size, last = [], 0, (None, None, None, None)
+    rows, size, last = [], 0, (None, None, None, None, None)
     for batch in batches:
-        single = batch.filter(pc.is_null(batch.column(5)))
+        single = batch.filter(pc.is_null(batch.column(6)))
         if single.num_rows:
-            h, s, d, start, later = (single.column(k).to_numpy(zero_copy_only=False) for k in range(5))
+            h, s, d, e, start, later = (single.column(k).to_numpy(zero_copy_only=False) for k in range(6))
             same = np.zeros(len(h), dtype=bool)
             same[1:] = (h[1:] == h[:-1]) & (s[1:] == s[:-1])
             # The first start of a hash may come several times, from overlapping surroundings.
             firsts = np.maximum.accumulate(np.where(same, 0, np.arange(len(h))))
             known = firsts == 0 if (h[0], s[0]) == last[:2] else np.zeros(len(h), dtype=bool)
-            d1, s1 = np.where(known, last[2] or 0, d[firsts]), np.where(known, last[3] or 0, start[firsts])
-            again = ((d != d1) | (start != s1)) | later
-            last = (h[-1], s[-1], d1[-1], s1[-1])
-            yield covered(d[again], start[again], start[again] + LENGTH)
-        for row in zip(*(batch.filter(pc.is_valid(batch.column(5))).column(k).to_pylist() for k in (0, 2, 3, 5)), strict=True):
+            d1, e1, s1 = (np.where(known, last[k] or 0, x[firsts]) for k, x in ((2, d), (3, e), (4, start)))
+            again = ((d != d1) | (e != e1) | (start != s1)) | later
+            last = (h[-1], s[-1], d1[-1], e1[-1], s1[-1])
+            yield covered(d[again], e[again], start[again], start[again] + LENGTH)
+        for row in zip(*(batch.filter(pc.is_valid(batch.column(6))).column(k).to_pylist() for k in (0, 2, 3, 4, 6)), strict=True):
             if size >= INDEX_BYTES and row[0] != rows[-1][0]:
                 yield flush(rows)
                 rows, size = [], 0
             rows.append(row)
-            size += len(row[3])
+            size += len(row[4])
     if rows:
         yield flush(rows)
 
 
 def _fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(d, packed, asked) to surroundings (h, s, d, start, later, window) of each asked (pos, h, hot).
+    """(d, e, packed, asked) to surroundings (h, s, d, e, start, later, window) of each asked (pos, h, hot).
 
     Surroundings of hot anchors are given as hashes of their strings, each once a batch: those that come later in the
     batch are settled and need no company.
@@ -349,42 +349,43 @@ def _fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     reach = LENGTH - GRAM
     unpack = zstandard.ZstdDecompressor().decompress
     for batch in batches:
-        hs, ds, starts, windows, strings = [], [], [], [], []
+        hs, ds, es, starts, windows, strings = [], [], [], [], [], []
         for k in range(batch.num_rows):
-            d, data = batch.column(0)[k].as_py(), unpack(batch.column(1)[k].as_py())
-            for one in batch.column(2)[k].as_py():
-                pos = one["pos"]
-                at = pos & ((1 << TIE) - 1)
+            d, e, data = batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), unpack(batch.column(2)[k].as_py())
+            for one in batch.column(3)[k].as_py():
+                at = one["pos"]
                 lo = max(0, at - reach)
                 if one["hot"]:
                     text = np.frombuffer(data[lo : at + LENGTH], dtype=np.uint8)
                     n = len(text) - LENGTH + 1
                     s1, s2 = (Rolling(text, base).grams(LENGTH).view(np.int64) for base in (_BASE, _BASE2))
-                    strings.append((s1, s2, np.full(n, d, dtype=np.int64), pos - at + lo + np.arange(n)))
+                    strings.append((s1, s2, np.full(n, d, dtype=np.int64), np.full(n, e, dtype=np.int64), lo + np.arange(n)))
                 else:
                     hs.append(one["h"])
                     ds.append(d)
-                    starts.append(pos - at + lo)
+                    es.append(e)
+                    starts.append(lo)
                     windows.append(data[lo : at + LENGTH])
         n = len(hs)
-        yield _row_batch(pa.array(hs, pa.int64()), pa.array([0] * n, pa.int64()), ds, starts, np.zeros(n, dtype=bool), pa.array(windows, pa.binary()))
+        yield _row_batch(pa.array(hs, pa.int64()), pa.array([0] * n, pa.int64()), ds, es, starts, np.zeros(n, dtype=bool), pa.array(windows, pa.binary()))
         if strings:
-            s1, s2, d, start = (np.concatenate(x) for x in zip(*strings, strict=True))
-            order = np.lexsort((start, d, s2, s1))
-            s1, s2, d, start = s1[order], s2[order], d[order], start[order]
+            s1, s2, d, e, start = (np.concatenate(x) for x in zip(*strings, strict=True))
+            order = np.lexsort((start, e, d, s2, s1))
+            s1, s2, d, e, start = (x[order] for x in (s1, s2, d, e, start))
             later = np.zeros(len(s1), dtype=bool)
             later[1:] = (s1[1:] == s1[:-1]) & (s2[1:] == s2[:-1])
-            s1 = np.where(later, _mixed((d * 31 + start).view(np.uint64) + s1.view(np.uint64)).view(np.int64), s1)
             # A string repeated at one place only because surroundings overlap is not a repeat.
             same = np.zeros(len(d), dtype=bool)
-            same[1:] = later[1:] & (d[1:] == d[:-1]) & (start[1:] == start[:-1])
-            s1, s2, d, start, later = s1[~same], s2[~same], d[~same], start[~same], later[~same]
-            yield _row_batch(pa.array(s1), pa.array(s2), d, start, later, pa.nulls(len(d), pa.binary()))
+            same[1:] = later[1:] & (d[1:] == d[:-1]) & (e[1:] == e[:-1]) & (start[1:] == start[:-1])
+            s1 = np.where(later, _mixed(((d * 31 + e) * 31 + start).view(np.uint64) + s1.view(np.uint64)).view(np.int64), s1)
+            s1, s2, d, e, start, later = (x[~same] for x in (s1, s2, d, e, start, later))
+            yield _row_batch(pa.array(s1), pa.array(s2), d, e, start, later, pa.nulls(len(d), pa.binary()))
 
 
-def _row_batch(h: pa.Array, s: pa.Array, d, start, later, window: pa.Array) -> pa.RecordBatch:
+def _row_batch(h: pa.Array, s: pa.Array, d, e, start, later, window: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [h, s, pa.array(d, pa.int64()), pa.array(start, pa.int64()), pa.array(later, pa.bool_()), window], names=["h", "s", "d", "start", "later", "w"]
+        [h, s, pa.array(d, pa.int64()), pa.array(e, pa.int64()), pa.array(start, pa.int64()), pa.array(later, pa.bool_()), window],
+        names=["h", "s", "d", "e", "start", "later", "w"],
     )
 
 
@@ -394,7 +395,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3).compress
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), batch.column(2), pa.array([pack(x.as_py()) for x in batch.column(3)], pa.binary())],
-            names=["doc_id", "d", "tie", "packed"],
+            names=["doc_id", "d", "e", "packed"],
         )
 
 
@@ -427,9 +428,7 @@ def cut(text: np.ndarray, covered) -> tuple[list[np.ndarray], list[tuple[int, in
     """What is left of ``text`` without the covered intervals, and the maximal runs that go."""
     if covered is None or not len(covered):
         return [text], []
-    mask = (1 << TIE) - 1
-    lo = covered.field(0).to_numpy(zero_copy_only=False) & mask
-    hi = covered.field(1).to_numpy(zero_copy_only=False) & mask
+    lo, hi = covered.field(0).to_numpy(zero_copy_only=False), covered.field(1).to_numpy(zero_copy_only=False)
     order = np.argsort(lo)
     lo, hi = lo[order], np.minimum(np.maximum.accumulate(hi[order]), len(text))
     first = np.ones(len(lo), dtype=bool)
@@ -441,43 +440,49 @@ def cut(text: np.ndarray, covered) -> tuple[list[np.ndarray], list[tuple[int, in
 
 
 def covered_intervals(docs: DataFrame, packed: DataFrame, scratch: Scratch, hot: int = HOT) -> DataFrame:
-    """``(d, lo, hi)``: repeated bytes of ``docs(d, tie, data)``; the tie is in the bits above TIE.
+    """``(d, e, lo, hi)``: repeated bytes of ``docs(d, e, data)``, whose order is that of (d, e).
 
-    ``packed(d, tie, packed)`` has the same texts compressed.
+    ``packed(d, e, packed)`` has the same texts compressed.
     """
     ranked = (
-        docs.mapInArrow(_scan, "h long, w long, d long, pos long, later boolean")
+        docs.mapInArrow(_scan, "h long, w long, d long, e long, pos long, later boolean")
         .repartition("h")
-        .withColumn("nth", F.row_number().over(Window.partitionBy("h", "w").orderBy("d", "pos")))
+        .withColumn("nth", F.row_number().over(Window.partitionBy("h", "w").orderBy("d", "e", "pos")))
         .withColumn("kinds", F.sum(F.when(F.col("nth") == 1, 1).otherwise(0)).over(Window.partitionBy("h")))
         .withColumn("covered", F.expr("later or nth > 1"))
         .filter("covered or kinds > 1")
     )
     h = F.when(~F.col("covered"), F.col("h")).alias("h")
-    seen = scratch.keep(ranked.select("d", "pos", h, "covered", F.expr(f"kinds > {hot}").alias("hot")), "anchors")
-    del ranked
-    release(docs.sparkSession)
-    asked = (
-        seen.filter("not covered")
-        .select("d", F.shiftright("pos", TIE).cast("int").alias("tie"), "h", "pos", "hot")
-        .groupBy("d", "tie")
-        .agg(F.collect_list(F.struct("pos", "h", "hot")).alias("asked"))
-    )
+    seen = scratch.keep(ranked.select("d", "e", "pos", h, "covered", F.expr(f"kinds > {hot}").alias("hot")), "anchors")
+    asked = seen.filter("not covered").groupBy("d", "e").agg(F.collect_list(F.struct("pos", "h", "hot")).alias("asked"))
     indexed = scratch.keep(
-        packed.join(asked.hint("merge"), ["d", "tie"])
-        .select("d", "packed", "asked")
-        .mapInArrow(_fetched, "h long, s long, d long, start long, later boolean, w binary")
+        packed.join(asked.hint("merge"), ["d", "e"])
+        .select("d", "e", "packed", "asked")
+        .mapInArrow(_fetched, "h long, s long, d long, e long, start long, later boolean, w binary")
         .repartition("h")
-        .sortWithinPartitions("h", "s", "d", "start")
-        .mapInArrow(_indexed, "d long, lo long, hi long"),
+        .sortWithinPartitions("h", "s", "d", "e", "start")
+        .mapInArrow(_indexed, "d long, e long, lo long, hi long"),
         "indexed",
     )
-    release(docs.sparkSession)
-    back = F.least(F.lit(LENGTH - GRAM), F.col("pos").bitwiseAND((1 << TIE) - 1))
-    whole = seen.filter("covered").select("d", (F.col("pos") - back).alias("lo"), (F.col("pos") + LENGTH).alias("hi"))
+    back = F.least(F.lit(LENGTH - GRAM), F.col("pos"))
+    whole = seen.filter("covered").select("d", "e", (F.col("pos") - back).alias("lo"), (F.col("pos") + LENGTH).alias("hi"))
     return whole.unionByName(indexed)
 
 
+def _ordered(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """``rows(d, data, ..)`` with ``e``, which numbers those that share d in the order of their data; 0 where d is unique.
+
+    Shared ones are sorted by ranges, equal ones spread by a random number: no task has all rows without doc_id, or all equal ones.
+    """
+    shared = scratch.keep(rows.groupBy("d").agg(F.count("*").alias("k")).filter("k > 1").select("d"), "shared")
+    if shared.isEmpty():
+        return rows.withColumn("e", F.lit(0).cast("long"))
+    some = rows.join(shared, "d").withColumn("salt", F.rand(7)).orderBy("d", "data", "salt")
+    some = some.withColumn("e", F.monotonically_increasing_id()).select(*rows.columns, "e")
+    single = rows.join(shared, "d", "left_anti").select(*rows.columns, F.lit(0).cast("long").alias("e"))
+    return scratch.keep(some, "ordered").unionByName(scratch.keep(single, "single"))
+
+
 def without_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """``(doc_id, n_bytes, spans, kept)`` per row of ``docs(doc_id, text)``: removed spans (at, to) in bytes, end exclusive, and the bytes left.
 
@@ -489,20 +494,12 @@ def without_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
         F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("d"),
         F.coalesce(F.col("text").cast("string").cast("binary"), F.lit(b"")).alias("data"),
     )
-    if rows.groupBy("d").count().filter("count > 1").isEmpty():
-        rows = rows.withColumn("tie", F.lit(0))
-    else:
-        rows = rows.withColumn("tie", F.row_number().over(Window.partitionBy("d").orderBy("data")) - 1)
-        rows = scratch.keep(rows, "rows")
-    packed = rows.select("doc_id", "d", "tie", "data").mapInArrow(_packed, "doc_id long, d long, tie int, packed binary")
-    covered = covered_intervals(rows.select("d", "tie", "data"), packed.select("d", "tie", "packed"), scratch, hot)
-    per_doc = (
-        covered.withColumn("tie", F.shiftright("lo", TIE).cast("int"))
-        .groupBy("d", "tie")
-        .agg(F.collect_list(F.struct("lo", "hi")).alias("covered"))
-    )
+    rows = _ordered(rows, scratch)
+    packed = rows.select("doc_id", "d", "e", "data").mapInArrow(_packed, "doc_id long, d long, e long, packed binary")
+    covered = covered_intervals(rows.select("d", "e", "data"), packed.select("d", "e", "packed"), scratch, hot)
+    per_doc = covered.groupBy("d", "e").agg(F.collect_list(F.struct("lo", "hi")).alias("covered"))
     return (
-        packed.join(per_doc.hint("merge"), ["d", "tie"], "left")
+        packed.join(per_doc.hint("merge"), ["d", "e"], "left")
         .select("doc_id", "packed", "covered")
         .mapInArrow(_cut, "doc_id long, n_bytes long, spans array<struct<at:long,to:long>>, kept binary")
     )

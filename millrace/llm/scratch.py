@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -79,11 +77,3 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete shuffle files of finished steps now, as it does whenever the driver collects garbage."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)

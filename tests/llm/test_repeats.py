@@ -71,8 +71,8 @@ def test_long_texts_in_pieces(spark, monkeypatch):
     rng = np.random.default_rng(4)
     text = bytes(rng.integers(97, 123, 5000, dtype=np.uint8)) * 2
     column, out = R.pa.array([text], R.pa.binary()), []
-    for b in R._scan(iter([R.pa.RecordBatch.from_arrays([R.pa.array([1]), R.pa.array([0], R.pa.int32()), column], names=["d", "tie", "data"])])):
-        out += b.column(3).to_pylist()
+    for b in R._scan(iter([R.pa.RecordBatch.from_arrays([R.pa.array([1]), R.pa.array([0], R.pa.int64()), column], names=["d", "e", "data"])])):
+        out += b.column(4).to_pylist()
     whole = R.anchors(np.frombuffer(text, dtype=np.uint8), np.array([len(text)]))[0]
     assert sorted(out) == whole.tolist()
 
@@ -85,6 +85,23 @@ def test_rows_that_share_an_id_follow_each_other(spark):
     assert [x for x in out if x[1] == size] == [(1, size, 0), (1, size, size), (9, size, size)]
 
 
+def test_rows_without_id_follow_the_others_in_the_order_of_their_texts(spark):
+    texts = [t.encode() for t in corpus(5)]
+    rows = [(k, t) for k, t in enumerate(texts[:20])] + [(None, t) for t in texts[20:]] + [(None, texts[21])] * 9 + [(3, texts[30])]
+    df = spark.createDataFrame([(d, t.decode()) for d, t in rows], "doc_id long, text string").repartition(5)
+    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    want = brute(list(enumerate(t for _, t in order)))
+    got = sorted(((r.doc_id is None, r.doc_id or 0, *r[1:]) for r in R.remove_repeats(df).collect()))
+    assert got == sorted((d is None, d or 0, *want[k]) for k, (d, _) in enumerate(order))
+
+
+def test_copies_add_no_runs():
+    rng = np.random.default_rng(1)
+    once = rng.integers(1, 200, 2000).astype(np.int16)
+    runs = lambda n: len(R.RunIndex(np.append(np.tile(once, n), 0).astype(np.int16)).at)
+    assert runs(20) < runs(1) + 50
+
+
 def test_index_statistics():
     rng = np.random.default_rng(2)
     text = np.append(np.tile(rng.integers(1, 4, 60), 4), 0).astype(np.int16)
