@@ -63,7 +63,8 @@ def chains(seed=5):
 
 @pytest.mark.parametrize("make", [corpus, chains])
 @pytest.mark.parametrize("size, percent, block, bucket, star", [(3, 85, 10**6, 4096, 1 << 16), (5, 80, 150, 4096, 300), (3, 85, 10**6, 2, 1), (3, 85, 400, 3, 1 << 16)])
-def test_groups_equal_all_pairs(spark, make, size, percent, block, bucket, star):
+def test_groups_equal_all_pairs(spark, monkeypatch, make, size, percent, block, bucket, star):
+    monkeypatch.setattr(N, "FINE_SHINGLES", min(block, N.FINE_SHINGLES))
     texts = make()
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     out = N.near_duplicates(df, size, percent, block, bucket, star).collect()

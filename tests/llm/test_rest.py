@@ -10,10 +10,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-import corpus_pipeline
-from millrace.llm import decontam, licences, line_crf, line_rules, mixing, near_dedup, pii, warc
+from millrace.llm import decontam, licences, line_crf, line_rules, mixing, warc
 from millrace.llm.render import render
-from millrace.llm.scratch import Scratch, table
+from millrace.llm.scratch import Scratch
 
 
 def test_text_counts():
@@ -398,35 +397,3 @@ def test_containment_at_the_threshold(spark):
     got = {(r.doc_id, r.n_shared) for r in decontam.contained_items(df, items, percent=78).collect()}
     assert got == {(1, 41), (2, 32), (4, 41)}
     assert {r.doc_id for r in decontam.contained_items(df, items).collect()} == {1, 4}
-
-
-def test_pipeline_equals_plain_version(spark, sf):
-    docs = table(spark, sf, "documents")
-    rows = {r.doc_id: r for r in docs.collect()}
-    good = {r.doc_id for r in line_crf.op7_line_crf_quality(spark, sf).collect() if r.predicted}
-    left = docs.filter(docs.doc_id.isin(*good))
-    keep = {r.doc_id for r in near_dedup.near_duplicates(left).collect() if r.kept}
-    left = left.filter(left.doc_id.isin(*keep))
-    leaked = {r.doc_id for r in decontam.contained_items(left, table(spark, sf, "benchmark")).collect()}
-    final = keep - leaked
-    out = corpus_pipeline.run(spark, sf).collect()
-    assert {r.doc_id for r in out} == final and 0 < len(final) < len(rows)
-    spans = {r.doc_id: r.spans for r in pii.find_pii(left).collect()}
-    for r in out:
-        text = rows[r.doc_id].text
-        if not spans[r.doc_id]:
-            assert r.size == len(re.findall(r"[^\x20\x09-\x0D]+", text))
-    sizes = {}
-    for r in out:
-        sizes[r.source] = sizes.get(r.source, 0) + r.size
-    want = targets(sizes)
-    for s in sizes:
-        assert abs(sum(r.taken for r in out if r.source == s) - want[s]) <= 1
-    assert [name for name, _ in corpus_pipeline.STAGES] == ["quality_classifier", "minhash_near_dedup", "benchmark_decontamination", "pii", "mixing_to_target_weights"]
-
-
-def test_stages_return_the_columns_of_documents(spark, sf):
-    docs = table(spark, sf, "documents").limit(40)
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        assert stage(spark, docs, sf).dtypes == docs.dtypes
-        assert stage(spark, docs.limit(0), sf).count() == 0
