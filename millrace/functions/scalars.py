@@ -67,6 +67,12 @@ def lsn_order(lsn: Column) -> Column:
     return F.when(lsn < 0, d + F.lit(str(1 << 64)).cast("decimal(20,0)")).otherwise(d)
 
 
+def path_name(url: Column, default: str) -> Column:
+    """The first path segment of a URL, which names a primary among its replicas; the default without one."""
+    segments = F.filter(F.split(url, "/"), lambda x: (x != "") & ~x.endswith(":"))
+    return F.coalesce(F.get(segments, 1), F.lit(default))
+
+
 def step_key(saga_id: Column, step: Column, attempt: Column) -> Column:
     return F.concat_ws("/", saga_id, step, attempt)
 

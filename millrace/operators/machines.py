@@ -187,3 +187,18 @@ def half_open_gate(calls: DataFrame, key: str, began: str, ended: str, order: li
 
     timed = calls.withColumns({"_b": F.unix_micros(F.col(began).cast("timestamp")), "_e": F.unix_micros(F.col(ended).cast("timestamp"))})
     return sorted_fold(timed, [key], [began, *order], ["_b", "_e"], list, step, "admitted boolean").drop("_b", "_e")
+
+
+def lease_holders(attempts: DataFrame, lease: str, holder: str, ts: str, order: list[str], seconds: int = 15) -> DataFrame:
+    """``leads`` and ``holder_now`` after each attempt to acquire or renew a lease: one holder at a time, until it stops renewing."""
+    term = seconds * 1_000_000
+
+    def step(held, row):
+        name, until = held
+        who, now = row
+        if name is None or name == who or now >= until:
+            name, until = who, now + term
+        return (name, until), (name == who, name)
+
+    timed = attempts.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp")))
+    return sorted_fold(timed, [lease], [ts, *order], [holder, "_us"], lambda: (None, 0), step, "leads boolean, holder_now string").drop("_us")

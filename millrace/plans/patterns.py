@@ -365,6 +365,24 @@ def eos_marked_first(spark, d):
     return machines.exactly_once_marked_first(m, "event_id", ["offset"], "fails").select("event_id", "offset", "outcome")
 
 
+def leader_leases(spark, d):
+    e = _events(spark, d).select("event_id", (F.col("user_id") % 3).alias("lease"), F.col("event_type").alias("holder"), "ts")
+    return machines.lease_holders(e, "lease", "holder", "ts", ["event_id"], 12 * 3600).select("event_id", "lease", "leads", "holder_now")
+
+
+def consumer_options(spark, d):
+    """What a consumer group asks of a broker, as the options of the source; what is not set is left to the broker."""
+    consumer = streams.Consumer(group_id="orders", max_poll_records=500, fetch_max_bytes=1 << 20, session_timeout_ms=45_000)
+    return spark.createDataFrame(sorted(streams.kafka_options("broker:9092", "orders", consumer).items()), "option string, value string")
+
+
+def primary_names(spark, d):
+    n = F.col("event_id") % 4
+    tail = F.when(n == 0, "/").when(n == 1, F.concat(F.lit("/p"), F.col("user_id").cast("string"))).when(n == 2, F.concat(F.lit("/q"), F.col("user_id").cast("string"), F.lit("/0"))).otherwise("")
+    url = F.concat(F.lit("store://host:26379"), tail)
+    return _events(spark, d).select("event_id", S.path_name(url, "mymaster").alias("name"))
+
+
 _CHECKPOINTS_SQL = "SELECT event_type AS pattern_name, 'p' || (user_id % 3) AS pipeline_name, max(event_id) AS position, count(*) AS version FROM events GROUP BY ALL"
 _SAGAS_SQL = f"""WITH {X.SAGA_SQL}, o AS (SELECT saga_id, min(step) FILTER (failed) AS k, count(*) AS steps FROM steps GROUP BY 1),
   s AS (SELECT saga_id, coalesce(k, steps) AS version, TIMESTAMP '2024-01-01' + to_seconds(saga_id % 997) AS updated_at, k,
@@ -565,4 +583,21 @@ QUERIES = {
         eos_marked_first,
         f"""WITH {X.DELIVERIES_SQL} SELECT event_id, "offset", CASE WHEN "offset" % 10 > 0 THEN 'duplicate' WHEN event_id % 2 = 0 THEN 'aborted' ELSE 'committed' END AS outcome FROM deliveries""",
     ),
+    "leader_leases": (
+        leader_leases,
+        """WITH RECURSIVE e AS (SELECT event_id, user_id % 3 AS lease, event_type AS h, ts, row_number() OVER (PARTITION BY user_id % 3 ORDER BY ts, event_id) AS n FROM events),
+          r AS (SELECT *, h AS held, ts + INTERVAL 12 HOUR AS until FROM e WHERE n = 1
+            UNION ALL SELECT e.*, CASE WHEN r.held = e.h OR e.ts >= r.until THEN e.h ELSE r.held END, CASE WHEN r.held = e.h OR e.ts >= r.until THEN e.ts + INTERVAL 12 HOUR ELSE r.until END
+            FROM r JOIN e ON e.lease = r.lease AND e.n = r.n + 1)
+        SELECT event_id, lease, h = held AS leads, held AS holder_now FROM r""",
+    ),
+    "consumer_options": (
+        consumer_options,
+        """SELECT * FROM (VALUES ('kafka.bootstrap.servers', 'broker:9092'), ('subscribe', 'orders'), ('kafka.isolation.level', 'read_committed'), ('startingOffsets', 'earliest'), ('kafka.group.id', 'orders'),
+          ('maxOffsetsPerTrigger', '500'), ('kafka.fetch.max.bytes', '1048576'), ('kafka.session.timeout.ms', '45000')) t(option, value)""",
+    ),
+    "primary_names": (
+        primary_names,
+        "SELECT event_id, CASE event_id % 4 WHEN 1 THEN 'p' || user_id WHEN 2 THEN 'q' || user_id ELSE 'mymaster' END AS name FROM events",
+    ),
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,10 +20,35 @@ def file_stream(spark: SparkSession, path: str, schema, files_per_batch: int | N
     return reader.parquet(path)
 
 
-def kafka_options(servers: str, topic: str, isolation: str = "read_committed", start: str = "earliest", per_batch: int | None = None) -> dict[str, str]:
-    """Options of Spark's Kafka source; offsets are committed in the query's checkpoint, never to the broker."""
-    out = {"kafka.bootstrap.servers": servers, "subscribe": topic, "kafka.isolation.level": isolation, "startingOffsets": start}
-    return out | ({"maxOffsetsPerTrigger": str(per_batch)} if per_batch else {})
+@dataclass(frozen=True)
+class Consumer:
+    """What a consumer group asks of a broker. Offsets are committed in the query's checkpoint, never to the broker."""
+
+    isolation_level: str = "read_committed"
+    offset_reset: str = "earliest"
+    group_id: str | None = None
+    max_poll_records: int | None = None
+    fetch_max_bytes: int | None = None
+    max_poll_interval_ms: int | None = None
+    session_timeout_ms: int | None = None
+    heartbeat_interval_ms: int | None = None
+
+
+def kafka_options(servers: str, topic: str, consumer: Consumer = Consumer()) -> dict[str, str]:
+    """Options of Spark's Kafka source; records per poll bound a batch."""
+    plain = {
+        "kafka.bootstrap.servers": servers,
+        "subscribe": topic,
+        "kafka.isolation.level": consumer.isolation_level,
+        "startingOffsets": consumer.offset_reset,
+        "kafka.group.id": consumer.group_id,
+        "maxOffsetsPerTrigger": consumer.max_poll_records,
+        "kafka.fetch.max.bytes": consumer.fetch_max_bytes,
+        "kafka.max.poll.interval.ms": consumer.max_poll_interval_ms,
+        "kafka.session.timeout.ms": consumer.session_timeout_ms,
+        "kafka.heartbeat.interval.ms": consumer.heartbeat_interval_ms,
+    }
+    return {k: str(v) for k, v in plain.items() if v is not None}
 
 
 def after_position(table: DataFrame, position: str, last: int, upto: int | None = None) -> DataFrame:
