@@ -81,3 +81,14 @@ def test_pipeline_and_config(spark):
     for text in ('{"patterns": [{"name": "i", "type": "nope"}]}', '{"patterns": [{"name": "i", "type": "inbox", "dedup_ttl": "soon"}]}'):
         with pytest.raises(ValueError):
             load(text)
+
+
+def test_distinct_drops_repeated_and_late_ids(spark, tmp_path):
+    # A batch's watermark bars late rows from the batch after the next one on.
+    batches = [[("a", 0), ("b", 10), ("a", 1)], [("c", 10), ("b", 10)], [("c", 10), ("late", 1), ("d", 12), ("d", 12)]]
+    for k, batch in enumerate(batches):
+        df = spark.createDataFrame([(i, T0 + dt.timedelta(hours=h)) for i, h in batch], "id string, ts timestamp_ntz").coalesce(1)
+        df.write.parquet(str(tmp_path / "in" / f"{k}"))
+    stream = streams.file_stream(spark, str(tmp_path / "in" / "*"), df.schema, files_per_batch=1)
+    out = Q.drain(Q.distinct(stream, "id", "ts", "1 hour"), str(tmp_path / "run"))
+    assert sorted(r.id for r in out.collect()) == ["a", "b", "c", "d"]
