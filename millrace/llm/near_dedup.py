@@ -15,9 +15,9 @@ Plan
    distance t are tied to a forest (as many ties as members at most, never all pairs). Classes that only share some passage are too
    far apart for a tie, so that they form no large components. The rows of a key are dealt out to chunks of ``BUCKET_ROWS``, and each
    pair of chunks is a task of its own. Components of stars and ties hold every pair within distance t.
-6. Components with several labels are cut into blocks of bounded size. Labels larger than a block have blocks of their own, which are
-   not compared with each other; each other pair of blocks is one task that compares signatures across labels, confirms candidates
-   on the full sets and returns the links of a spanning forest.
+6. Components with several labels are cut into blocks of bounded size. Labels larger than a block have blocks of their own,
+   which are not compared with each other; each other pair of blocks is one task that compares signatures across labels, confirms
+   candidates on the full sets and returns the links of a spanning forest.
 7. Components of the confirmed links are the groups.
 
 Counts by key, and other small sides of joins, are combined aggregates that are written first: a join of two plain shuffles is one
@@ -46,7 +46,10 @@ from .scratch import Scratch, table
 
 K = 64
 MISS = 1e-5
+#: A block holds at most so many shingles, and a component is cut into ``BLOCKS`` unless those would be smaller than ``FINE_SHINGLES``.
 BLOCK_SHINGLES = 1_000_000
+FINE_SHINGLES = 1 << 15
+BLOCKS = 16
 BUCKET_ROWS = 4096
 #: A star's members come in chunks of so many shingles, each with the star's centre.
 STAR_SHINGLES = 1 << 16
@@ -189,16 +192,17 @@ def _starred(size: int, percent: int):
 def bucket_forest(rep: np.ndarray, sig: np.ndarray, furthest: int, label: np.ndarray | None = None, side: np.ndarray | None = None) -> list[tuple[int, int]]:
     """A spanning forest of the pairs of one bucket whose signatures are within the distance.
 
-    Rows with one label are joined already; with ``side`` only pairs of both sides count.
+    Rows with one label are joined already; with ``side`` only pairs of both sides count. Of a group the nearest row is tied.
     """
     root, out = np.arange(len(rep)) if label is None else np.unique(label, return_inverse=True)[1], []
     for i in range(1, len(rep)):
-        near = (sig[:i] != sig[i]).sum(axis=1) <= furthest
-        near &= root[:i] != root[i]
+        far = (sig[:i] != sig[i]).sum(axis=1)
+        near = (far <= furthest) & (root[:i] != root[i])
         if side is not None:
             near &= side[:i] != side[i]
         near = np.flatnonzero(near)
         if len(near):
+            near = near[np.argsort(far[near], kind="stable")]
             groups, first = np.unique(root[near], return_index=True)
             out += [(int(rep[near[k]]), int(rep[i])) for k in first]
             root[np.isin(root, np.append(groups, root[i]))] = groups[0]
@@ -226,15 +230,16 @@ def _bucketed(furthest: int):
             cut = stops[whole - 1] if whole else 0
             starts, size = starts[:whole], (stops - starts)[:whole]
             two = starts[size == 2]
-            close = two[((sig[two] != sig[two + 1]).sum(axis=1) <= furthest) & (label[two] != label[two + 1])]
-            ties = [np.stack([rep[close], rep[close + 1]], axis=1)]
+            far = (sig[two] != sig[two + 1]).sum(axis=1)
+            near = (far <= furthest) & (label[two] != label[two + 1])
+            ties = [np.stack([rep[two], rep[two + 1]], axis=1)[near]]
             for a, n in zip(starts[size > 2].tolist(), size[size > 2].tolist(), strict=True):
                 part = slice(a, a + n)
                 found = bucket_forest(rep[part], sig[part], furthest, label[part], side[part] if cross[a] else None)
                 ties.append(np.array(found, dtype=np.int64).reshape(-1, 2))
             found = np.concatenate(ties)
             held = [x[cut:] for x in held] if cut < len(task) else []
-            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0], pa.int64()), pa.array(found[:, 1], pa.int64())], names=["u", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, k], pa.int64()) for k in range(2)], names=["u", "v"])
 
     return run
 
@@ -246,14 +251,13 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def confirmed(sets: list[np.ndarray], label: np.ndarray, left: int, percent: int, whole: bool, furthest: int) -> Iterator[tuple[int, int]]:
+def confirmed(sets: list[np.ndarray], sig: np.ndarray, label: np.ndarray, left: int, percent: int, whole: bool, furthest: int) -> Iterator[tuple[int, int]]:
     """Links of a spanning forest of the pairs with 100 * intersection >= percent * union.
 
     ``whole``: all pairs of the list; else only pairs of one of the first ``left`` with one of the others.
     Candidates are pairs within the signature distance; pairs of one label, or joined already, need no comparison.
     """
     n = len(sets)
-    sig = np.stack([signature(s) for s in sets])
     size = np.array([len(s) for s in sets])
     root = np.unique(label, return_inverse=True)[1]
     for i in range(0 if whole else left, n):
@@ -282,37 +286,61 @@ def _shared(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
-def _linked(size: int, percent: int):
-    """Rows (component, bi, bj, block, rep, label, text), sorted by the first three, to links."""
+def _sets(size: int):
+    """Rows (component, rep, label, block, others, sig, text) with the sorted shingles in place of the text: they go to several tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for batch in batches:
+            made = pa.array([shingles(x.as_py(), size, words).tobytes() for x in batch.column(6)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:6], made], names=[*batch.schema.names[:6], "shingles"])
+
+    return run
+
+
+def _linked(percent: int):
+    """Rows (component, bi, bj, block, rep, label, sig, shingles), sorted by the first three, to links."""
     furthest = 2 * chunk_count(percent) - 1
 
-    def flush(key, rows, words) -> pa.RecordBatch:
+    def flush(key, rows) -> pa.RecordBatch:
         _, bi, bj = key
         rows.sort(key=lambda r: (r[1] != bi, r[0]))
         left = sum(r[1] == bi for r in rows)
-        sets, label = [shingles(r[3], size, words) for r in rows], np.array([r[2] for r in rows])
-        pairs = list(confirmed(sets, label, left, percent, bi == bj, furthest)) if len(sets) > 1 else []
+        label, sets = np.array([r[2] for r in rows]), [np.frombuffer(r[4], dtype=np.uint64) for r in rows]
+        sig = np.frombuffer(b"".join(r[3] for r in rows), dtype=np.uint16).reshape(-1, K)
+        pairs = list(confirmed(sets, sig, label, left, percent, bi == bj, furthest)) if len(sets) > 1 else []
         return pa.RecordBatch.from_arrays(
             [pa.array([rows[a][0] for a, _ in pairs], pa.int64()), pa.array([rows[b][0] for _, b in pairs], pa.int64())],
             names=["u", "v"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, at, rows = Words(), None, []
+        at, rows = None, []
         for batch in batches:
-            comp, bi, bj, block, rep, label, text = (batch.column(k) for k in range(7))
-            for k, key in enumerate(zip(comp.to_pylist(), bi.to_pylist(), bj.to_pylist(), strict=True)):
-                if key != at:
+            columns = [batch.column(k).to_pylist() for k in range(8)]
+            for comp, bi, bj, block, *row in zip(*columns, strict=True):
+                if (comp, bi, bj) != at:
                     if rows:
-                        yield flush(at, rows, words)
-                    at, rows = key, []
-                rows.append((rep[k].as_py(), block[k].as_py(), label[k].as_py(), text[k].as_py()))
+                        yield flush(at, rows)
+                    at, rows = (comp, bi, bj), []
+                rows.append((row[0], block, *row[1:]))
         if rows:
-            yield flush(at, rows, words)
+            yield flush(at, rows)
 
     return run
 
 
+def _confirmed_with(chosen: DataFrame, docs: DataFrame, size: int, percent: int, star_shingles: int, scratch: Scratch) -> DataFrame:
+    """Links among ``chosen(u, v, n)``, u below v, n the shingles of v: a centre u goes along with chunks of its members."""
+    chosen = scratch.keep(chosen, "centres")
+    chunks = scratch.keep(chosen.groupBy("u").agg(F.ceil(F.sum("n") / F.lit(star_shingles)).cast("int").alias("k")), "chunks")
+    members = chosen.join(chunks, "u").select(F.col("u").alias("centre"), F.pmod(F.xxhash64("v"), F.col("k")).cast("int").alias("chunk"), F.col("v").alias("rep"))
+    centres = members.select("centre", "chunk").distinct().withColumn("rep", F.col("centre"))
+    rows = members.unionByName(centres).hint("merge").join(docs, F.col("rep") == docs.doc_id).select("centre", "chunk", "rep", "text")
+    tasks = rows.repartition("centre", "chunk").sortWithinPartitions("centre", "chunk", "rep")
+    return scratch.keep(tasks.mapInArrow(_starred(size, percent), "u long, v long"), "stars")
+
+
 def _stars(buckets: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int, furthest: int, scratch: Scratch, star_shingles: int) -> DataFrame:
     """Confirmed links of each class with the smallest near one of the smallest classes under its keys."""
     sig = classes.select("rep", "sig")
@@ -325,13 +353,7 @@ def _stars(buckets: DataFrame, classes: DataFrame, docs: DataFrame, size: int, p
     )
     near = signed.mapInArrow(_distances, "u long, v long, far int").filter(F.col("far") <= furthest)
     chosen = near.groupBy("v").agg(F.min("u").alias("u")).join(classes.select(F.col("rep").alias("v"), "n"), "v")
-    chosen = scratch.keep(chosen.select("u", "v", "n"), "centres")
-    chunks = scratch.keep(chosen.groupBy("u").agg(F.ceil(F.sum("n") / F.lit(star_shingles)).cast("int").alias("k")), "chunks")
-    members = chosen.join(chunks, "u").select(F.col("u").alias("centre"), F.pmod(F.xxhash64("v"), F.col("k")).cast("int").alias("chunk"), F.col("v").alias("rep"))
-    centres = members.select("centre", "chunk").distinct().withColumn("rep", F.col("centre"))
-    rows = members.unionByName(centres).hint("merge").join(docs, F.col("rep") == docs.doc_id).select("centre", "chunk", "rep", "text")
-    tasks = rows.repartition("centre", "chunk").sortWithinPartitions("centre", "chunk", "rep")
-    return scratch.keep(tasks.mapInArrow(_starred(size, percent), "u long, v long"), "stars")
+    return _confirmed_with(chosen.select("u", "v", "n"), docs, size, percent, star_shingles, scratch)
 
 
 def _labelled(df: DataFrame, labels: DataFrame) -> DataFrame:
@@ -359,16 +381,18 @@ def _paired(rows: DataFrame, others: Column) -> DataFrame:
 
 
 def _blocks(near: DataFrame, block_shingles: int, scratch: Scratch) -> DataFrame:
-    """``near(component, rep, label, n)`` with ``block`` and ``others``, the blocks it is compared with; settled components are left out.
+    """``near(component, rep, label, n, sig)`` with ``block`` and ``others``, the blocks it is compared with; settled components are left out.
 
     Labels larger than a block have blocks of their own after those of the others.
     """
     per = scratch.keep(near.groupBy("component", "label").agg(F.sum("n").alias("held")), "labels")
-    big = F.col("held") > block_shingles
-    pool = per.groupBy("component").agg(F.count("*").alias("k"), F.ceil(F.coalesce(F.sum(F.when(~big, F.col("held"))), F.lit(0)) / block_shingles).cast("int").alias("pool"))
-    pool = scratch.keep(pool.filter("k > 1").drop("k"), "pool")
-    own = per.filter(big).join(pool, "component").withColumn("nb", F.ceil(F.col("held") / block_shingles).cast("int"))
-    # Labels larger than a block are few: a millionth of the component's shingles.
+    whole = per.groupBy("component").agg(F.count("*").alias("k"), F.sum("held").alias("all")).filter("k > 1")
+    size = F.least(F.lit(float(block_shingles)), F.greatest(F.lit(float(FINE_SHINGLES)), F.col("all") / BLOCKS))
+    sized = scratch.keep(per.join(whole.select("component", size.alias("size")), "component"), "sized")
+    big = F.col("held") > F.col("size")
+    pool = scratch.keep(sized.groupBy("component").agg(F.ceil(F.coalesce(F.sum(F.when(~big, F.col("held") / F.col("size"))), F.lit(0.0))).cast("int").alias("pool")), "pool")
+    own = sized.filter(big).join(pool, "component").withColumn("nb", F.ceil(F.col("held") / F.col("size")).cast("int"))
+    # Labels larger than a block are few: as many as the component has blocks.
     upto = F.sum("nb").over(Window.partitionBy("component").orderBy("label"))
     own = scratch.keep(own.withColumn("first", (F.col("pool") + upto - F.col("nb")).cast("int")).select("component", "label", "first", "nb"), "own")
     total = scratch.keep(pool.join(own.groupBy("component").agg(F.sum("nb").cast("int").alias("more")), "component", "left").select("component", "pool", (F.col("pool") + F.coalesce("more", F.lit(0))).alias("total")), "total")
@@ -377,7 +401,7 @@ def _blocks(near: DataFrame, block_shingles: int, scratch: Scratch) -> DataFrame
     block = F.when(F.col("nb").isNotNull(), F.col("first") + F.pmod(spread, F.greatest("nb", F.lit(1)))).otherwise(F.pmod(spread, F.greatest("pool", F.lit(1))))
     every = F.sequence(F.lit(0), F.col("total") - 1)
     others = F.when(F.col("nb").isNull(), every).otherwise(F.filter(every, lambda x: (x < F.col("first")) | (x >= F.col("first") + F.col("nb"))))
-    return placed.select("component", "rep", "label", block.cast("int").alias("block"), others.alias("others"))
+    return placed.select("component", "rep", "label", "sig", block.cast("int").alias("block"), others.alias("others"))
 
 
 def near_duplicates(
@@ -406,18 +430,19 @@ def near_duplicates(
     ties = scratch.keep(_ties(buckets, classes, labels, furthest, scratch, bucket_rows), "ties")
     links = stars
     if not ties.isEmpty():
-        near = components(ties.unionByName(stars), scratch)
-        sized = near.join(classes.select("rep", "n"), F.col("node") == F.col("rep")).select("component", "rep", "n")
-        placed = _blocks(scratch.keep(_labelled(sized, labels).select("component", "rep", "label", "n"), "near"), block_shingles, scratch)
+        near = scratch.keep(components(ties.unionByName(stars), scratch), "candidates")
+        sized = near.join(classes.select("rep", "n", "sig"), F.col("node") == F.col("rep")).select("component", "rep", "n", "sig")
+        placed = _blocks(scratch.keep(_labelled(sized, labels).select("component", "rep", "label", "n", "sig"), "near"), block_shingles, scratch)
         # Merged at any size: the side without texts grows with the input.
-        texts = placed.hint("merge").join(docs, placed.rep == docs.doc_id).select("component", "rep", "label", "block", "others", "text")
+        texts = placed.hint("merge").join(docs, placed.rep == docs.doc_id).select("component", "rep", "label", "block", "others", "sig", "text")
+        sets = texts.mapInArrow(_sets(shingle_words), "component long, rep long, label long, block int, others array<int>, sig binary, shingles binary")
         tasks = (
-            _paired(texts, F.col("others"))
-            .select("component", "bi", "bj", "block", "rep", "label", "text")
+            _paired(sets, F.col("others"))
+            .select("component", "bi", "bj", "block", "rep", "label", "sig", "shingles")
             .repartition("component", "bi", "bj")
             .sortWithinPartitions("component", "bi", "bj")
         )
-        links = scratch.keep(tasks.mapInArrow(_linked(shingle_words, percent), "u long, v long"), "links").unionByName(stars)
+        links = stars.unionByName(scratch.keep(tasks.mapInArrow(_linked(percent), "u long, v long"), "links"))
     within = (
         named.join(same_id, "doc_id").join(classes.select("print", "rep"), "print").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     )
