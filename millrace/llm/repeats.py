@@ -44,8 +44,9 @@ from .scratch import Scratch, table
 
 LENGTH = 100
 GRAM = 32
-HOT = 8_000
 INDEX_BYTES = 1 << 19
+#: Different surroundings of one anchor that fit one index.
+HOT = INDEX_BYTES // (2 * LENGTH - GRAM)
 PIECE = 1 << 18
 OUT_BYTES = 1 << 21
 _LAST = 2**63 - 1
