@@ -31,10 +31,10 @@ from .scratch import Scratch, table
 MAX_DOCS = 20
 MIN_LINE_WORDS = 1
 MAX_LOST_PERCENT = 60
-_SYMBOLS = re.compile(r"[#*$%&|<>]")
-_BLANK = re.compile(r"[\x20\x09-\x0D]+")
-_PLAIN = re.compile(r"[^\w]+|_+")
-_DIGITS = str.maketrans("0123456789", "0000000000")
+_SYMBOLS = "#*$%&|<>"
+_BLANKS = " \t\n\v\f\r"
+#: What is neither a letter, a digit nor a line end, underlines apart.
+_PLAIN = re.compile(r"[^\w\n]+")
 
 
 def repeated_words(words: list[bytes], width: int = 3) -> int:
@@ -59,28 +59,27 @@ def repeated_words(words: list[bytes], width: int = 3) -> int:
 def text_counts(text: str) -> tuple[int, int, int, int, int]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
     words = text.encode("utf-8", "surrogatepass").split()
-    lines = text.split("\n")
-    seen: set[str] = set()
-    dup = 0
-    for line in lines if len(lines) > 1 else ():
-        if _BLANK.sub("", line):
-            dup += line in seen
-            seen.add(line)
-    return len(words), len(text) - sum(map(len, _BLANK.findall(text))), len(_SYMBOLS.findall(text)), dup, repeated_words(words)
+    blanks, symbols = sum(map(text.count, _BLANKS)), sum(map(text.count, _SYMBOLS))
+    lines = [x for x in text.split("\n") if x.strip(_BLANKS)] if "\n" in text else []
+    return len(words), len(text) - blanks, symbols, len(lines) - len(set(lines)), repeated_words(words)
 
 
 def line_hashes(text: str, host: str | None, min_words: int) -> tuple[dict[bytes, list[int]], list[int]]:
-    """Hash of each distinct normalised line with its host, to the numbers of such lines from 0; and the words of every line."""
+    """Hash of each distinct normalised line with its host, to the numbers of such lines from 0; and the words of every line.
+
+    The text is normalised as a whole, line ends apart.
+    """
     out: dict[bytes, list[int]] = {}
-    sizes = []
-    start = "" if host is None else f"{host}\n"
-    for at, line in enumerate(text.split("\n")):
-        n = len(line.encode("utf-8", "surrogatepass").split())
-        sizes.append(n)
+    start = "\0" if host is None else f"{host}\n\0"
+    sizes = [len(x.split()) for x in text.encode("utf-8", "surrogatepass").split(b"\n")]
+    plain = text.lower().replace("_", " ")
+    for digit in "123456789":
+        plain = plain.replace(digit, "0")
+    plain = _PLAIN.sub(" ", plain).split("\n")
+    for at, (n, line) in enumerate(zip(sizes, plain, strict=True)):
         if n >= max(1, min_words):
-            plain = _PLAIN.sub(" ", line.lower().translate(_DIGITS)).strip() or line.strip(" \t\r\v\f")
-            h = xxhash.xxh3_128_digest(f"{start}\0{plain}".encode("utf-8", "surrogatepass"))
-            out.setdefault(h, []).append(at)
+            line = line.strip() or text.split("\n")[at].strip(_BLANKS)
+            out.setdefault(xxhash.xxh3_128_digest(f"{start}{line}".encode("utf-8", "surrogatepass")), []).append(at)
     return out, sizes
 
 
