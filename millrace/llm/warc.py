@@ -35,7 +35,8 @@ from .scratch import Scratch, table
 MIN_REVISIT = 1000
 SEGMENT = 16_384
 CHUNK = 4096
-RECORDS_PER_FILE = 20_000
+#: A file is read back as one row, so this bounds a reader's memory too.
+RECORDS_PER_FILE = 5_000
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
