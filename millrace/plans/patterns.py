@@ -11,7 +11,7 @@ from millrace.functions import scalars as S
 from millrace.operators import dedup, handlers, machines, metrics, outbox
 from millrace.operators.aggregate import folded
 from millrace.plans.catalogue import webhook_fanout
-from millrace.plans.monitoring import _DEAD_SQL, Counter, _events
+from millrace.plans.monitoring import Counter, _events
 from millrace.plans.pipeline import Pipeline, of_tenant, rendered_key, topic_name
 from millrace.session import shared_dir
 from millrace.sources import fixtures as X
