@@ -269,15 +269,12 @@ class Sheet:
         out = []
         for key in dict.fromkeys(keys):
             for weight, n, steps, found in self.by_key.get(key, ()):
-                if _fits(chain, steps, len(steps) - 1):
+                if _fits(chain, steps):
                     out += [(bool(important), weight, n, k.lower(), v.lower()) for k, v, important in found]
         return out
 
 
-def _fits(chain: tuple | None, steps: Selector, k: int) -> bool:
-    """Whether the node at the head of the chain meets step k, and its ancestors the steps before."""
-    node, above = chain
-    child, tag, needs = steps[k]
+def _meets(node: Node, tag: str, needs: list[tuple[str, str | None]]) -> bool:
     if tag and node.tag != tag:
         return False
     for name, value in needs:
@@ -289,13 +286,27 @@ def _fits(chain: tuple | None, steps: Selector, k: int) -> bool:
                 return False
         elif name[1:] not in node.attrs or value is not None and node.attrs[name[1:]] != value:
             return False
-    if not k:
+    return True
+
+
+def _fits(chain: tuple, steps: Selector) -> bool:
+    """Whether the node at the head of the chain, with its ancestors, meets the steps: each pair of them is looked at once."""
+    if not _meets(chain[0], *steps[-1][1:]):
+        return False
+    if len(steps) == 1:
         return True
+    # Steps that an ancestor's descendant, or its child, has met: those before them are looked for further up.
+    any_above, next_above = set(), {len(steps) - 1}
+    above = chain[1]
     while above is not None:
-        if _fits(above, steps, k - 1):
-            return True
-        if child:
-            return False
+        met = set()
+        for k in next_above | any_above:
+            if _meets(above[0], *steps[k - 1][1:]):
+                if k == 1:
+                    return True
+                met.add(k - 1)
+        any_above |= {k for k in next_above if not steps[k][0]}
+        next_above = met
         above = above[1]
     return False
 

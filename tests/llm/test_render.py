@@ -153,6 +153,32 @@ def test_style_sheets(css, page, text):
     assert render(f"<style media=print>{css}</style>x")[0] == "x"
 
 
+def test_selectors_equal_a_search_of_all_ancestors():
+    rng = random.Random(8)
+
+    def fits(path, steps, k):
+        if steps[k][1] and path[-1].tag != steps[k][1]:
+            return False
+        if not k:
+            return True
+        starts = [len(path) - 1] if steps[k][0] else range(1, len(path))
+        return any(n > 0 and fits(path[:n], steps, k - 1) for n in starts)
+
+    for _ in range(3000):
+        path = [R.Node(rng.choice("ab"), {}) for _ in range(rng.randrange(1, 7))]
+        steps = [(bool(k) and rng.random() < 0.4, rng.choice(["a", "b", ""]), []) for k in range(rng.randrange(1, 5))]
+        chain = None
+        for node in path:
+            chain = (node, chain)
+        assert R._fits(chain, steps) == fits(path, steps, len(steps) - 1)
+
+
+def test_long_selectors_over_deep_pages_take_no_time():
+    start = time.perf_counter()
+    css = " ".join(["div"] * 14) + " x{display:none}"
+    assert render(f"<style>{css}</style>" + "<div>" * 400 + "<p>" * 300 + "y")[0] == "y" and time.perf_counter() - start < 10
+
+
 def test_wide_cells_stay_aligned():
     page = "<table>" + "".join(f"<tr><td>{'x' * n}<td>{n}" for n in (70, 500, 3)) + "</table>"
     lines = render(page)[0].split("\n")
