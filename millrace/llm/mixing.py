@@ -105,11 +105,13 @@ def drawn_counts(plan: DataFrame, scratch: Scratch, shard_slots: int = SHARD_SLO
     spread = plan.withColumns({"total": F.sum("n").over(everything), "sources": F.count("*").over(everything), "lo": _before("n", "sid")})
     spread = scratch.keep(spread.withColumn("width", F.ceil(F.col("total") / (2 * F.col("sources")))), "shares")
     cells = spread.withColumn("cell", F.explode(F.expr("sequence(lo div width, (lo + n - 1) div width)"))).select("sid", "lo", "n", "cell")
-    draws = _exploded(spread.select("total", "width").distinct(), "total", "draw").select(
-        F.expr(f"draw div {shard_slots}").alias("shard"), F.pmod(F.xxhash64(F.lit(SEED + 2), "draw"), F.col("total")).alias("u"), "width"
+    total, width = spread.select("total", "width").first() or (0, 1)
+    draw = F.col("id")
+    draws = plan.sparkSession.range(0, total, 1, max(parts(plan.sparkSession), total >> 22)).select(
+        F.expr(f"id div {shard_slots}").alias("shard"), F.pmod(F.xxhash64(F.lit(SEED + 2), draw), F.lit(max(total, 1))).alias("u")
     )
     counts = scratch.keep(
-        draws.withColumn("cell", F.expr("u div width"))
+        draws.withColumn("cell", F.expr(f"u div {width}"))
         .join(cells, "cell")
         .filter("u >= lo and u < lo + n")
         .groupBy("sid", "shard")
