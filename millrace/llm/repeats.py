@@ -10,13 +10,14 @@ Plan
    that occur twice can repeat. An anchor's surroundings (all strings that contain it) have a hash of their own.
 2. Anchors are grouped by hash. Surroundings equal to earlier ones are covered whole, without looking at bytes;
    within a batch that is settled before the shuffle. Only the first of each, where an anchor has different
-   surroundings, goes on.
+   surroundings, goes on. Anchors that a sample shows in very many surroundings, such as the edges of a passage that a third of all
+   texts share, are grouped by hash and surroundings instead, so that none is a single task; the sample decides about routes only.
 3. For those the bytes are fetched and, some megabytes at a time and all surroundings of an anchor together, a suffix
    order is built; its Burrows-Wheeler transform is kept as runs, with the text position, the preceding
    suffix and the match length sampled at each run's end. Matching statistics of every position stream from these
    samples: inside a run the match with the preceding suffix loses one byte a step. Chains of matches of LENGTH or
    more lead to one root for each repeated string, whose earliest start is kept.
-4. An anchor with more different surroundings than fit one index (``HOT``) is settled by its strings' 128-bit
+4. An anchor with more different surroundings than fit one index (``HOT``), or routed apart, is settled by its strings' 128-bit
    hashes, in the same shuffle: a string's rows are made one per batch before it, and only the first stays.
 5. Covered intervals meet their documents; bytes are cut and hashed.
 
@@ -49,6 +50,8 @@ INDEX_BYTES = 1 << 19
 HOT = INDEX_BYTES // (2 * LENGTH - GRAM)
 PIECE = 1 << 18
 OUT_BYTES = 1 << 21
+#: One text in so many is sampled for anchors of many surroundings; at most so many are routed apart, each seen so often in the sample.
+SAMPLE, ROUTED, SEEN = 64, 4096, 32
 _LAST = 2**63 - 1
 
 _U = np.uint64
@@ -145,10 +148,16 @@ def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(d, e, data) to anchors (h, w, d, e, pos, later): later if an earlier equal one in the batch settles it.
+def _scanner(routed: np.ndarray):
+    """``_scan`` with sorted hashes of anchors that are routed apart."""
+    return lambda batches: _scan(batches, routed)
 
-    Those need no company, so they get a hash that scatters them.
+
+def _scan(batches: Iterator[pa.RecordBatch], routed: np.ndarray = np.empty(0, dtype=np.int64)) -> Iterator[pa.RecordBatch]:
+    """(d, e, data) to anchors (h, w, d, e, pos, later, apart): later if an earlier equal one in the batch settles it.
+
+    Those need no company, so they get a hash that scatters them. Anchors that are routed apart get one made of theirs and
+    of their surroundings'.
     """
     reach = LENGTH - GRAM
     for batch in batches:
@@ -176,10 +185,12 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h, w, d, e, pos = h[order], w[order], doc[row][order], nth[row][order], own[order]
         later = np.zeros(len(h), dtype=bool)
         later[1:] = (h[1:] == h[:-1]) & (w[1:] == w[:-1])
+        apart = routed[np.minimum(np.searchsorted(routed, h), len(routed) - 1)] == h if len(routed) else np.zeros(len(h), dtype=bool)
+        h = np.where(apart, _mixed(h.view(np.uint64) * _U(_BASE) + w.view(np.uint64)).view(np.int64), h)
         h = np.where(later, _mixed(h.view(np.uint64) + _mixed(((d * 31 + e) * 31 + pos).view(np.uint64))).view(np.int64), h)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(h), pa.array(w), pa.array(d, pa.int64()), pa.array(e, pa.int64()), pa.array(pos, pa.int64()), pa.array(later)],
-            names=["h", "w", "d", "e", "pos", "later"],
+            [pa.array(h), pa.array(w), pa.array(d, pa.int64()), pa.array(e, pa.int64()), pa.array(pos, pa.int64()), pa.array(later), pa.array(apart)],
+            names=["h", "w", "d", "e", "pos", "later", "apart"],
         )
 
 
@@ -440,21 +451,31 @@ def cut(text: np.ndarray, covered) -> tuple[list[np.ndarray], list[tuple[int, in
     return [text[x:y] for x, y in edges], list(zip(a.tolist(), b.tolist(), strict=True))
 
 
-def covered_intervals(docs: DataFrame, packed: DataFrame, scratch: Scratch, hot: int = HOT) -> DataFrame:
+_ANCHORS = "h long, w long, d long, e long, pos long, later boolean, apart boolean"
+
+
+def crowded(docs: DataFrame, sample: int = SAMPLE, seen: int = SEEN) -> np.ndarray:
+    """Sorted hashes of the anchors that a sample of ``docs(d, e, data)`` shows in the most different surroundings."""
+    some = docs.filter(F.pmod(F.xxhash64("d", "e"), F.lit(sample)) == 0).mapInArrow(_scan, _ANCHORS)
+    counts = some.filter("not later").groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= seen)
+    return np.array(sorted(r.h for r in counts.orderBy(F.desc("n"), "h").limit(ROUTED).collect()), dtype=np.int64)
+
+
+def covered_intervals(docs: DataFrame, packed: DataFrame, scratch: Scratch, hot: int = HOT, routed: np.ndarray | None = None) -> DataFrame:
     """``(d, e, lo, hi)``: repeated bytes of ``docs(d, e, data)``, whose order is that of (d, e).
 
     ``packed(d, e, packed)`` has the same texts compressed.
     """
     ranked = (
-        docs.mapInArrow(_scan, "h long, w long, d long, e long, pos long, later boolean")
+        docs.mapInArrow(_scanner(crowded(docs) if routed is None else routed), _ANCHORS)
         .repartition("h")
         .withColumn("nth", F.row_number().over(Window.partitionBy("h", "w").orderBy("d", "e", "pos")))
         .withColumn("kinds", F.sum(F.when(F.col("nth") == 1, 1).otherwise(0)).over(Window.partitionBy("h")))
         .withColumn("covered", F.expr("later or nth > 1"))
-        .filter("covered or kinds > 1")
+        .filter("covered or apart or kinds > 1")
     )
     h = F.when(~F.col("covered"), F.col("h")).alias("h")
-    seen = scratch.keep(ranked.select("d", "e", "pos", h, "covered", F.expr(f"kinds > {hot}").alias("hot")), "anchors")
+    seen = scratch.keep(ranked.select("d", "e", "pos", h, "covered", F.expr(f"apart or kinds > {hot}").alias("hot")), "anchors")
     asked = seen.filter("not covered").groupBy("d", "e").agg(F.collect_list(F.struct("pos", "h", "hot")).alias("asked"))
     indexed = scratch.keep(
         packed.join(asked.hint("merge"), ["d", "e"])
@@ -484,7 +505,7 @@ def _ordered(rows: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.keep(some, "ordered").unionByName(scratch.keep(single, "single"))
 
 
-def without_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
+def without_repeats(docs: DataFrame, hot: int = HOT, routed: np.ndarray | None = None) -> DataFrame:
     """``(doc_id, n_bytes, spans, kept)`` per row of ``docs(doc_id, text)``: removed spans (at, to) in bytes, end exclusive, and the bytes left.
 
     A span may begin or end within a character of several bytes, so what is left is binary.
@@ -497,7 +518,7 @@ def without_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     )
     rows = _ordered(rows, scratch)
     packed = rows.select("doc_id", "d", "e", "data").mapInArrow(_packed, "doc_id long, d long, e long, packed binary")
-    covered = covered_intervals(rows.select("d", "e", "data"), packed.select("d", "e", "packed"), scratch, hot)
+    covered = covered_intervals(rows.select("d", "e", "data"), packed.select("d", "e", "packed"), scratch, hot, routed)
     per_doc = covered.groupBy("d", "e").agg(F.collect_list(F.struct("lo", "hi")).alias("covered"))
     return (
         packed.join(per_doc.hint("merge"), ["d", "e"], "left")
@@ -506,10 +527,10 @@ def without_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     )
 
 
-def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
+def remove_repeats(docs: DataFrame, hot: int = HOT, routed: np.ndarray | None = None) -> DataFrame:
     """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256)`` per row: the digest of ``without_repeats``."""
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["to"] - x["at"])
-    return without_repeats(docs, hot).select(
+    return without_repeats(docs, hot, routed).select(
         "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
     )
 

@@ -42,11 +42,14 @@ def corpus(seed):
     return texts + ["z" * 350, "z" * 120, "", "ab" * 200, "q" * 99, "q" * 100, "q" * 101]
 
 
-@pytest.mark.parametrize("seed, hot", [(1, R.HOT), (2, 2)])
-def test_removed_bytes_equal_brute_force(spark, seed, hot):
+@pytest.mark.parametrize("seed, hot, seen", [(1, R.HOT, None), (2, 2, None), (3, R.HOT, 2), (4, 3, 1)])
+def test_removed_bytes_equal_brute_force(spark, seed, hot, seen):
     texts = corpus(seed)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
-    got = {r[0]: tuple(r[1:]) for r in R.remove_repeats(df, hot).collect()}
+    rows = df.selectExpr("doc_id AS d", "0L AS e", "cast(text AS binary) AS data")
+    routed = seen and R.crowded(rows, 1, seen)
+    assert seen is None or len(routed)
+    got = {r[0]: tuple(r[1:]) for r in R.remove_repeats(df, hot, routed).collect()}
     assert got == brute([(k, t.encode()) for k, t in enumerate(texts)])
 
 
