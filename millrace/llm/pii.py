@@ -207,10 +207,12 @@ def _key(doc_id: Column, text: Column) -> tuple[Column, Column]:
     return F.xxhash64(doc_id, text).alias("k1"), F.xxhash64(text, doc_id, F.lit("second")).alias("k2")
 
 
-def base_spans(docs: DataFrame) -> DataFrame:
-    """``(doc_id, k1, k2, base, candidates)``: k1 and k2 name the row by its content."""
+def base_spans(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """``(doc_id, k1, k2, base, candidates)``: k1 and k2 name the row by its content. ``carry`` adds the whole ``row`` as a struct."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    row = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if carry else []
+    names = ["doc_id", "k1", "k2"] + ["row"] * carry
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *row)
     rows = rows.select("*", *_key(F.col("doc_id"), F.col("text")))
     text = F.col("text")
     patterns = dict(zip(KINDS, (EMAIL, IP, CARD, PHONE), strict=True))
@@ -219,7 +221,7 @@ def base_spans(docs: DataFrame) -> DataFrame:
     none = F.expr("cast(array() as array<struct<at:int,k:int,kind:string,to:int,value:string,words:array<string>>>)")
     base = F.concat(*(F.coalesce(F.col(kind), none) for kind in KINDS))
     may = text.rlike(rf"[0-9][\x20./:,_()-]{{0,2}}[0-9]|@|{_AT}|\x20at\x20")
-    rows = rows.select("doc_id", "k1", "k2", base.alias("base"), F.when(may, _placed(text, CANDIDATE)).alias("words"))
+    rows = rows.select(*names, base.alias("base"), F.when(may, _placed(text, CANDIDATE)).alias("words"))
     shaped = F.transform(
         "words", lambda x: F.struct(x["at"].alias("at"), x["to"].alias("to"), x["value"].alias("value"), x["before"].alias("before"), x["after"].alias("after"), _shapes(x["value"]).alias("shapes"))
     )
@@ -228,7 +230,7 @@ def base_spans(docs: DataFrame) -> DataFrame:
         _free(F.col("words"), F.col("base")),
         lambda x: F.struct(x["at"].alias("at"), x["to"].alias("to"), x["value"].alias("value"), _words(x).alias("words"), x["shapes"].alias("shapes")),
     )
-    return rows.select("doc_id", "k1", "k2", "base", told.alias("candidates"))
+    return rows.select(*names, "base", told.alias("candidates"))
 
 
 def bootstrap(found: DataFrame, scratch: Scratch) -> DataFrame:
@@ -271,10 +273,13 @@ def bootstrap(found: DataFrame, scratch: Scratch) -> DataFrame:
             return accepted
 
 
-def find_pii(docs: DataFrame) -> DataFrame:
-    """``(doc_id, k1, k2, base, spans)`` per row; spans are (at, k, kind, to), base ones and accepted ones in order."""
+def find_pii(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """``(doc_id, k1, k2, base, spans)`` per row; spans are (at, k, kind, to), base ones and accepted ones in order.
+
+    ``carry`` adds the whole ``row`` as a struct: it is written along, so that no text is shuffled for what few rows get beside.
+    """
     scratch = Scratch(docs.sparkSession, "pii")
-    found = scratch.keep(base_spans(docs), "found")
+    found = scratch.keep(base_spans(docs, carry), "found")
     accepted = bootstrap(found, scratch)
     more = scratch.keep(
         found.select("k1", "k2", F.explode("candidates").alias("x"))
@@ -288,9 +293,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
     slim = lambda c: F.transform(c, lambda x: F.struct(x["at"].alias("at"), x["k"].alias("k"), x["kind"].alias("kind"), x["to"].alias("to")))
     none = F.expr("cast(array() as array<struct<at:int,k:int,kind:string,to:int>>)")
     return found.join(more, ["k1", "k2"], "left").select(
-        "doc_id",
-        "k1",
-        "k2",
+        *(c for c in found.columns if c not in ("base", "candidates")),
         F.array_sort(slim("base")).alias("base"),
         F.array_sort(F.concat(slim("base"), F.coalesce("more", none))).alias("spans"),
     )
@@ -336,11 +339,8 @@ def redacted(text: Column, spans: Column) -> Column:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data by its kind; n_chars follows the text. All rows stay, and travel as structs, so that no column name clashes."""
-    spans = find_pii(docs).filter("size(spans) > 0").select("k1", "k2", "spans").dropDuplicates(["k1", "k2"])
-    spans = Scratch(spark, "pii").keep(spans, "spans")
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *_key(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    made = rows.join(spans, ["k1", "k2"], "left").select(
-        "row", F.when(F.col("spans").isNotNull(), redacted(F.col("row.text").cast("string"), F.col("spans"))).alias("fresh")
+    made = find_pii(docs, carry=True).select(
+        "row", F.when(F.size("spans") > 0, redacted(F.col("row.text").cast("string"), F.col("spans"))).alias("fresh")
     )
     kept = []
     for name, kind in docs.dtypes:

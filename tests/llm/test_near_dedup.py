@@ -61,8 +61,10 @@ def chains(seed=5):
     return texts
 
 
-@pytest.mark.parametrize("make", [corpus, chains])
-@pytest.mark.parametrize("size, percent, block, bucket, star", [(3, 85, 10**6, 4096, 1 << 16), (5, 80, 150, 4096, 300), (3, 85, 10**6, 2, 1), (3, 85, 400, 3, 1 << 16)])
+@pytest.mark.parametrize(
+    "make, size, percent, block, bucket, star",
+    [(corpus, 3, 85, 10**6, 4096, 1 << 16), (corpus, 5, 80, 150, 2, 300), (chains, 3, 85, 10**6, 4096, 1 << 16), (chains, 5, 80, 10**6, 2, 1), (chains, 3, 85, 400, 3, 300)],
+)
 def test_groups_equal_all_pairs(spark, monkeypatch, make, size, percent, block, bucket, star):
     monkeypatch.setattr(N, "FINE_SHINGLES", min(block, N.FINE_SHINGLES))
     texts = make()
