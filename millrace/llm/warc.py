@@ -3,10 +3,11 @@
 Writing: of pages with equal payloads of at least ``MIN_REVISIT`` bytes the one with the largest page_id becomes a response
 record and the others revisit records that refer to it. Responses hold an HTTP message in chunked transfer coding. A block over
 ``SEGMENT`` bytes is cut into a first record and continuation records that name its identifier, with a segment number,
-and on the last one the total length. Archives are text files by Spark's own writer (a record's lines end in CRLF), gzipped,
-so they reach any store that Spark reaches; ``RECORDS_PER_FILE`` bounds a file.
+and on the last one the total length. Each record is a gzip member of its own, so it can be sought. Archives are written by Spark's own
+text writer, so they reach any store that Spark reaches: its lines are the members, and what parts them is an empty member.
+``RECORDS_PER_FILE`` bounds a file.
 
-Reading: files are unzipped and parsed as a stream, once. Records in one piece are decoded where they are read; segments are
+Reading: files, gzipped or not, are parsed as a stream, once. Records in one piece are decoded where they are read; segments are
 grouped by origin identifier and ordered by number, one record at a time in memory; numbers must be complete, lengths must
 add up to the stated total, and chunks must end properly, else the record is not ``intact``. Revisits get the payload facts of the
 record they refer to, which is known by page_id and digest; without such a record they are not intact.
@@ -21,6 +22,7 @@ long payloads are segmented. Other columns, whatever their names, are ignored; e
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import zlib
 from collections.abc import Iterator
@@ -42,6 +44,10 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
 
 
+#: Parts members in a file of lines: a member without content, as text of one byte a character.
+_BETWEEN = gzip.compress(b"", mtime=0).decode("latin-1")
+
+
 def _cuts(data: bytes, size: int) -> list[bytes]:
     """Pieces of at most ``size`` bytes that do not split a UTF-8 character."""
     out, at = [], 0
@@ -86,11 +92,11 @@ def unchunked(body: bytes) -> bytes | None:
 
 def _record(kind: str, name: str, fields: list[tuple[str, str]], block: bytes) -> bytes:
     head = [("WARC-Type", kind), ("WARC-Record-ID", f"<{name}>"), ("WARC-Date", DATE), *fields, ("Content-Length", str(len(block)))]
-    return b"WARC/1.1\r\n" + b"".join(f"{k}: {v}\r\n".encode() for k, v in head) + b"\r\n" + block + b"\r\n"
+    return b"WARC/1.1\r\n" + b"".join(f"{k}: {v}\r\n".encode() for k, v in head) + b"\r\n" + block + b"\r\n\r\n"
 
 
 def page_records(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, serial: str = "0", segment: int = SEGMENT) -> Iterator[bytes]:
-    """The records of one page, without the last line end, named by page_id and digest. The serial tells segmented rows apart."""
+    """The records of one page, named by page_id and digest. The serial tells segmented rows apart."""
     sha1 = hashlib.sha1(payload).hexdigest()
     name = f"urn:page:{'none' if page_id is None else page_id}:{sha1}"
     target = ("WARC-Target-URI", "".join((url or "").split()))
@@ -114,6 +120,16 @@ def page_records(page_id: int | None, url: str | None, payload: bytes, refers_to
         yield _record("continuation", f"{name}:{k}", fields, piece)
 
 
+def _zipped(record: bytes) -> bytes:
+    member = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return member.compress(record) + member.flush()
+
+
+def _lines(members: list[bytes]) -> pa.RecordBatch:
+    """Members as strings: bytes that are written as they are."""
+    return pa.RecordBatch.from_arrays([pa.array(members, pa.binary()).view(pa.string())], names=["value"])
+
+
 def _written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     task, n = TaskContext.get().partitionId(), 0
     for batch in batches:
@@ -121,17 +137,17 @@ def _written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             n += 1
             for record in page_records(*row, serial=f"{task}-{n}"):
-                out.append(record)
-                size += len(record)
+                out.append(_zipped(record))
+                size += len(out[-1])
             if size > 8 << 20:
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()).cast(pa.string())], names=["value"])
+                yield _lines(out)
                 out, size = [], 0
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()).cast(pa.string())], names=["value"])
+            yield _lines(out)
 
 
 def write_archives(pages: DataFrame, path: str, min_revisit: int = MIN_REVISIT) -> None:
-    """Writes ``pages(page_id, url, html)`` as gzipped WARC files below ``path``."""
+    """Writes ``pages(page_id, url, html)`` as WARC files below ``path``, a gzip member for each record."""
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"),
         F.col("url").cast("string").alias("url"),
@@ -149,8 +165,9 @@ def write_archives(pages: DataFrame, path: str, min_revisit: int = MIN_REVISIT)
     records = rows.join(copies.hint("merge"), ["digest", "n"], "left").select("page_id", "url", "payload", refers_to.alias("refers_to"))
     (
         records.mapInArrow(_written, "value string")
-        .write.option("lineSep", "\r\n")
-        .option("compression", "gzip")
+        .write.option("lineSep", _BETWEEN)
+        .option("encoding", "ISO-8859-1")
+        .option("compression", "none")
         .option("maxRecordsPerFile", RECORDS_PER_FILE)
         .text(path)
     )
@@ -188,19 +205,24 @@ def parsed(stream: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
         at += back + size + 4
 
 
-def _unzipped(content: bytes) -> Iterator[bytes]:
-    """Gzip members, one or many, a megabyte at a time."""
-    while content:
+def _unzipped(content: bytes, step: int = 1 << 16) -> Iterator[bytes]:
+    """The bytes of gzip members, one or many, a part at a time; other content as it is."""
+    view, at = memoryview(content), 0
+    if content[:2] != b"\x1f\x8b":
+        yield from (bytes(view[k : k + step]) for k in range(0, len(view), step))
+        return
+    while at < len(view):
         member = zlib.decompressobj(31)
-        part = member.decompress(content, 1 << 20)
-        while part or not member.eof:
-            yield part
-            if member.eof:
-                break
-            if not part and not member.unconsumed_tail:
-                raise ValueError("an archive is cut short")
-            part = member.decompress(member.unconsumed_tail, 1 << 20)
-        content = member.unused_data
+        while not member.eof:
+            given = member.unconsumed_tail
+            if not given:
+                given = view[at : at + step]
+                at += len(given)
+                if not given:
+                    raise ValueError("an archive is cut short")
+            if part := member.decompress(given, 1 << 20):
+                yield part
+        at -= len(member.unused_data)
 
 
 def _http_payload(block: bytes) -> bytes | None:
@@ -291,7 +313,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
     ``n`` and ``sha1`` are the payload's length and digest. Without ``payloads`` those are null. What is parsed is written
     once, as both kinds of records are read from it.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
+    files = spark.read.format("binaryFile").load(path).select("content")
     records = Scratch(spark, "records").keep(files.mapInArrow(_read(payloads), _RECORD), "records")
     facts = _NAMES[:9]
     pieces = records.filter("number is not null").select(*_NAMES[:5], "number", "total", "block")

@@ -1,8 +1,10 @@
 """Line rules, WARC, licences, mixing, rendering, classifier, decontamination and the pipeline."""
 
+import gzip
 import hashlib
 import random
 import re
+import zlib
 from html.parser import HTMLParser
 
 import duckdb
@@ -84,16 +86,35 @@ def test_revisits_of_repeated_page_ids(spark, tmp_path):
 
 def test_revisits_without_their_record_are_not_intact(spark):
     path = Scratch(spark, "test").path("warc")
-    records = [r + b"\r\n" for k, refers in ((1, 9), (2, None)) for r in warc.page_records(k, "u", b"p" * 2000, refers)]
-    spark.createDataFrame([(b"".join(records).decode().removesuffix("\r\n"),)], "value string").write.option("lineSep", "\r\n").option("compression", "gzip").text(path)
-    assert {r.type: r.intact for r in warc.read_archives(spark, path).collect()} == {"revisit": True, "response": True}
+    records = [r for k, refers in ((1, 9), (2, None)) for r in warc.page_records(k, "u", b"p" * 2000, refers)]
+    for codec in ("gzip", "none"):
+        text = b"".join(records).decode().removesuffix("\r\n")
+        spark.createDataFrame([(text,)], "value string").write.mode("overwrite").option("lineSep", "\r\n").option("compression", codec).text(path)
+        assert {r.type: r.intact for r in warc.read_archives(spark, path).collect()} == {"revisit": True, "response": True}
+
+
+def test_each_record_is_a_member_of_its_own(spark, tmp_path):
+    pages = spark.createDataFrame([(k, "u", "é" * 9000 * k) for k in range(4)], "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(pages, str(tmp_path / "w"))
+    (file,) = (tmp_path / "w").glob("part-*")
+    data, members = file.read_bytes(), []
+    while data:
+        member = zlib.decompressobj(31)
+        members.append(member.decompress(data))
+        assert member.eof
+        data = member.unused_data
+    full = [m for m in members if m]
+    assert all(m.startswith(b"WARC/1.1\r\n") and m.endswith(b"\r\n\r\n") and m.count(b"WARC-Record-ID") == 1 for m in full) and len(full) > 4
+    assert gzip.decompress(file.read_bytes()) == b"".join(full)
+    with pytest.raises(ValueError):
+        list(warc._unzipped(file.read_bytes()[:-30]))
 
 
 def test_broken_records_are_told():
     good = warc.chunked(b"hello" * 3000)
     assert warc.unchunked(good) == b"hello" * 3000 and warc.unchunked(good[:-1]) is None and warc.unchunked(good + b"x") is None
     assert warc.unchunked(b"5;ext=1\r\nhello\r\n0\r\nTrailer: 1\r\n\r\n") == b"hello" and warc.unchunked(b"zz\r\n") is None
-    whole = [x for r in warc.page_records(1, "u", b"p" * 50_000, None) for x in [r + b"\r\n"]]
+    whole = list(warc.page_records(1, "u", b"p" * 50_000, None))
     records = list(warc.parsed(iter([b"".join(whole)[k : k + 777] for k in range(0, sum(map(len, whole)), 777)])))
     assert [r[0]["warc-type"] for r in records] == ["response"] + ["continuation"] * 3
     parts = [("n", f["warc-type"], None, None, None, int(f["warc-segment-number"]), int(f.get("warc-segment-total-length", 0)) or None, b) for f, b in records]
