@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from millrace.functions import scalars as S
-from millrace.operators import dedup, machines, windows
+from millrace.operators import dedup, machines, metrics, windows
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -57,3 +57,25 @@ def test_folds_equal_models(spark):
         assert all(b - a in (0, 1) for a, b in zip([0, *versions], versions, strict=False))
     opened = got(machines.circuit_breaker(df, "k", "ts", ["n"], "ok", 2, 1, 10), "admitted")
     assert all(opened[k, 0] for k in {x[0] for x in log})
+
+
+def test_nearest_rank_equals_sorting(spark):
+    rng = random.Random(4)
+    pick = lambda: rng.choice([0.0, -0.0, 1e-300, -1e300, 1e300, 3.5, -2.25, float("inf"), rng.uniform(-5, 5), float(rng.randrange(9))])
+    data = [(rng.choice(["a", "b", None]), pick()) for _ in range(700)] + [("one", 7.0), ("none", None)]
+    df = spark.createDataFrame(data, "k string, v double")
+    for percent in (1, 50, 95, 100):
+        got = {r.k: (r[f"p{percent}"], r.n) for r in metrics.nearest_rank(df, ["k"], "v", percent).collect()}
+        want = {}
+        for key in ("a", "b", None, "one"):
+            values = sorted(v for k, v in data if k == key and v is not None)
+            want[key] = (values[max(1, -(-len(values) * percent // 100)) - 1], len(values))
+        assert got == want
+
+
+def test_prefixes_of_any_kind(spark):
+    names = ["", "a", "ab", "b", "\ud7ff", "\ud7ffz", "\ue000", "\U0010ffff", "\U0010ffffa", "z\U0010ffff", "é"]
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    for prefix in names:
+        got = [r.n for r in metrics.prefix_search(df, "n", prefix, 50).collect()]
+        assert sorted(got) == sorted(n for n in names if n.startswith(prefix)), repr(prefix)
