@@ -51,7 +51,9 @@ HOT = INDEX_BYTES // (2 * LENGTH - GRAM)
 PIECE = 1 << 18
 OUT_BYTES = 1 << 21
 #: One text in so many is sampled for anchors of many surroundings; at most so many are routed apart, each seen so often in the sample.
-SAMPLE, ROUTED, SEEN = 64, 4096, 32
+SAMPLE, ROUTED, SEEN = 64, 4096, 4096
+#: Surroundings, and strings of hot ones, that are held at a time.
+FETCHED_ROWS, FETCHED_STRINGS = 1 << 15, 1 << 19
 _LAST = 2**63 - 1
 
 _U = np.uint64
@@ -355,13 +357,32 @@ def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(d, e, packed, asked) to surroundings (h, s, d, e, start, later, window) of each asked (pos, h, hot).
 
-    Surroundings of hot anchors are given as hashes of their strings, each once a batch: those that come later in the
-    batch are settled and need no company.
+    Surroundings of hot anchors are given as hashes of their strings, each once of those held at a time: those that come later
+    among them are settled and need no company.
     """
     reach = LENGTH - GRAM
     unpack = zstandard.ZstdDecompressor().decompress
+
+    def whole(rows: list[tuple]) -> pa.RecordBatch:
+        h, d, e, start, window = zip(*rows, strict=True)
+        n = len(rows)
+        return _row_batch(pa.array(h, pa.int64()), pa.array([0] * n, pa.int64()), d, e, start, np.zeros(n, dtype=bool), pa.array(window, pa.binary()))
+
+    def hashed(strings: list[tuple]) -> pa.RecordBatch:
+        s1, s2, d, e, start = (np.concatenate(x) for x in zip(*strings, strict=True))
+        order = np.lexsort((start, e, d, s2, s1))
+        s1, s2, d, e, start = (x[order] for x in (s1, s2, d, e, start))
+        later = np.zeros(len(s1), dtype=bool)
+        later[1:] = (s1[1:] == s1[:-1]) & (s2[1:] == s2[:-1])
+        # A string repeated at one place only because surroundings overlap is not a repeat.
+        same = np.zeros(len(d), dtype=bool)
+        same[1:] = later[1:] & (d[1:] == d[:-1]) & (e[1:] == e[:-1]) & (start[1:] == start[:-1])
+        s1 = np.where(later, _mixed(((d * 31 + e) * 31 + start).view(np.uint64) + s1.view(np.uint64)).view(np.int64), s1)
+        s1, s2, d, e, start, later = (x[~same] for x in (s1, s2, d, e, start, later))
+        return _row_batch(pa.array(s1), pa.array(s2), d, e, start, later, pa.nulls(len(d), pa.binary()))
+
     for batch in batches:
-        hs, ds, es, starts, windows, strings = [], [], [], [], [], []
+        rows, strings, n = [], [], 0
         for k in range(batch.num_rows):
             d, e, data = batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), unpack(batch.column(2)[k].as_py())
             for one in batch.column(3)[k].as_py():
@@ -369,29 +390,22 @@ def _fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 lo = max(0, at - reach)
                 if one["hot"]:
                     text = np.frombuffer(data[lo : at + LENGTH], dtype=np.uint8)
-                    n = len(text) - LENGTH + 1
+                    m = len(text) - LENGTH + 1
                     s1, s2 = (Rolling(text, base).grams(LENGTH).view(np.int64) for base in (_BASE, _BASE2))
-                    strings.append((s1, s2, np.full(n, d, dtype=np.int64), np.full(n, e, dtype=np.int64), lo + np.arange(n)))
+                    strings.append((s1, s2, np.full(m, d, dtype=np.int64), np.full(m, e, dtype=np.int64), lo + np.arange(m)))
+                    n += m
                 else:
-                    hs.append(one["h"])
-                    ds.append(d)
-                    es.append(e)
-                    starts.append(lo)
-                    windows.append(data[lo : at + LENGTH])
-        n = len(hs)
-        yield _row_batch(pa.array(hs, pa.int64()), pa.array([0] * n, pa.int64()), ds, es, starts, np.zeros(n, dtype=bool), pa.array(windows, pa.binary()))
+                    rows.append((one["h"], d, e, lo, data[lo : at + LENGTH]))
+                if n >= FETCHED_STRINGS:
+                    yield hashed(strings)
+                    strings, n = [], 0
+                if len(rows) >= FETCHED_ROWS:
+                    yield whole(rows)
+                    rows = []
+        if rows:
+            yield whole(rows)
         if strings:
-            s1, s2, d, e, start = (np.concatenate(x) for x in zip(*strings, strict=True))
-            order = np.lexsort((start, e, d, s2, s1))
-            s1, s2, d, e, start = (x[order] for x in (s1, s2, d, e, start))
-            later = np.zeros(len(s1), dtype=bool)
-            later[1:] = (s1[1:] == s1[:-1]) & (s2[1:] == s2[:-1])
-            # A string repeated at one place only because surroundings overlap is not a repeat.
-            same = np.zeros(len(d), dtype=bool)
-            same[1:] = later[1:] & (d[1:] == d[:-1]) & (e[1:] == e[:-1]) & (start[1:] == start[:-1])
-            s1 = np.where(later, _mixed(((d * 31 + e) * 31 + start).view(np.uint64) + s1.view(np.uint64)).view(np.int64), s1)
-            s1, s2, d, e, start, later = (x[~same] for x in (s1, s2, d, e, start, later))
-            yield _row_batch(pa.array(s1), pa.array(s2), d, e, start, later, pa.nulls(len(d), pa.binary()))
+            yield hashed(strings)
 
 
 def _row_batch(h: pa.Array, s: pa.Array, d, e, start, later, window: pa.Array) -> pa.RecordBatch:
