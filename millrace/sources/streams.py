@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import urllib.parse
+import urllib.request
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -139,5 +142,56 @@ class CountedLog(DataSource):
         return _LogReader(dict(self.options))
 
 
+class _Page(InputPartition):
+    def __init__(self, after: int, upto: int):
+        self.after, self.upto = after, upto
+
+
+class _HttpReader(DataSourceStreamReader):
+    """Offsets are positions of the endpoint's records; a batch is cut into pages, which tasks fetch."""
+
+    def __init__(self, options: dict[str, str]):
+        self.url = options["url"]
+        self.page, self.start = int(options.get("page", 100)), int(options.get("start", 0))
+
+    def _get(self, **query: int) -> list[dict]:
+        with urllib.request.urlopen(f"{self.url}?{urllib.parse.urlencode(query)}", timeout=30) as answer:
+            return json.loads(answer.read())
+
+    def initialOffset(self) -> dict:
+        return {"position": self.start}
+
+    def latestOffset(self) -> dict:
+        last = self._get(last=1)
+        return {"position": int(last[0]["position"]) if last else self.start}
+
+    def partitions(self, start: dict, end: dict) -> list[_Page]:
+        lo, hi = start["position"], end["position"]
+        return [_Page(k, min(hi, k + self.page)) for k in range(lo, hi, self.page)]
+
+    def read(self, partition: _Page) -> Iterator[tuple]:
+        for row in self._get(after=partition.after, upto=partition.upto):
+            yield int(row["position"]), json.dumps(row["body"], sort_keys=True)
+
+    def commit(self, end: dict) -> None:
+        pass
+
+
+class HttpEndpoint(DataSource):
+    """Records ``(position, body)`` of an HTTP endpoint. ``url?after=a&upto=b`` answers with those beyond a up to b, as a JSON array of
+    objects with position and body; ``url?last=1`` with the last one. Positions are counted up by the endpoint, and may have gaps."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "http_endpoint"
+
+    def schema(self) -> str:
+        return "position bigint, body string"
+
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return _HttpReader(dict(self.options))
+
+
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(CountedLog)
+    spark.dataSource.register(HttpEndpoint)

@@ -3,8 +3,10 @@
 import datetime as dt
 import hashlib
 import hmac
+import json
 import threading
-from http.server import BaseHTTPRequestHandler, HTTPServer
+from http.server import BaseHTTPRequestHandler, HTTPServer, ThreadingHTTPServer
+from urllib.parse import parse_qs, urlparse
 
 from pyspark.sql import functions as F
 
@@ -82,6 +84,41 @@ def test_signed_posts_over_http(spark):
     assert webhooks.undelivered(out, sends, "t", at).count() == 0
 
 
+def test_an_endpoint_is_polled_as_a_stream(spark, tmp_path):
+    records = [{"position": n, "body": {"n": n}} for n in range(1, 24) if n % 7]
+
+    class Records(BaseHTTPRequestHandler):
+        def do_GET(self):
+            q = {k: int(v[0]) for k, v in parse_qs(urlparse(self.path).query).items()}
+            found = records[-1:] if "last" in q else [r for r in records if q["after"] < r["position"] <= q["upto"]]
+            body = json.dumps(found).encode()
+            self.send_response(200)
+            self.send_header("Content-Length", str(len(body)))
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *_):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Records)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    streams.register(spark)
+    try:
+        stream = spark.readStream.format("http_endpoint").options(url=f"http://127.0.0.1:{server.server_port}/records", page=4).load()
+        q = stream.writeStream.foreachBatch(sinks.once_per_batch(str(tmp_path / "out"))).option("checkpointLocation", str(tmp_path / "c")).trigger(processingTime="0 seconds").start()
+        try:
+            for _ in range(100):
+                q.processAllAvailable()
+                if q.lastProgress and "23" in str(q.lastProgress["sources"][0]["endOffset"]):
+                    break
+        finally:
+            q.stop()
+    finally:
+        server.shutdown()
+    out = sorted(map(tuple, sinks.written(spark, str(tmp_path / "out")).collect()))
+    assert out == [(r["position"], json.dumps(r["body"])) for r in records]
+
+
 def test_batches_of_a_stream_are_posted_and_logged_once(spark, tmp_path):
     sends = spark.createDataFrame([("e1", "T", "{}", "s", "u", None, 1)], SENDS)
     write = webhooks.post_batches(str(tmp_path), sinks.write_once, post=lambda *_: 200)
