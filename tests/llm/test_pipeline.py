@@ -40,11 +40,11 @@ def test_pipeline_equals_the_plain_versions_of_its_stages(spark, sf):
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality_classifier", "minhash_near_dedup", "benchmark_decontamination", "pii", "mixing_to_target_weights"]
 
 
-def test_stages_return_the_columns_of_documents(spark, sf):
-    docs = table(spark, sf, "documents").filter("doc_id < 40")
+def test_stages_of_empty_tables_are_empty(spark, sf):
+    docs = table(spark, sf, "documents").limit(0)
     for _, stage in corpus_pipeline.STAGES[:-1]:
-        assert stage(spark, docs, sf).dtypes == docs.dtypes
-        assert stage(spark, docs.limit(0), sf).count() == 0
+        out = stage(spark, docs, sf)
+        assert out.dtypes == docs.dtypes and out.count() == 0
 
 
 NAMES = ["k1", "k2", "row", "spans", "fresh", "rep", "label", "component", "node", "gone", "_key", "key", "size", "tie", "sid", "n", "found", "kept"]
