@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,35 +54,48 @@ def ttl_dedup(stream: DataFrame, key: str, ts: str, tie: str, ttl_seconds: int)
     return rows.groupBy("key").transformWithStateInPandas(processor, "key long, tie long, is_new boolean", "Append", "None")
 
 
-class _Saga(StatefulProcessor):
-    """Runs each saga forward; at the first failure it compensates the finished steps backwards, once."""
+class _Sagas(StatefulProcessor):
+    """Runs the sagas of a bucket forward; at its first failure a saga compensates the finished steps backwards, once.
+
+    Only failed sagas are remembered, as one block of ids per batch: the others have nothing that later steps depend on.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("saga", "done long, failed_at long")
+        self.over = handle.getListState("over", "ids binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values("step")
-        done, failed = self.state.get() if self.state.exists() else (0, -1)
-        out = []
-        for step, bad in zip(batch["step"], batch["failed"], strict=True):
-            if failed >= 0:
-                continue
-            if bad:
-                failed = int(step)
-                out += [(int(key[0]), int(s), "compensated") for s in range(failed - 1, -1, -1)]
-            else:
-                done = int(step) + 1
-                out.append((int(key[0]), int(step), "success"))
-        self.state.update((done, failed))
-        yield pd.DataFrame(out, columns=["saga_id", "step", "outcome"])
+        batch = pd.concat(list(rows))
+        saga, step, bad = (batch[c].astype(kind).to_numpy() for c, kind in (("saga_id", "int64"), ("step", "int64"), ("failed", "bool")))
+        before = [np.frombuffer(ids, "<i8") for (ids,) in self.over.get()]
+        at = np.lexsort((step, saga))
+        if before:
+            at = at[~np.isin(saga[at], np.concatenate(before))]
+        saga, step, bad = saga[at], step[at], bad[at]
+        begins = np.flatnonzero(np.diff(saga, prepend=saga[:1] - 1))
+        place = np.arange(len(saga))
+        failure = np.minimum.reduceat(np.where(bad, place, len(saga)), begins) if len(saga) else place
+        good = place < np.repeat(failure, np.diff(begins, append=len(saga)))
+        failure = failure[failure < len(saga)]
+        ids, done = saga[failure], np.maximum(step[failure], 0)
+        if len(ids):
+            self.over.appendValue((ids.astype("<i8").tobytes(),))
+        back = np.repeat(done.cumsum(), done) - 1 - np.arange(done.sum())
+        outcome = np.repeat(np.array(["success", "compensated"], object), [good.sum(), len(back)])
+        yield pd.DataFrame({"saga_id": np.concatenate([saga[good], np.repeat(ids, done)]), "step": np.concatenate([step[good], back]), "outcome": outcome})
 
     def close(self) -> None:
         pass
 
 
-def saga(stream: DataFrame) -> DataFrame:
-    """Step outcomes of a stream of ``(saga_id, step, failed)`` whose steps come in order."""
-    return stream.groupBy("saga_id").transformWithStateInPandas(_Saga(), "saga_id long, step long, outcome string", "Append", "None")
+def saga(stream: DataFrame, buckets: int = 4096) -> DataFrame:
+    """Step outcomes of a stream of ``(saga_id, step, failed)`` whose steps come in order; every step has its saga.
+
+    State is kept by bucket, and a bucket's sagas are handled at once: a call of Python and of the state store for each saga takes many
+    times as long as its steps. The number of buckets belongs to the checkpoint.
+    """
+    bucket = F.pmod(F.xxhash64("saga_id"), F.lit(buckets)).alias("bucket")
+    rows = stream.select(bucket, "saga_id", "step", F.coalesce("failed", F.lit(False)).alias("failed"))
+    return rows.groupBy("bucket").transformWithStateInPandas(_Sagas(), "saga_id long, step long, outcome string", "Append", "None")
 
 
 def tumbling(stream: DataFrame, ts: str, size: str, late: str, keys: list[str], value: str) -> DataFrame:

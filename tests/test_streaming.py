@@ -26,6 +26,25 @@ def test_ttl_dedup_over_batches_equals_batch(spark, tmp_path):
     assert rows(out, "tie", "is_new") == rows(batch, "n", "is_new")
 
 
+def test_sagas_by_bucket_equal_each_saga_alone(spark, tmp_path):
+    """Steps over three batches, in sagas that fail at once, late, twice or never; state is by bucket, however many sagas there are."""
+    steps = [(saga * 7919 - 50, step, (saga + 2 * step) % 5 == 0 if saga % 4 else None) for saga in range(60) for step in range(saga % 7 + 1)]
+    df = spark.createDataFrame(steps, "saga_id long, step long, failed boolean")
+    for lo in (0, 2, 4):
+        df.filter(F.col("step").between(lo, lo + (1 if lo < 4 else 9))).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    expected, over = [], set()
+    for saga, step, bad in steps:
+        if saga not in over and not bad:
+            expected.append((saga, step, "success"))
+        elif saga not in over:
+            over.add(saga)
+            expected += [(saga, k, "compensated") for k in range(step)]
+    out = Q.drain(Q.saga(streams.file_stream(spark, str(tmp_path / "in"), df.schema, files_per_batch=1), buckets=3), str(tmp_path / "run"))
+    assert sorted(tuple(r) for r in out.collect()) == sorted(expected)
+    state = spark.read.format("statestore").option("stateVarName", "over").load(str(tmp_path / "run" / "checkpoint"))
+    assert state.select("key").distinct().count() == 3 < len(over)
+
+
 def test_sink_writes_a_batch_once(spark, tmp_path):
     df = spark.range(3)
     assert sinks.write_once(df, str(tmp_path), 7)
