@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .folds import dealt
+
 
 class Aggregate(ABC):
     """State and how one event changes it. State must be JSON-serialisable."""
@@ -82,4 +84,4 @@ def folded(events: DataFrame, aggregate: Callable[[], Aggregate], key: str, orde
         keys, states, versions = zip(*rows, strict=True) if rows else ((), (), ())
         return pa.RecordBatch.from_arrays([pa.array(keys, kind), pa.array(states, pa.string()), pa.array(versions, pa.int64())], names=[key, "state", "version"])
 
-    return events.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, f"`{key}` {kind}, state string, version long")
+    return dealt(events, [key], order).mapInArrow(run, f"`{key}` {kind}, state string, version long")

@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -18,6 +19,15 @@ State = object
 Step = Callable[[State, tuple], tuple[State, tuple]]
 
 
+def dealt(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Rows dealt out by key and sorted by key and order: what a fold's tasks stream.
+
+    They are dealt by a hash of the keys. A shuffle by the keys themselves is left out where a join has made one, and as tasks in Arrow ask
+    for no distribution, adaptive execution may then make that join a broadcast or split its large keys: a key's rows end up in many tasks.
+    """
+    return df.repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys, *order)
+
+
 def sorted_fold(df: DataFrame, keys: list[str], order: list[str], inputs: list[str], start: Callable[[], State], step: Step, outputs: str) -> DataFrame:
     """``df`` with ``outputs`` (a DDL of columns) from ``step(state, inputs) -> (state, outputs)``, by keys in order.
 
@@ -44,4 +54,4 @@ def sorted_fold(df: DataFrame, keys: list[str], order: list[str], inputs: list[s
             new = [pa.array(c, type=f.type) for c, f in zip(columns, arrow, strict=True)]
             yield pa.RecordBatch.from_arrays(list(batch.columns) + new, names=list(batch.schema.names) + arrow.names)
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+    return dealt(df, keys, order).mapInArrow(run, schema)

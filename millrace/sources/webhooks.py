@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.scalars import dlq_headers
+from millrace.operators.folds import dealt
 from millrace.operators.outbox import dead_letters
 
 #: Takes (url, body, headers) and gives the status; raises if there is no answer.
@@ -100,7 +101,7 @@ def deliver(sends: DataFrame, post: Post = http_post, max_attempts: int = 10, sl
             columns = list(zip(*out, strict=True)) or [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[f.split()[0] for f in _LOG.split(", ")])
 
-    return rows.repartition("endpoint_url").sortWithinPartitions("endpoint_url", "event_id", "subscription_id").mapInArrow(run, _LOG)
+    return dealt(rows, ["endpoint_url"], ["event_id", "subscription_id"]).mapInArrow(run, _LOG)
 
 
 def delivery_log(found: DataFrame, at: Column) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from millrace.functions import scalars as S
 from millrace.operators import dedup, lookup, machines, metrics, outbox, windows
 from millrace.operators.aggregate import Aggregate, Root, folded
+from millrace.operators.folds import sorted_fold
 from tests.conftest import rows
 
 T0 = dt.datetime(2024, 1, 1)
@@ -217,6 +218,22 @@ def test_aggregates(spark):
     assert rows(folded(e, Counter, "k", ["n"])) == [("a", '{"n": 2}', 3), ("b", '{"n": 1}', 1)]
 
 
+def test_folds_keep_a_key_whole_after_a_join(spark):
+    """A join that is planned with shuffles and runs as a broadcast leaves its rows where they are; a fold deals them out itself."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    try:
+        for name, value in conf.items():
+            spark.conf.set(name, value)
+        events = spark.range(0, 400, 1, 8).select((F.col("id") % 5).alias("k"), F.col("id").alias("n"), F.lit("Incremented").alias("kind"), F.lit(1).alias("by"))
+        snapshots = spark.createDataFrame([(k, '{"n": 7}', 3) for k in range(4)], "k long, state string, version long")
+        assert rows(folded(events, Counter, "k", ["n"], snapshots)) == [(k, '{"n": 87}', 83) for k in range(4)] + [(4, '{"n": 80}', 80)]
+        counted = sorted_fold(events.join(snapshots, "k"), ["k"], ["n"], ["by"], int, lambda n, row: (n + row[0], (n + row[0],)), "total long")
+        assert rows(counted.groupBy("k").agg(F.max("total"))) == [(k, 80) for k in range(4)]
+    finally:
+        for name in conf:
+            spark.conf.unset(name)
+
+
 def test_flags(spark):
     flags = spark.createDataFrame([("gradual-rollout", True, 25), ("off", False, 100), ("all", True, None)], "name string, enabled boolean, rollout int")
     names = F.explode(F.array(*map(F.lit, ("gradual-rollout", "off", "all", "missing")))).alias("name")
